@@ -226,11 +226,16 @@ def sentences(c: Column) -> Column:
 
 
 def verbatim_span(text: Column, needle: Column, limit: int = 700) -> Column:
-    """The first sentence holding the needle, else the head, cut to an answer's length."""
+    """The first sentence holding the needle, else the head, cut to an answer's length.
+
+    The needle travels beside each sentence: a lambda would evaluate an outer expression once per
+    sentence.
+    """
     clean = collapse(text)
-    low = F.lower(needle)
-    hit = F.get(F.filter(sentences(clean), lambda s: (low != "") & F.lower(s).contains(low)), F.lit(0))
-    return F.substring(F.coalesce(hit, clean), 1, limit)
+    ss = sentences(clean)
+    low = F.array_repeat(F.lower(needle), F.size(ss))
+    hit = F.zip_with(ss, low, lambda s, n: F.when((n != "") & F.lower(s).contains(n), s))
+    return F.substring(F.coalesce(F.get(F.array_compact(hit), F.lit(0)), clean), 1, limit)
 
 
 def normative_features(c: Column) -> Column:

@@ -43,7 +43,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "lang",
         F.concat("source", F.lit(".pdf")).alias("source_pdf"),
-        F.element_at(F.array(*[F.lit(r) for r in RELEASES]), (F.col("doc_id") % 4 + 1).cast("int")).alias("release"),
+        F.element_at(F.array(*[F.lit(r) for r in RELEASES]), ((F.floor(F.col("doc_id") / 100) + F.col("doc_id")) % 4 + 1).cast("int")).alias("release"),
         F.element_at(T.string_map(PLATFORMS), F.col("lang")).alias("platform"),
         F.col("source").alias("module"),
         F.concat(F.lit("ws-"), (F.col("doc_id") % 3).cast("string")).alias("workspace_id"),
@@ -170,3 +170,29 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("intent"),
         )
     )
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with a plan derived from their number: modules, platforms, releases, identifiers."""
+    n = F.col("item_id")
+    src = (n % 20).cast("string")
+    none = F.expr("cast(array() as array<string>)")
+    one = lambda c: F.array(c)
+    spec = F.concat(F.lit("SWS_SRC"), src, F.lit("_"), F.lpad((n % 50).cast("string"), 5, "0"))
+    intents = F.array(*[F.lit(i) for i in INTENTS])
+    return table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("q-"), n.cast("string")).alias("query_id"),
+        F.when(n % 3 == 1, F.concat("text", F.lit(" "), spec)).otherwise(F.col("text")).alias("text"),
+        F.element_at(intents, (n % 5 + 1).cast("int")).alias("intent"),
+        F.when(n % 3 == 0, one(F.lit("Classic"))).otherwise(none).alias("platforms"),
+        F.when(n % 4 == 1, one(F.lit("4.4"))).when(n % 4 == 2, F.array(F.lit("4.2.2"), F.lit("R22-11"))).otherwise(none).alias("releases"),
+        F.when(n % 4 == 1, "exact").when(n % 4 == 2, "comparison").otherwise("none").alias("release_mode"),
+        F.when(n % 5 == 0, one(F.lit("nowhere"))).when(n % 2 == 0, one(F.concat(F.lit("src"), src))).otherwise(none).alias("modules"),
+        none.alias("asil_levels"),
+        F.when(n % 3 == 1, one(spec)).when(n % 7 == 3, one(F.concat(F.lit("SWS_SRC"), src, F.lit("_")))).otherwise(none).alias("requirement_ids"),
+        F.when(n % 6 == 2, one(F.concat(F.lit("Src"), src, F.lit("_Init")))).otherwise(none).alias("api_names"),
+        none.alias("configuration_parameters"),
+    )
+
+
+INTENTS = ("definition", "api_lookup", "configuration", "comparison", "unknown")

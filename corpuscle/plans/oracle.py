@@ -91,7 +91,7 @@ _sig = "requirement_ids, api_names, ecu_parameters"
 VIEWS: dict[str, str] = {
     "docs": f"""
         SELECT 'doc-' || doc_id AS document_id, doc_id, lang, source || '.pdf' AS source_pdf,
-               {case("(doc_id % 4)::VARCHAR", dict(enumerate(RELEASES)))} AS release,
+               {case("((doc_id // 100 + doc_id) % 4)::VARCHAR", dict(enumerate(RELEASES)))} AS release,
                {case("lang", PLATFORMS)} AS platform, source AS module,
                'ws-' || (doc_id % 3) AS workspace_id, 'user-' || (doc_id % 5) AS owner_user_id,
                {_spec("doc_id % 50")} || ' refers to ' || {_spec("(doc_id + 7) % 50")} || ' and requires ' || {_cap}

@@ -11,8 +11,7 @@ from corpuscle.plans import corpus as K
 from corpuscle.plans import oracle as O
 from corpuscle.plans.registry import query
 
-INTENTS = ("definition", "api_lookup", "configuration", "comparison", "unknown")
-INTENT_SQL = "SELECT query_id, " + O.case("(row_number() OVER (ORDER BY query_id) * 0 + substr(query_id, 3)::BIGINT % 5)::VARCHAR", dict(enumerate(INTENTS))) + " AS intent FROM qs"
+INTENT_SQL = "SELECT query_id, " + O.case("(substr(query_id, 3)::BIGINT % 5)::VARCHAR", dict(enumerate(K.INTENTS))) + " AS intent FROM qs"
 
 
 def terms(spark, d):
@@ -36,7 +35,7 @@ def channels(spark, d):
 
 def intents(spark, d):
     n = F.substring("query_id", 3, 20).cast("bigint")
-    return K.questions(spark, d).select("query_id", F.element_at(F.array(*[F.lit(i) for i in INTENTS]), (n % 5 + 1).cast("int")).alias("intent"))
+    return K.questions(spark, d).select("query_id", F.element_at(F.array(*[F.lit(i) for i in K.INTENTS]), (n % 5 + 1).cast("int")).alias("intent"))
 
 
 @query("IDX-01 IDX-04", O.sql("SELECT chunk_id, len, term, tf FROM posts"))
@@ -128,19 +127,18 @@ FUSED_VIEWS = {
     "nb": _norm("bm25_ch"),
     "nd": _norm("cos_ch"),
     "fused": f"""
-SELECT query_id, chunk_id, round({_weight(V.FUSION_WEIGHTS, 0)} * coalesce(b.s, 0) + {_weight(V.FUSION_WEIGHTS, 1)} * coalesce(e.s, 0), 6) AS score
+SELECT query_id, chunk_id, {_weight(V.FUSION_WEIGHTS, 0)} * coalesce(b.s, 0) + {_weight(V.FUSION_WEIGHTS, 1)} * coalesce(e.s, 0) AS score
 FROM nb b FULL JOIN nd e USING (query_id, chunk_id) JOIN intents USING (query_id)""",
 }
 
 
 def fused(spark, d):
-    f = S.weighted_fusion(channels(spark, d), intents(spark, d))
-    return f.withColumn("score", F.round("score", 6))
+    return S.weighted_fusion(channels(spark, d), intents(spark, d))
 
 
-@query("RET-08", O.sql("SELECT * FROM fused", **FUSED_VIEWS))
+@query("RET-08", O.sql("SELECT query_id, chunk_id, round(score, 6) AS score FROM fused", **FUSED_VIEWS))
 def weighted_fusion(spark, d):
-    return fused(spark, d)
+    return fused(spark, d).withColumn("score", F.round("score", 6))
 
 
 @query("RET-09", O.sql(f"""

@@ -167,8 +167,7 @@ _LANG_ALIASES = {"the": "En", "and": "En", "of the": "En", "der": "De", "und": "
 SELECT document_id, coalesce(max(CASE WHEN n >= 5 AND r = 1 THEN module END), '') AS module FROM (
   SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, p) AS r FROM (
     SELECT document_id, module, sum(hits) AS n, min(CASE WHEN hits > 0 THEN pos END) AS p FROM (
-      SELECT document_id, module, pos, len(regexp_extract_all(regexp_replace(low, '(' || alias || ')', ' \\1 ', 'g'), '(?:^|[^a-z0-9]) ' || alias || ' (?:[^a-z0-9]|$)')) AS x,
-        len(list_filter(range(1, len(low) + 1), lambda i: false)) AS z,
+      SELECT document_id, module, pos,
         (length(marked) - length(replace(marked, chr(2), '')))::BIGINT AS hits
       FROM (SELECT document_id, low, alias, module, pos,
               regexp_replace(regexp_replace(low, '([^a-z0-9])', '\\1\\1', 'g'), '(^|[^a-z0-9])' || replace(alias, ' ', '  ') || '([^a-z0-9]|$)', chr(2), 'g') AS marked
@@ -218,10 +217,10 @@ SELECT document_id, len({O.sentences('clean')}) AS sentences,
   substr(coalesce(list_filter({O.sentences('clean')}, lambda s: contains(lower(s), lower(needle)))[1], clean), 1, 700) AS span
 FROM (SELECT document_id, {O.collapse('body')} AS clean, coalesce({O.words('body')}[9], module) AS needle FROM docs)"""))
 def verbatim_spans(spark, d):
-    needle = F.coalesce(F.get(T.words(F.col("body")), F.lit(8)), F.col("module"))
-    clean = T.collapse(F.col("body"))
-    return K.documents(spark, d).select(
-        "document_id", F.size(T.sentences(clean)).alias("sentences"), T.verbatim_span(F.col("body"), needle).alias("span"))
+    docs = K.documents(spark, d).select(
+        "document_id", "body", F.size(T.sentences(T.collapse(F.col("body")))).alias("sentences"),
+        F.coalesce(F.get(T.words(F.col("body")), F.lit(8)), F.col("module")).alias("needle"))
+    return docs.select("document_id", "sentences", T.verbatim_span(F.col("body"), F.col("needle")).alias("span"))
 
 
 @query("TXT-20 SRC-02", """
