@@ -15,6 +15,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(V.WS_CHARS))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A lambda evaluates an outer expression anew for every element; a bound variable is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """All white space to single blanks, ends trimmed."""
     return strip(F.regexp_replace(c, V.WS + "+", " "))
@@ -178,9 +186,9 @@ def release_and_platform(text: Column, filename: Column, head_chars: int | None
 
 def asil_levels(c: Column) -> Column:
     """Distinct safety levels, most severe first."""
-    hits = F.transform(found(c, V.ASIL, 1), F.upper)
     order = F.array(*[F.lit(x) for x in V.ASIL_ORDER])
-    return F.filter(order, lambda level: F.array_contains(hits, level))
+    hits = F.transform(found(c, V.ASIL, 1), F.upper)
+    return let(hits, lambda hs: F.filter(order, lambda level: F.array_contains(hs, level)))
 
 
 def asil(c: Column) -> Column:
@@ -217,8 +225,8 @@ def exact_tokens(c: Column) -> Column:
     """Identifiers plus numbers with units, the first spelling of each lower-cased form."""
     t = F.coalesce(c, F.lit(""))
     both = F.concat(identifiers(t), found(t, V.NUMBER_UNIT))
-    keys = F.transform(both, F.lower)
-    return F.filter(both, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    first = lambda b, keys: F.filter(b, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    return let(both, lambda b: let(F.transform(b, F.lower), lambda keys: first(b, keys)))
 
 
 def sentences(c: Column) -> Column:
@@ -226,16 +234,11 @@ def sentences(c: Column) -> Column:
 
 
 def verbatim_span(text: Column, needle: Column, limit: int = 700) -> Column:
-    """The first sentence holding the needle, else the head, cut to an answer's length.
-
-    The needle travels beside each sentence: a lambda would evaluate an outer expression once per
-    sentence.
-    """
-    clean = collapse(text)
-    ss = sentences(clean)
-    low = F.array_repeat(F.lower(needle), F.size(ss))
-    hit = F.zip_with(ss, low, lambda s, n: F.when((n != "") & F.lower(s).contains(n), s))
-    return F.substring(F.coalesce(F.get(F.array_compact(hit), F.lit(0)), clean), 1, limit)
+    """The first sentence holding the needle, else the head, cut to an answer's length."""
+    holds = lambda s, n: (n != "") & F.lower(s).contains(n)
+    pick = lambda clean, n: F.get(F.filter(sentences(clean), lambda s: holds(s, n)), F.lit(0))
+    span = let(collapse(text), lambda clean: let(F.lower(needle), lambda n: F.coalesce(pick(clean, n), clean)))
+    return F.substring(span, 1, limit)
 
 
 def normative_features(c: Column) -> Column:

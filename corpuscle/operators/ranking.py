@@ -147,17 +147,20 @@ def compress(text: Column, question: Column, max_chars: Column) -> Column:
     """Extractive: best sentences by word overlap, normative ones favoured, packed greedily into
     ``max_chars`` and put back in order; the head when nothing fits."""
     words = lambda c: F.array_distinct(T.found(F.lower(c), r"[a-z0-9_]+"))
-    q = words(question)
     normative = lambda s: F.exists(F.array(*[F.lit(n) for n in V.NORMATIVE]), lambda n: F.lower(s).contains(n))
-    scored = F.transform(
-        T.sentences(text),
-        lambda s, i: F.struct(
-            (-(F.size(F.array_intersect(q, words(s))) + F.when(normative(s), 2).otherwise(0))).alias("neg"),
-            i.alias("i"),
-            F.length(s).alias("n"),
-            s.alias("s"),
-        ),
-    )
+
+    def score_all(q: Column) -> Column:
+        return F.transform(
+            T.sentences(text),
+            lambda s, i: F.struct(
+                (-(F.size(F.array_intersect(q, words(s))) + F.when(normative(s), 2).otherwise(0))).alias("neg"),
+                i.alias("i"),
+                F.length(s).alias("n"),
+                s.alias("s"),
+            ),
+        )
+
+    scored = T.let(words(question), score_all)
     packed = F.aggregate(
         F.array_sort(scored),
         F.struct(F.lit(0).alias("total"), F.expr("cast(array() as array<struct<i:int,s:string>>)").alias("kept")),
@@ -171,8 +174,9 @@ def compress(text: Column, question: Column, max_chars: Column) -> Column:
         ),
         lambda acc: acc["kept"],
     )
-    joined = F.array_join(F.transform(F.array_sort(packed), lambda x: x["s"]), " ")
-    return F.when(F.size(packed) > 0, joined).otherwise(F.substring(text, F.lit(1), max_chars))
+    joined = lambda kept: F.array_join(F.transform(F.array_sort(kept), lambda x: x["s"]), " ")
+    head = F.substring(text, F.lit(1), max_chars)
+    return T.let(packed, lambda kept: F.when(F.size(kept) > 0, joined(kept)).otherwise(head))
 
 
 def merge_branches(rows: DataFrame, k: Column) -> DataFrame:

@@ -119,13 +119,13 @@ def claim_support(spark, d):
 
 
 @query("EVL-06", O.sql(f"""
-SELECT id, CASE WHEN len(qt) = 0 THEN 0 ELSE round_even(len(list_intersect(qt, at))::DOUBLE / len(qt), 4) END::DOUBLE AS relevance,
-  CASE WHEN ov = 0 OR len(at) = 0 OR len(gt) = 0 THEN 0 ELSE round_even(2::DOUBLE * (ov::DOUBLE / len(at)) * (ov::DOUBLE / len(gt)) / (ov::DOUBLE / len(at) + ov::DOUBLE / len(gt)), 4) END::DOUBLE AS rouge1,
+SELECT id, CASE WHEN len(qt) = 0 THEN 0 ELSE round_even(len(list_intersect(qt, toks_a))::DOUBLE / len(qt), 4) END::DOUBLE AS relevance,
+  CASE WHEN ov = 0 OR len(toks_a) = 0 OR len(gt) = 0 THEN 0 ELSE round_even(2::DOUBLE * (ov::DOUBLE / len(toks_a)) * (ov::DOUBLE / len(gt)) / (ov::DOUBLE / len(toks_a) + ov::DOUBLE / len(gt)), 4) END::DOUBLE AS rouge1,
   CASE WHEN len(ids) = 0 THEN 0 ELSE round_even(len(bad)::DOUBLE / len(ids), 4) END::DOUBLE AS hallucinated_rate, array_to_string(bad, '|') AS hallucinated,
   round_even(len(list_filter(gold_ids, lambda g: contains(lower(answer), lower(g))))::DOUBLE / 2, 4) AS id_match
-FROM (SELECT *, list_sum(list_transform(list_distinct(at), lambda t: least(len(list_filter(at, lambda x: x = t)), len(list_filter(gt, lambda x: x = t)))))::BIGINT AS ov,
+FROM (SELECT *, list_sum(list_transform(list_distinct(toks_a), lambda t: least(len(list_filter(toks_a, lambda x: x = t)), len(list_filter(gt, lambda x: x = t)))))::BIGINT AS ov,
     list_filter(ids, lambda i: NOT contains(lower(evidence), lower(i))) AS bad
-  FROM (SELECT id, answer, evidence, ['CanIf', 'SWS_SRC1_00001'] AS gold_ids, list_distinct({O.content_tokens('question')}) AS qt, {O.content_tokens('answer')} AS at, {O.content_tokens('gold')} AS gt, {O.identifiers('answer')} AS ids FROM qa))""", qa=QA))
+  FROM (SELECT id, answer, evidence, ['CanIf', 'SWS_SRC1_00001'] AS gold_ids, list_distinct({O.content_tokens('question')}) AS qt, {O.content_tokens('answer')} AS toks_a, {O.content_tokens('gold')} AS gt, {O.identifiers('answer')} AS ids FROM qa))""", qa=QA))
 def answer_metrics(spark, d):
     a, e = F.col("answer"), F.array("evidence")
     return qa(spark, d).select(
