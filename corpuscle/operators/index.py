@@ -6,6 +6,7 @@ chunk's tokens, and counting, weighting and scoring by chunk all reuse that plac
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -32,8 +33,12 @@ def indexed_text(chunks: DataFrame) -> DataFrame:
 
 
 def tokenized(texts: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, tokens), placed by key: the one exchange of the index."""
-    return texts.select(key, T.technical_tokens(F.col(text)).alias("tokens")).repartition(F.col(key))
+    """(key, tokens), placed by key: the one exchange of the index.
+
+    Text travels, not tokens: it is a third of their size.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.select(key, F.col(text).alias("_text")).repartition(n, key).select(key, T.technical_tokens(F.col("_text")).alias("tokens"))
 
 
 def postings(tokens: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -102,8 +107,6 @@ def encode_texts(texts: DataFrame, encoder, dim: int, text: str = "text", placeh
 
     Blank text is replaced by a placeholder and a failed batch gives zero vectors.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(batch: pd.Series) -> pd.Series:
         import numpy as np

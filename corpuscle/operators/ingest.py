@@ -153,7 +153,7 @@ def topology_summary(entities: DataFrame, items: int = 40, ports: int = 12, char
     """Short text per artifact over the long entity table: components with ports, connectors, parameters."""
     from pyspark.sql.window import Window as W
 
-    own = W.partitionBy("artifact_id", "parent").orderBy("xpath")
+    own = W.partitionBy("artifact_id", "parent").orderBy("seq")
     port = (
         entities.where("entity = 'port'")
         .withColumn("rn", F.row_number().over(own))
@@ -162,7 +162,7 @@ def topology_summary(entities: DataFrame, items: int = 40, ports: int = 12, char
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "short_name"))), lambda x: x["short_name"]), ", ").alias("ports"))
     )
     ranked = entities.where(F.col("entity").isin("component", "connector", "parameter")).withColumn(
-        "rn", F.row_number().over(W.partitionBy("artifact_id", "entity").orderBy("xpath"))
+        "rn", F.row_number().over(W.partitionBy("artifact_id", "entity").orderBy("seq"))
     ).where(F.col("rn") <= items)
     side = port.withColumnsRenamed({"parent": "qualified_name"})
     lines = ranked.join(side, ["artifact_id", "qualified_name"], "left").select(

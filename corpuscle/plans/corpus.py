@@ -64,11 +64,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, make, bucket_by: str | None = None) -> DataFrame:
+def once(spark: SparkSession, sf_dir: str, name: str, make, bucket_by: str | None = None, already_placed: bool = False) -> DataFrame:
     """Ingest and index results are written once per application and then read, as a user would."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
-        _BUILT[key] = written(make(), name, bucket_by)
+        _BUILT[key] = written(make(), name, bucket_by, already_placed=already_placed)
     return _BUILT[key]
 
 
@@ -90,7 +90,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make():
         return I.postings(I.tokenized(I.indexed_text(chunks(spark, sf_dir))))
 
-    return once(spark, sf_dir, "postings", make, "chunk_id")
+    return once(spark, sf_dir, "postings", make, "chunk_id", already_placed=True)
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make():
         return I.tfidf_weights(postings(spark, sf_dir), vocabulary(spark, sf_dir), stats(spark, sf_dir))
 
-    return once(spark, sf_dir, "weights", make, "chunk_id")
+    return once(spark, sf_dir, "weights", make, "chunk_id", already_placed=True)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,12 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int | None = None,
+            already_placed: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a result is read several times or a loop would grow its lineage; the copy outlives
     a lost executor.  ``bucket_by`` keeps rows placed by that column, so later grouping or joining on
-    it needs no exchange.
+    it needs no exchange; ``already_placed`` says that the rows already lie that way, in as many
+    partitions.
     """
     spark = df.sparkSession
     tag = uuid.uuid4().hex
@@ -58,6 +60,6 @@ def written(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int
         return spark.read.schema(df.schema).parquet(path)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     view = f"{name}_{tag}"
-    placed = df.repartition(n, bucket_by)
-    placed.write.bucketBy(n, bucket_by).sortBy(bucket_by).option("path", path).saveAsTable(view)
+    placed = df if already_placed else df.repartition(n, bucket_by)
+    placed.write.bucketBy(n, bucket_by).option("path", path).saveAsTable(view)
     return spark.table(view)

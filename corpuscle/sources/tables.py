@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 from pyspark.sql.window import Window as W
 
-GOLDEN = TY.StructType.fromDDL(
+GOLDEN = (
     "query_id string, question string, category string, difficulty string, answerable boolean, "
     "needs_expert_review boolean, gold_answer string, gold_evidence_ids array<string>, required_versions array<string>, "
     "required_platforms array<string>, required_modules array<string>, gold_source_documents array<string>, "
