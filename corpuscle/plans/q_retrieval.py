@@ -80,11 +80,11 @@ def sql(body: str, **more: str) -> str:
 
 
 def combos(spark, d):
-    return FL.facets(K.chunks(spark, d))
+    return K.once(spark, d, "facets", lambda: FL.facets(K.chunks(spark, d)))
 
 
 def kept(spark, d):
-    return FL.kept_combinations(K.plans(spark, d), combos(spark, d))
+    return K.once(spark, d, "kept", lambda: FL.kept_combinations(K.plans(spark, d), combos(spark, d)))
 
 
 def _pooled(spark, d, rows):
@@ -93,6 +93,10 @@ def _pooled(spark, d, rows):
 
 
 def candidates(spark, d):
+    return K.once(spark, d, "candidates", lambda: candidate_plan(spark, d))
+
+
+def candidate_plan(spark, d):
     exact = _pooled(spark, d, R.exact_candidates(K.plans(spark, d), I.exact_ids(K.chunks(spark, d))))
     return _pooled(spark, d, R.candidate_cut(R.boosted(fused(spark, d), exact)))
 
@@ -122,7 +126,7 @@ def filter_relaxation(spark, d):
 
 @query("FLT-01 FLT-02", sql("SELECT query_id, platform, release, module, count(*) AS chunks FROM in_pool JOIN chunks USING (chunk_id) GROUP BY ALL"))
 def metadata_filter(spark, d):
-    return kept(spark, d).join(combos(spark, d), FL.FACET).select("query_id", "platform", "release", "module", "chunks")
+    return FL.kept_combinations(K.plans(spark, d), combos(spark, d)).join(combos(spark, d), FL.FACET).select("query_id", "platform", "release", "module", "chunks")
 
 
 @query("FLT-04 FLT-10", O.sql("""
@@ -240,7 +244,7 @@ def exact_candidates(spark, d):
 
 @query("RET-11", sql("SELECT query_id, chunk_id, fused_score, exact_hit FROM cands"))
 def candidate_cut(spark, d):
-    return candidates(spark, d).select("query_id", "chunk_id", "fused_score", "exact_hit")
+    return candidate_plan(spark, d).select("query_id", "chunk_id", "fused_score", "exact_hit")
 
 
 @query("RET-12 RET-13", sql("SELECT query_id, chunk_id, rank, rerank_score FROM reranked"))
@@ -395,5 +399,5 @@ def retrieve(spark, d):
 @query("RET-25")
 def ablation(spark, d):
     plans = K.plans(spark, d)
-    arms = {a: P.ARMS[a] for a in P.ARMS}
+    arms = {a: P.ARMS[a] for a in ("A_full", "D_fusion_rrf", "I_no_parent_expand")}
     return P.ablation(plans, plans.select("query_id", F.lit(0).alias("variant"), "text"), index(spark, d), K.gold(spark, d), arms)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +129,8 @@ def arxml_entities(files: DataFrame) -> DataFrame:
         (head.contains("<!DOCTYPE") | head.contains("<!ENTITY")).alias("bad"), F.decode("content", "UTF-8").alias("xml"),
     )
     names = [f.split()[0] for f in ENTITIES.split(", ")]
+    # The reader travels by value, so workers need not have this package installed.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
