@@ -26,11 +26,19 @@ def cosine_scores(spark, d):
     return S.cosine(terms(spark, d), K.weights(spark, d), K.vocabulary(spark, d), K.stats(spark, d), source=K.questions(spark, d))
 
 
+class Channels:
+    """Channel cuts by name, each written when it is first asked for."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+
+    def __getitem__(self, name):
+        make = {"bm25": bm25_scores, "dense": cosine_scores}[name]
+        return K.once(self.spark, self.d, f"channel_{name}", lambda: S.channel(make(self.spark, self.d)))
+
+
 def channels(spark, d):
-    return {
-        "bm25": K.once(spark, d, "channel_bm25", lambda: S.channel(bm25_scores(spark, d))),
-        "dense": K.once(spark, d, "channel_cosine", lambda: S.channel(cosine_scores(spark, d))),
-    }
+    return Channels(spark, d)
 
 
 def intents(spark, d):
@@ -133,7 +141,8 @@ FROM nb b FULL JOIN nd e USING (query_id, chunk_id) JOIN intents USING (query_id
 
 
 def fused(spark, d):
-    return S.weighted_fusion(channels(spark, d), intents(spark, d))
+    ch = channels(spark, d)
+    return S.weighted_fusion({"bm25": ch["bm25"], "dense": ch["dense"]}, intents(spark, d))
 
 
 @query("RET-08", O.sql("SELECT query_id, chunk_id, round(score, 6) AS score FROM fused", **FUSED_VIEWS))
