@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import text as T
 from corpuscle.functions import vocab as V
 from corpuscle.operators.evaluation import coverage
+from corpuscle.session import written
 
 # Question templates per family.
 TEMPLATES = {
@@ -184,7 +185,8 @@ def shared_terms(chunks: DataFrame, left: str, right: str, quota: int) -> DataFr
     """(term) named in both releases: API names, or frequent words when those are too few."""
     apis = F.filter("api_names", lambda a: ~a.rlike(r"^(?:SWS|SRS|PRS|TPS|RS|EXP|CONSTR|QM)_"))
     of = lambda r: chunks.where(F.col("release") == r)
-    names = of(left).select(F.lower(F.explode(apis)).alias("term")).intersect(of(right).select(F.lower(F.explode(apis)).alias("term")))
+    terms = F.explode(F.transform(apis, F.lower)).alias("term")
+    names = of(left).select(terms).intersect(of(right).select(terms))
     if names.limit(quota).count() >= quota:
         return take(names, quota, "term")
     side = F.when(F.col("release") == left, 0).when(F.col("release") == right, 1)
@@ -242,7 +244,8 @@ def generate(chunks: DataFrame, tables: DataFrame, figures: DataFrame, candidate
 
 def top_up(items: DataFrame, chunks: DataFrame, candidates: DataFrame, rounds: int = 3) -> DataFrame:
     """Grow under-target slices that can grow (hops and gap families) by their counted shortfall."""
-    absent = absent_modules(candidates, chunks)
+    absent = written(absent_modules(candidates, chunks), "absent")
+    items = written(items, "items")
     for _ in range(rounds):
         short = {r["slice"]: r["shortfall"] for r in coverage(items).where("not met").collect()}
         short = {s: n for s, n in short.items() if s == "multi_hop" or s in GAP_FAMILIES}
@@ -254,7 +257,8 @@ def top_up(items: DataFrame, chunks: DataFrame, candidates: DataFrame, rounds: i
                 more = multi_hop_items(chunks, have + 2 * n)
             else:
                 more = probe_items(take(absent, have + 2 * n, "key"), slice_, question(slice_, F.col("key"), F.col("key")), (slice_, "unanswerable", "corpus_gap"))
-            items = items.unionByName(more.join(items.select("query_id"), "query_id", "left_anti"))
+            more = more.join(items.select("query_id"), "query_id", "left_anti")
+            items = written(items.unionByName(more), "items")
     return items
 
 
