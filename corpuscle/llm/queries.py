@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscle.llm import minhash
+from corpuscle.llm import minhash, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,3 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on four-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed patterns and entropy spans."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document; a third of the ids never trains."""
+    feats = quality.featured(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels").filter(quality.not_held_out())
+    out = quality.scored(feats, quality.train(labels, feats))
+    return out.select("doc_id", (~quality.not_held_out()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
