@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import minhash, quality, secrets
+from corpuscle.llm import decontaminate, minhash, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +41,37 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(quality.not_held_out())
     out = quality.scored(feats, quality.train(labels, feats))
     return out.select("doc_id", (~quality.not_held_out()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item and its best window."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "window", "matched")
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
+def _mask_sql(src: str, key: str) -> str:
+    parts = []
+    for k, m in enumerate(decontaminate.MASKS):
+        chosen = " || ' ' || ".join(f"h[i + {p + 1}]" for p, c in enumerate(m) if c == "1")
+        parts.append(f"SELECT {key}, i AS pos, '{k} ' || {chosen} AS seed FROM (SELECT {key}, h, unnest(range(0, len(h) - {len(m) - 1})) AS i FROM {src})")
+    return " UNION ALL ".join(parts)
+
+
+#: Items are longer than the longest mask in all given tables; the tests cover shorter ones by brute force.
+SQL["op8_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS h FROM documents), b AS (SELECT item_id, {_WORDS} AS h FROM benchmark),
+ds AS ({_mask_sql('d', 'doc_id')}), bs AS ({_mask_sql('b', 'item_id')}),
+hit AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.pos - bs.pos AS diag FROM ds JOIN bs USING (seed)),
+cut AS (SELECT doc_id, item_id, least(20, len(b.h)) AS wd,
+  list_transform(range(0, least(len(d.h) - greatest(diag, 0), len(b.h) - greatest(-diag, 0))),
+    lambda j: CASE WHEN d.h[greatest(diag, 0) + j + 1] = b.h[greatest(-diag, 0) + j + 1] THEN 1 ELSE 0 END) AS same
+  FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
+sums AS (SELECT doc_id, item_id, wd, list_max(list_transform(range(0, len(same) - wd + 1), lambda s: list_sum(same[s + 1 : s + wd]))) AS matched
+  FROM cut WHERE len(same) >= wd)
+SELECT doc_id, item_id, CAST(max(wd) AS INTEGER) AS "window", CAST(max(matched) AS INTEGER) AS matched
+FROM sums WHERE matched >= wd - floor(wd * {decontaminate.TOLERANCE}) GROUP BY doc_id, item_id
+"""
