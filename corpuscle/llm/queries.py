@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import decontaminate, minhash, quality, secrets
+from corpuscle.llm import decontaminate, minhash, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,11 @@ sums AS (SELECT doc_id, item_id, wd, list_max(list_transform(range(0, len(same)
 SELECT doc_id, item_id, CAST(max(wd) AS INTEGER) AS "window", CAST(max(matched) AS INTEGER) AS matched
 FROM sums WHERE matched >= wd - floor(wd * {decontaminate.TOLERANCE}) GROUP BY doc_id, item_id
 """
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
