@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bitsliced, decontaminate, minhash, packing, quality, secrets
+from corpuscle.llm import bitsliced, decontaminate, licenses, minhash, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,3 +99,73 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rule or by link-graph propagation."""
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
+    steps = [f"m0 AS (SELECT kind, host, {1 - urls.DAMPING} * weight AS mass FROM seeds)"]
+    for i in range(urls.ROUNDS):
+        steps.append(f"""m{i + 1} AS (SELECT kind, host, sum(mass) AS mass FROM (SELECT * FROM m0 UNION ALL
+  SELECT m.kind, e.dst, m.mass * {urls.DAMPING} / e.n FROM m{i} m JOIN deg e ON m.kind = e.kind AND m.host = e.src) GROUP BY kind, host)""")
+    cut = lambda c: f"regexp_extract({c}, '(?s)^.*?://(.*)$', 1)"
+    low = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    link = urls._LINK.replace("'", "''")
+    return f"""
+WITH rules AS (SELECT * FROM (VALUES {rules}) r(rh, rp, rv)),
+u AS (SELECT page_id, coalesce({cut("coalesce(url, '')")}, '') AS rest, row_number() OVER () AS rid, html FROM pages),
+p AS (SELECT page_id, rid, html, {low("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+fit AS (SELECT rid, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+  FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid),
+j AS (SELECT p.*, rule, rv FROM p LEFT JOIN fit USING (rid)),
+seeds AS (SELECT CASE rv WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, CAST(count(*) AS DOUBLE) AS weight
+  FROM j WHERE rv IS NOT NULL AND host <> '' GROUP BY 1, 2),
+l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS link FROM p),
+lh AS (SELECT DISTINCT src, {low(f"regexp_extract({cut('CASE WHEN starts_with(link, chr(47) || chr(47)) THEN chr(58) || link ELSE link END')}, '^([^/?#]*)', 1)")} AS dst FROM l),
+e AS (SELECT 'trust' AS kind, src, dst FROM lh WHERE src <> '' AND dst <> '' AND src <> dst
+  UNION ALL SELECT 'distrust', dst, src FROM lh WHERE src <> '' AND dst <> '' AND src <> dst),
+deg AS (SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS n FROM e),
+{', '.join(steps)},
+h AS (SELECT host, round(coalesce(sum(mass) FILTER (kind = 'trust'), 0), 9) AS t, round(coalesce(sum(mass) FILTER (kind = 'distrust'), 0), 9) AS d
+  FROM m{urls.ROUNDS} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(rv, CASE WHEN d > 0 AND d >= {urls.RATIO} * t THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN h ON j.host = h.host
+"""
+
+
+SQL["op10_urls"] = _url_sql()
+
+
+@query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, paragraphs and lines whose entire text is a known licence or notice."""
+    return licenses.matches(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    quoted = lambda s: s.replace("'", "''")
+
+    def canon(c: str) -> str:
+        s = f"trim(regexp_replace(lower(regexp_replace({c}, '{quoted(licenses.COPYRIGHT_LINE)}', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        for pattern, one in licenses.SPELLINGS:
+            # This dialect has no look-ahead: the digit is captured and put back.
+            s = f"regexp_replace({s}, '{pattern.replace('(?=[0-9])', '([0-9])')}', '{one + (chr(92) + '1') * ('(?=' in pattern)}', 'g')"
+        return s
+
+    values = ", ".join(f"('{name}', '{quoted(text)}')" for name, text in licenses.KNOWN)
+    return f"""
+WITH known AS (SELECT DISTINCT license, {canon('t')} AS c FROM (VALUES {values}) k(license, t)),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT doc_id, 'document' AS unit, 0 AS position, text AS part FROM d WHERE text <> ''
+  UNION ALL SELECT doc_id, 'paragraph', i - 1, ps[i] FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS ps FROM d) WHERE len(ps) > 1)
+  UNION ALL SELECT doc_id, 'line', i - 1, ls[i] FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d) WHERE len(ls) > 1))
+SELECT doc_id, unit, CAST(position AS INTEGER) AS position, license FROM u JOIN known ON {canon('part')} = c
+"""
+
+
+SQL["op1_licenses"] = _license_sql()
