@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bitsliced, decontaminate, licenses, minhash, packing, quality, secrets, urls
+from corpuscle.llm import bitsliced, decontaminate, licenses, minhash, packing, quality, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,3 +169,12 @@ SELECT doc_id, unit, CAST(position AS INTEGER) AS position, license FROM u JOIN
 
 
 SQL["op1_licenses"] = _license_sql()
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document from its nearest labelled examples; a fifth of the ids never trains."""
+    train = table(spark, sf_dir, "labels").filter(quality.not_held_out(folds=5, held=0)).select("doc_id", F.col("toxic").alias("y"))
+    out = toxicity.scores(table(spark, sf_dir, "documents"), train)
+    held = ~quality.not_held_out(folds=5, held=0)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines")
