@@ -5,11 +5,12 @@ needs only how many pieces there are of each length: a table of at most ``capaci
 the corpus' size.  From it the driver makes the plan:
 
 1. large lengths are sorted and cut into groups of equal cardinality, each rounded up to its largest;
-2. few-size configurations of rounded lengths are chosen one after the other, each the fullest that
-   the remaining groups allow (a knapsack over the groups) and used as often as they allow;
+2. few-size configurations of rounded lengths are chosen one after the other, each the fullest around
+   the largest remaining group (a knapsack over the groups) and used as often as the groups allow;
 3. the actual lengths take the groups' places, which leaves some more room in each sequence;
 4. the small lengths, largest first, go where they fit best, into new sequences when nowhere.
 
+This is done for each number of groups in ``GROUPS`` and the plan with the fewest sequences is used.
 The plan is a list of runs: pieces of length l with ranks from r go one by one to the sequences from s,
 at offset o.  Its size depends on lengths and configurations, not on the number of documents.  A piece's
 rank among those of its length is its rank within a hash slice of its document plus the counts of the
@@ -35,7 +36,7 @@ from corpuscle.session import written
 CAPACITY, END_ID = 4096, 1
 #: Lengths above this share of the capacity are large.
 LARGE = 1 / 8
-GROUPS = 128
+GROUPS = (64, 128, 256, 512, 1024)
 #: Words whose ids a task remembers at most before it starts anew (memory only; ids do not depend on it).
 REMEMBERED = 300_000
 
@@ -111,28 +112,31 @@ def _pieces(path: str, capacity: int):
     return run
 
 
-def _fullest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[int]:
-    """How many of each rounded size fill ``capacity`` best, at most ``left`` of each."""
+def _fullest(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each rounded size go with one of the largest left to fill ``capacity`` best."""
+    take = np.zeros(len(sizes), np.int64)
+    lead = int(np.flatnonzero(left)[0])
+    take[lead] = 1
+    capacity -= int(sizes[lead])
     reach = np.zeros(capacity + 1, bool)
     reach[0] = True
-    by: list[tuple[int, int]] = []  # the item that first reached a fill, and how many of it
-    first = np.full(capacity + 1, -1, np.int64)
-    for g, (s, n) in enumerate(zip(sizes, left)):
-        for _ in range(int(min(n, capacity // s))):
+    by = np.full(capacity + 1, -1, np.int64)  # the group whose piece first reached a fill
+    for g in np.flatnonzero((left > 0) & (sizes <= capacity)).tolist() if capacity else []:
+        s = int(sizes[g])
+        for _ in range(int(min(left[g] - take[g], capacity // s))):
             new = np.zeros_like(reach)
             new[s:] = reach[:-s]
             new &= ~reach
             if not new.any():
                 break
-            first[new] = len(by)
-            by.append((g, int(s)))
+            by[new] = g
             reach |= new
+        if reach[capacity]:
+            break
     fill = int(np.flatnonzero(reach).max())
-    take = [0] * len(sizes)
     while fill:
-        g, s = by[first[fill]]
-        take[g] += 1
-        fill -= s
+        take[by[fill]] += 1
+        fill -= int(sizes[by[fill]])
     return take
 
 
@@ -188,46 +192,42 @@ class _Runs:
             self.open[room].append((s, bins))
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, how many, first sequence, offset) that place every piece once."""
+    return min((_planned(counts, capacity, g) for g in groups), key=lambda r: r.count).plan
+
+
+def _planned(counts: dict[int, int], capacity: int, groups: int) -> _Runs:
     runs = _Runs(capacity)
     used: dict[int, int] = defaultdict(int)  # ranks given out, by length
     large = sorted(((l, n) for l, n in counts.items() if l > capacity * LARGE and l < capacity), reverse=True)
     if counts.get(capacity):
         runs.plan.append((capacity, 0, counts[capacity], runs.new(counts[capacity]), 0))
-    total = sum(n for _, n in large)
-    if total:
-        # Groups of equal cardinality: (length, count) parts in descending order, each group's size its largest.
-        each = -(-total // groups)
-        members: list[list[list[int]]] = [[]]
-        free = each
-        for l, n in large:
-            while n:
-                if not free:
-                    members.append([])
-                    free = each
-                k = min(n, free)
-                members[-1].append([l, k])
-                n -= k
-                free -= k
-        sizes = np.array([m[0][0] for m in members])
-        left = np.array([sum(k for _, k in m) for m in members])
-        # The few rounded sizes are nearly filled up by small pieces later; what cannot be filled well stays for best fit.
-        small = sum(l * n for l, n in counts.items() if l <= capacity * LARGE)
-        while left.any():
-            take = np.array(_fullest(sizes, left, capacity))
-            some = take > 0
-            times = int((left[some] // take[some]).min())
-            room = capacity - int((take * sizes).sum())
-            if room > capacity * LARGE / 4 and room * times > small:
-                break
-            small -= min(small, room * times)
-            left -= take * times
-            _substitute(runs, members, take, times, used, capacity)
+    # Groups of equal cardinality: (length, count) parts in descending order, each group's size its largest.
+    each = max(1, -(-sum(n for _, n in large) // groups))
+    members: list[list[list[int]]] = []
+    free = 0
+    for l, n in large:
+        while n:
+            if not free:
+                members.append([])
+                free = each
+            k = min(n, free)
+            members[-1].append([l, k])
+            n -= k
+            free -= k
+    sizes = np.array([m[0][0] for m in members], np.int64)
+    left = np.array([sum(k for _, k in m) for m in members], np.int64)
+    while left.any():
+        take = _fullest(sizes, left, capacity)
+        some = take > 0
+        times = int((left[some] // take[some]).min())
+        left -= take * times
+        _substitute(runs, members, take, times, used, capacity)
     for l, n in sorted(counts.items(), reverse=True):
         if l < capacity and n > used[l]:
             runs.best_fit(l, used[l], n - used[l])
-    return runs.plan
+    return runs
 
 
 def _substitute(runs: _Runs, members, take, times: int, used, capacity: int) -> None:
