@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the
-shared folder and rereads it as the next stage's ``docs``.
+shared folder and rereads it as the next stage's ``docs``.  All stages but the last return the columns
+of ``docs``.  Nulls, empty texts, repeated rows and empty tables are handled as the operators say.
 """
 
 from __future__ import annotations
@@ -9,19 +10,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import minhash
+from corpuscle.llm import decontaminate, minhash, packing, quality, secrets
 from corpuscle.session import written
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from all labelled rows' draw."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.train_on(labels, docs))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group on five-word shingles at similarity 0.8 stays: that with the smallest id."""
-    found = minhash.near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi")
+    return minhash.keep_one(docs, words=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mask; every document stays."""
+    return secrets.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the remaining documents, packed into sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("minhash_near_dedup", near_duplicates)]
+STAGES = [
+    ("quality", good_quality),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontaminated),
+    ("secrets", without_secrets),
+    ("packing", packed),
+]
 
-#: No stage here can be written as SQL: the tests compare them with brute force.
+#: A trained model, sketches and a packing plan are not SQL: the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -7,16 +7,19 @@ find candidates, the likelihood of the counts of larger, smaller and equal regis
 similarity of a pair, and what may reach the threshold is verified on the full sets.
 
 Cost.  Equal sets are one vertex from the start (an aggregate with map-side combine).  A bucket is not
-expanded into pairs: its smallest member is compared with the others, components follow, and only
-pairs of one bucket whose components differ are compared after that - in small buckets all at once,
-in large ones member by member of the smaller components, until every such pair was compared or is
-connected.  No bucket is cut, so every link between colliding sets is found or implied by components.
+expanded into pairs: first its smallest member is compared with the others and components follow.
+Only buckets that then still hold several components go on, in blocks of bounded size that meet by key:
+a block pair estimates all its open pairs at once in arrays, a pair being dealt with in its first common
+band only, and keeps the members with a near partner; these bring their full sets and the block pair
+verifies open pairs, nearest first, joining components as it goes, so it returns fewer links than it has
+members.  No bucket is cut and no pair of colliding sets is left out unless components imply it.
 With the default bands a pair at similarity 0.8 collides in none with probability 1.2e-7.
 
 Edge cases: a null or empty text, or one without words, has an empty set, is its own component and is
 kept; a null doc_id takes part with a number derived from its set, gets a null ``component_id`` if
 nothing of its component has an id, and is kept only then; rows that share a doc_id are one vertex and all get its component;
 extra columns are ignored; an empty table gives an empty result.
+``text_hash`` tells rows with one id apart; ``root`` is null for rows without words.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from corpuscle.session import written
 
 BANDS, ROWS = 40, 5
 BASE, RATE, LIMIT = 1.001, 20.0, 65535
-#: Buckets of up to so many sets compare all their open pairs at once.
-SMALL = 32
-#: A pair is verified if its estimate reaches the threshold less this (six standard errors and more).
-MARGIN = 0.22
+#: Members of a bucket in a block, where registers or full sets are compared.
+NEAR_BLOCK, SET_BLOCK = 1024, 256
+#: A pair is verified if its estimate reaches the threshold less this (four standard errors).
+MARGIN = 0.12
 
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
@@ -105,8 +108,8 @@ def _sketches(k: int):
                 f2.append(int(X.mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
                 regs.append(registers(u).tobytes() if len(u) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "regs"])
+                [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "f1", "f2", "regs"])
 
     return run
 
@@ -116,16 +119,20 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return data.view(np.uint16).reshape(len(col), BANDS * ROWS)
 
 
+def _keys(regs: np.ndarray) -> np.ndarray:
+    """The bucket of each band, for rows of registers."""
+    m = regs.astype(np.uint64).reshape(len(regs), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), m.shape[:2]).copy()
+    for r in range(ROWS):
+        key = X.mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r])
+    return key.view(np.int64)
+
+
 def _banded(batches):
     for b in batches:
-        if b.num_rows == 0:
-            continue
-        m = _matrix(b.column("regs")).astype(np.uint64).reshape(b.num_rows, BANDS, ROWS)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), m.shape[:2]).copy()
-        for r in range(ROWS):
-            key = X.mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column("id").to_numpy(zero_copy_only=False), BANDS))], ["key", "id"])
+        if b.num_rows:
+            ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(_matrix(b.column("regs"))).ravel()), pa.array(ids)], ["key", "id"])
 
 
 def _estimated(batches):
@@ -152,7 +159,8 @@ class _Verifier:
         self.classes, self.percent = classes, percent
         # Only texts of vertices in a bucket with company are read again and shuffled.
         ids = members.select(F.col("id").alias("doc_id")).distinct()
-        some = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+        # Repeated rows go before they are hashed; they lie together already.
+        some = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
         self.sets = written(some.mapInArrow(_full_sets(k), "id long, set array<long>"), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -172,58 +180,150 @@ class _Verifier:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, root and text_hash for every row of ``docs`` (doc_id, text).
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their ``words``-word shingles.
     """
-    docs = docs.select("doc_id", "text")
-    sk = written(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, f1 long, f2 long, regs binary"), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    sk = written(docs.mapInArrow(_sketches(words), "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, regs binary"), "sketches")
     key = F.coalesce(F.min("doc_id"), F.first("f1"))
     classes = written(sk.filter("n_shingles > 0").groupBy("f1", "f2", F.col("n_shingles").alias("n"))
                       .agg(key.alias("id"), F.max("regs").alias("regs"), F.min("doc_id").alias("first_id")), "classes")
     roots = _roots(docs, classes, words, percent)
     full = classes.join(roots, "id", "left").select("f1", "f2", "n", "first_id", F.coalesce("root", "id").alias("root"))
     least = full.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    full = full.join(least, "root").select("f1", "f2", F.col("n").alias("n_shingles"), "component_id")
+    full = full.join(least, "root").select("f1", "f2", F.col("n").alias("n_shingles"), "component_id", "root")
     # Copies of one text meet their class by fingerprint: the class side is small, AQE splits a hot one.
-    out = sk.select("doc_id", "n_shingles", "f1", "f2").join(full, ["f1", "f2", "n_shingles"], "left")
+    out = sk.drop("regs").join(full, ["f1", "f2", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", own.alias("component_id"), "root", "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root", "text_hash")
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` for each component, all columns kept: that with the smallest id.
+
+    Of rows that share this id the one with the smallest text hash stays, and of fully repeated rows
+    one.  Rows without words are no group and all stay.
+    """
+    found = near_duplicates(docs, words, percent).filter("kept")
+    alone = found.filter("root IS NULL").select("doc_id", "text_hash", F.lit(0).alias("n")).distinct()
+    first = (found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("m"), F.count("*").alias("n"))
+             .select("m.doc_id", "m.text_hash", "n"))
+    keys = written(alone.unionByName(first), "kept").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "n")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("k_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("k_hash"))
+    once = docs.join(keys.filter("n <= 1"), same, "left_semi")
+    if keys.filter("n > 1").isEmpty():
+        return once
+    return once.unionByName(docs.join(keys.filter("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def _roots(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, root) of the classes that have a link."""
     bands = classes.select("id", "regs").mapInArrow(_banded, "key long, id long").distinct()
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lead")).filter("size > 1")
     members = written(bands.join(sizes, "key"), "members")
     check = _Verifier(docs, classes, members, words, percent)
     links = check.links(members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     roots = components(links)
-    done = members.select("key", F.col("lead").alias("id")).distinct()  # members compared with all of their bucket
-    turn = 0
-    while True:
-        # Buckets that still join several components, and what was not yet compared there.
-        now = members.join(roots, "id", "left").select("key", "n", "id", F.coalesce("root", "id").alias("root"))
-        open_ = now.join(done, ["key", "id"], "left_anti")
-        split = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-        fresh = open_.join(split, "key", "left_semi")
-        per_root = fresh.groupBy("key", "root").agg(F.count("*").alias("c"))
-        several = per_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-        todo = written(fresh.join(several.select("key", F.col("top.root").alias("top")), "key"), "open")
-        if todo.isEmpty():
-            return roots
-        small = todo.filter(F.col("n") <= SMALL)
-        lead = todo.filter((F.col("n") > SMALL) & (F.col("root") != F.col("top")))
-        # More leaders each round; the hash picks them without ordering a bucket in one task.
-        share = lead.groupBy("key").agg(F.count("*").alias("outside"))
-        lead = lead.join(share, "key").filter(
-            F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.lit(1), F.col("outside") / F.lit(4 << min(turn, 40))).cast("long")) == 0)
-        lead = written(lead.select("key", "id", "root"), "leaders")
-        pair = lambda l, r: (l.select("key", F.col("id").alias("i"), F.col("root").alias("ri"))
-                             .join(r.select("key", F.col("id").alias("j"), F.col("root").alias("rj")), "key").filter("ri <> rj"))
-        pairs = pair(small, small).filter("i < j").unionByName(pair(lead, todo.filter(F.col("n") > SMALL)))
-        more = check.links(pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
-        links = written(links.unionByName(more), "links")
-        roots = components(links)
-        done = written(done.unionByName(small.select("key", "id")).unionByName(lead.select("key", "id")).distinct(), "done")
-        turn += 1
+    now = members.join(roots, "id", "left").select("key", "size", "id", F.coalesce("root", "id").alias("root"))
+    split = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    regs = classes.select("id", "n", "regs")
+    todo = written(now.join(split, "key", "left_semi").join(regs, "id"), "open")
+    if todo.isEmpty():
+        return roots
+    near = (_block_pairs(todo, NEAR_BLOCK).groupBy("key", "p", "q").applyInArrow(_near_members(percent), "key long, id long").distinct())
+    sized = near.join(near.groupBy("key").agg(F.count("*").alias("size")), "key")
+    with_sets = sized.join(todo.drop("size"), ["key", "id"]).join(check.sets, "id")
+    more = _block_pairs(with_sets, SET_BLOCK).groupBy("key", "p", "q").applyInArrow(_open_links(percent), "a long, b long").distinct()
+    return components(links.unionByName(written(more, "more")))
+
+
+def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of a key, dealt to blocks by a hash of the id and repeated for each pair (p, q) of blocks theirs is in."""
+    n = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(11)), n).cast("int")
+    other = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return other.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other", "size")
+
+
+class _Open:
+    """The pairs of a block pair that its components leave open, with their estimates."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        order = np.argsort(t.column("id").to_numpy())  # so that a retried task gives the same links
+        t = t.take(order)
+        self.ids, self.root, self.n, self.own = (t.column(c).to_numpy() for c in ("id", "root", "n", "own"))
+        self.t, self.percent = t, percent
+        self.regs = _matrix(t.column("regs"))
+        self.bands = self.regs.reshape(len(self.ids), BANDS, ROWS)
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        self.left = np.flatnonzero(self.own == p)
+        self.right = np.flatnonzero(self.own == q)
+        self.same_block = p == q
+        # The band of this key is the one whose hash gives it.
+        self.key = t.column("key")[0].as_py()
+        first = _keys(self.regs[:1])[0]
+        self.band = int(np.flatnonzero(first == np.int64(self.key))[0])
+
+    def pairs(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """(other rows, estimates) of the open pairs of a row of the left block."""
+        j = self.right[self.right > row] if self.same_block else self.right
+        j = j[self.root[j] != self.root[row]]
+        lo, hi = np.minimum(self.n[j], self.n[row]), np.maximum(self.n[j], self.n[row])
+        j = j[lo * 100 >= hi * self.percent]
+        if self.band and len(j):
+            early = (self.bands[j, : self.band] == self.bands[row, : self.band]).all(axis=2).any(axis=1)
+            j = j[~early]
+        if not len(j):
+            return j, np.zeros(0)
+        # The share of equal registers bounds the estimate closely enough to spare most likelihoods.
+        j = j[(self.regs[j] == self.regs[row]).mean(axis=1) >= self.percent / 100 - MARGIN - 0.03]
+        est = estimate(np.broadcast_to(self.regs[row], (len(j), self.regs.shape[1])), self.regs[j], np.full(len(j), self.n[row]), self.n[j])
+        ok = est >= self.percent / 100 - MARGIN
+        return j[ok], est[ok]
+
+
+def _near_members(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        o, hit = _Open(t, percent), set()
+        for i in o.left.tolist():
+            j, _ = o.pairs(i)
+            if len(j):
+                hit.add(i)
+                hit.update(j.tolist())
+        ids = o.ids[sorted(hit)] if hit else np.zeros(0, np.int64)
+        return pa.table({"key": pa.array(np.full(len(ids), o.key, np.int64)), "id": pa.array(ids, pa.int64())})
+
+    return run
+
+
+def _open_links(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        o = _Open(t, percent)
+        sets = [x.values.to_numpy() for x in o.t.column("set")]
+        parent = {r: r for r in set(o.root.tolist())}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        pairs = []
+        for i in o.left.tolist():
+            j, est = o.pairs(i)
+            pairs += zip((-est).tolist(), [i] * len(j), j.tolist())
+        a, b = [], []
+        for _, i, j in sorted(pairs):
+            x, y = find(int(o.root[i])), find(int(o.root[j]))
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[x] = y
+                a.append(int(o.ids[i]))
+                b.append(int(o.ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run

@@ -198,6 +198,14 @@ def train(labels: DataFrame, feats: DataFrame, label: str = "quality", fit_rows:
     return fit(x, np.array([r.y for r in drawn], np.float64))
 
 
+def train_on(labels: DataFrame, docs: DataFrame, label: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
+    """Fit on at most ``fit_rows`` labelled rows of ``docs`` without computing the features of all texts."""
+    lab = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), label)
+    lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(fit_rows)  # small rows: safe to broadcast
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(lab.select("doc_id").distinct()), "doc_id", "left_semi")
+    return train(lab, chosen.mapInArrow(_extract, "doc_id long, x array<double>"), label, fit_rows)
+
+
 def featured(docs: DataFrame) -> DataFrame:
     """(doc_id, x) with the features of every row, written once."""
     return written(docs.select("doc_id", "text").mapInArrow(_extract, "doc_id long, x array<double>"), "features")
