@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bitsliced, decontaminate, licenses, minhash, packing, quality, secrets, toxicity, urls
+from corpuscle.llm import bitsliced, decontaminate, licenses, minhash, packing, quality, repeats, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -178,3 +178,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.scores(table(spark, sf_dir, "documents"), train)
     held = ~quality.not_held_out(folds=5, held=0)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines")
+
+
+@query
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 200-byte strings that stand elsewhere too."""
+    return repeats.cut_repeats(table(spark, sf_dir, "documents"))
