@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuscle.llm import bitsliced, decontaminate, graph, licenses, minhash, packing, quality, secrets, texts, toxicity, urls
+from corpuscle.llm import bitsliced, decontaminate, graph, licenses, minhash, packing, quality, repeats, secrets, suffixes, texts, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, regs string, h string"
 EDGE = [None, "", " \n\t", "one", "a b c", "x" * 5000, "w " * 3000, "ä ö ü ß é", "\u00a0\u2028x", "same text here now", "same text here now"]
@@ -379,3 +379,58 @@ def test_toxicity_scores_every_row(spark):
     assert all((got[i].score >= 0.5) == (i % 5 == 0) for i in range(200)) and all(i not in got[i].neighbours for i in got)
     none = toxicity.scores(d, labels.limit(0)).collect()
     assert len(none) == len(got) and {r.score for r in none} == {0.5} and toxicity.scores(d.limit(0), labels).count() == 0
+
+
+def test_suffix_arrays_match_sorting():
+    rng = random.Random(0)
+    for _ in range(400):
+        x = [rng.randrange(rng.choice([1, 2, 3, 12])) for _ in range(rng.randrange(0, 40))]
+        assert suffixes.suffix_array(x) == sorted(range(len(x)), key=lambda i: x[i:])
+
+
+def brute_repeats(rows):
+    count, raw = defaultdict(int), {i: (t or "").encode() for i, t in rows}
+    for b in raw.values():
+        for i in range(len(b) - 199):
+            count[b[i : i + 200]] += 1
+    out = {}
+    for k, b in raw.items():
+        m = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if count[b[i : i + 200]] > 1:
+                m[i : i + 200] = b"\1" * 200
+        spans = sum(1 for i in range(len(m)) if m[i] and (i == 0 or not m[i - 1]))
+        out[k] = (len(b), sum(m), spans, hashlib.sha256(bytes(x for x, y in zip(b, m) if not y)).hexdigest())
+    return out
+
+
+def repeat_texts(rng):
+    line = lambda n: " ".join(rng.choice(["alpha", "bête", "gamma", "dö", "e"]) + str(rng.randrange(50)) for _ in range(n))
+    shared = [line(60) for _ in range(4)]
+    out = ["x" * 700, "ab" * 300, "ab" * 120, line(200), shared[0] + shared[0], line(26), "y" * 199, "z" * 200, "z" * 200]
+    for _ in range(60):
+        p = rng.choice(shared)
+        a = rng.randrange(0, 40)
+        p = p[a : a + rng.randrange(150, 400)]
+        if rng.random() < 0.3:
+            k = rng.randrange(len(p))
+            p = p[:k] + "#" + p[k + 1 :]
+        out.append(f"{line(rng.randrange(0, 40))} {p} {line(rng.randrange(0, 40))}"[rng.randrange(0, 3) :])
+    return out + out[20:26]
+
+
+@pytest.mark.parametrize("crowd,bits", [(512, 27), (2, 12)])
+def test_repeats_match_brute_force(spark, monkeypatch, crowd, bits):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "BITMAP_BITS", max(bits, repeats.CHUNK_BITS))
+    rows = list(enumerate(repeat_texts(random.Random(crowd)) + EDGE))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cut_repeats(docs_of(spark, [t for _, t in rows])).collect()}
+    want = brute_repeats(rows)
+    assert {i for i in got if got[i] != want[i]} == set() and sum(w[1] for w in want.values()) > 5000
+    assert repeats.cut_repeats(docs_of(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_repeated_rows_repeat_each_other(spark):
+    t = prose(random.Random(1), 90)
+    got = repeats.cut_repeats(docs_of(spark, [t, t, prose(random.Random(2), 90), t + " more"], [5, 5, 5, None])).orderBy("n_bytes").collect()
+    assert sorted(r.n_removed for r in got) == [0, len(t), len(t), len(t)] and {r.doc_id for r in got} == {5, None}
