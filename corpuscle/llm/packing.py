@@ -23,6 +23,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.llm import texts as X
 from corpuscle.session import written
 
 CAPACITY, END_ID = 4096, 1
@@ -38,47 +40,124 @@ CAPACITY, END_ID = 4096, 1
 LARGE = 1 / 8
 GROUPS = (64, 128, 256, 512, 1024)
 #: Words whose ids a task remembers at most before it starts anew (memory only; ids do not depend on it).
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+
+
+_BREAK = np.zeros(256, bool)
+_BREAK[[0x20, 0x0A]] = True
+#: Kinds of bytes in a plain word: 1 letter, 2 digit, 3 other printable, 0 not plain.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = 1
+_KIND[0x30:0x3A] = 2
+_KIND[[0x27, 0x3C]] = 0  # contractions and special tokens have rules of their own
+
+
+def _fast_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as ranks of byte strings, a blank standing for the end of a word.
+
+    None unless the file is a word-end BPE vocabulary whose ids follow the order of its merges.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("end_of_word_suffix") != "</w>" or any(model["vocab"].get("".join(m)) != 512 + i for i, m in enumerate(model["merges"])):
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in printable)}
+    out = {}
+    for token, i in model["vocab"].items():
+        end = token.endswith("</w>") and len(token) > 4
+        raw = bytes(byte[c] for c in (token[:-4] if end else token)) if set(token.removesuffix("</w>")) <= byte.keys() else b" "
+        if 32 not in raw:
+            out[raw + b" " * end] = i
+    return out | {b" ": len(model["vocab"]) + 16}
 
 
 class Encoder:
-    """Ids of texts, word by word: the tokenizer never joins across a blank or line end."""
+    """Ids of texts, word by word: the tokenizer never joins across a blank or line end.
+
+    The different words of a block are found by hash; new ones are encoded once and remembered.  Words of
+    ASCII and Latin-1 letters, digits and signs are lower-cased and split here by the vocabulary's rules
+    and merged by ranks, which gives the same ids as the tokenizer several times faster; any other word
+    goes through the tokenizer as it is.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ranks = _fast_ranks(path)
+        self.ranked = ranks and tiktoken.Encoding("ranks", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        if ranks:
+            self.last = np.zeros(max(ranks.values()) + 1, bool)
+            self.last[[i for raw, i in ranks.items() if raw.endswith(b" ")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(1 << 16, np.uint32), [0]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > REMEMBERED:
+        self.number: dict[int, int] = {}
+        self.ids, self.starts, self.used, self.words = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
+
+    def _remember(self, names: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.words + len(sizes) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.number.update(zip(names.tolist(), range(self.words, self.words + len(sizes))))
+        self.starts[self.words + 1 : self.words + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.words, self.used = self.words + len(sizes), self.used + len(ids)
+
+    def _learn(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, names: np.ndarray) -> None:
+        n = e - s
+        first = np.cumsum(n) - n
+        b = data[np.arange(int(n.sum())) + np.repeat(s - first, n)]
+        kind = _KIND[b]
+        second = np.zeros(len(b), bool)  # after the lead byte of a Latin-1 letter
+        second[1:] = b[:-1] == 0xC3
+        second &= (b >= 0x80) & (b < 0xC0) & (b != 0x97) & (b != 0xB7)
+        kind[second] = 1
+        plain = np.minimum.reduceat(kind, first) > 0
+        if self.ranked is None:
+            plain[:] = False
+        if plain.any():
+            keep = np.repeat(plain, n)
+            starts = np.zeros(len(b), bool)
+            starts[first] = True
+            b, kind, second, starts = b[keep], kind[keep], second[keep], starts[keep]
+            b = b + np.where((b >= 0x41) & (b < 0x5B) | second & (b >= 0x80) & (b < 0x9F), np.uint8(32), np.uint8(0))
+            edge = starts | (kind == 2)
+            edge[1:] |= kind[1:] != kind[:-1]
+            text = np.full(len(b) + int(edge.sum()), 0x20, np.uint8)
+            text[np.arange(len(b)) + np.cumsum(edge) - 1] = b
+            ids = np.array(self.ranked.encode_ordinary(text.tobytes().decode()), np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1  # one for each piece
+            pieces = np.add.reduceat(edge.astype(np.int64), np.flatnonzero(starts))
+            self._remember(names[plain], ids, np.diff(ends[np.cumsum(pieces) - 1], prepend=0))
+        if not plain.all():
+            other = np.flatnonzero(~plain)
+            own = [x.ids for x in self.tokenizer.encode_batch([data[s[i] : e[i]].tobytes().decode() for i in other.tolist()], add_special_tokens=False)]
+            self._remember(names[other], np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64))
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block of texts, and how many each text has."""
+        if self.words > REMEMBERED:
             self.forget()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        number = self.number
-        new = {w for p in parts for w in p if w not in number}
-        if new:
-            new = list(new)
-            for w, enc in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                ids = enc.ids
-                at, end = self.starts[-1], self.starts[-1] + len(ids)
-                while end > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[at:end] = ids
-                number[w] = len(self.starts) - 1
-                self.starts.append(end)
-        starts = np.array(self.starts, np.int64)
-        out = []
-        for p in parts:
-            w = np.fromiter(map(number.__getitem__, p), np.int64, len(p))
-            a, n = starts[w], starts[w + 1] - starts[w]
-            ends = np.cumsum(n)
-            total = int(ends[-1])
-            out.append(self.ids[np.arange(total) + np.repeat(a - ends + n, n)])
-        return out
+        s, e, first = X.words(data, offs, _BREAK)
+        if not len(s):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        names, at, word = np.unique(X.span_hashes(data, s, e), return_index=True, return_inverse=True)
+        get = self.number.get
+        known = np.array([get(x, -1) for x in names.tolist()], np.int64)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            self._learn(data, s[at[new]], e[at[new]], names[new])
+            known[new] = [get(x) for x in names[new].tolist()]
+        a = self.starts[known]
+        n = (self.starts[known + 1] - a)[word]
+        total = np.concatenate(([0], np.cumsum(n)))
+        out = self.ids[np.arange(total[-1]) + np.repeat(a[word] - total[:-1], n)]
+        return out, np.diff(total[first])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -88,23 +167,17 @@ def _pieces(path: str, capacity: int):
     def run(batches):
         enc = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for b in batches:
-            doc, texts = b.column("doc_id").to_pylist(), b.column("text")
-            size, i = 0, 0
-            ids: list[np.ndarray] = []
-            while i < len(doc):
-                part, size = [], 0
-                while i < len(doc) and size < 1 << 20:
-                    part.append(texts[i].as_py() or "")
-                    size += len(part[-1])
-                    i += 1
-                ids += enc.encode(part)
-            out = defaultdict(list)
-            for d, x in zip(doc, ids):
-                x = np.append(x, np.uint32(END_ID)).astype("<u4")
-                for k, at in enumerate(range(0, len(x), capacity)):
-                    cut = x[at : at + capacity]
-                    for name, v in (("doc_id", d), ("piece", k), ("start", at), ("length", len(cut)), ("ids_crc32", zlib.crc32(cut.tobytes()))):
-                        out[name].append(v)
+            doc, out = b.column("doc_id").to_pylist(), defaultdict(list)
+            for first, _, data, offs in X.blocks(b.column("text")):
+                ids, sizes = enc.encode(data, offs)
+                ids, at = ids.astype("<u4"), 0
+                for d, n in zip(doc[first:], sizes.tolist()):
+                    x = np.append(ids[at : at + n], np.uint32(END_ID)).astype("<u4")
+                    at += n
+                    for k, start in enumerate(range(0, len(x), capacity)):
+                        cut = x[start : start + capacity]
+                        for name, v in (("doc_id", d), ("piece", k), ("start", start), ("length", len(cut)), ("ids_crc32", zlib.crc32(cut.tobytes()))):
+                            out[name].append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["doc_id"], pa.int64()), pa.array(out["piece"], pa.int32()), *(pa.array(out[c], pa.int64()) for c in ("start", "length", "ids_crc32"))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
