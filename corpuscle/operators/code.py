@@ -11,18 +11,25 @@ from corpuscle.operators.filters import grams
 
 
 def advisory_scan(files: DataFrame) -> DataFrame:
-    """(path, line, rule, location, message): every match of every rule, line by line."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("i", "s"))
+    """(path, line, rule, location, message): every match of every rule in the whole text.
 
+    A match may span lines; its line is that of its first character, counted from the text before it.
+    """
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
     def hits_of(rule: str, pattern: str, message: str):
-        one = F.struct(F.lit(rule).alias("rule"), F.lit(message).alias("why"))
-        return F.transform(T.found(F.col("s"), pattern, 0), lambda m: one)
-
-    per_rule = [hits_of(*r) for r in V.CODE_RULES]
-    hits = lines.select("path", (F.col("i") + 1).alias("line"), F.explode(F.concat(*per_rule)).alias("h"))
+        # Line breaks before each match: those of the pieces between matches and of earlier matches.
+        counts = lambda found: F.zip_with(F.split("text", pattern, -1), found, lambda p, m: F.struct(breaks(p).alias("p"), F.coalesce(breaks(m), F.lit(0)).alias("m")))
+        first = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<int>)").alias("lines"))
+        lines = lambda c: F.aggregate(
+            c, first, lambda s, x: F.struct((s["at"] + x["p"] + x["m"]).alias("at"), F.concat(s["lines"], F.array(s["at"] + x["p"])).alias("lines")),
+            lambda s: s["lines"])
+        made = lambda found: F.when(F.size(found) > 0, F.slice(lines(counts(found)), 1, F.size(found))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(T.let(T.found(F.col("text"), pattern, 0), made), lambda n: F.struct(n.alias("line"), F.lit(rule).alias("rule"), F.lit(message).alias("why")))
+
+    hits = files.select("path", F.explode(F.concat(*[hits_of(*r) for r in V.CODE_RULES])).alias("h"))
     return hits.select(
-        "path", "line", "h.rule", F.concat_ws(":", "path", F.col("line").cast("string")).alias("location"),
+        "path", "h.line", "h.rule", F.concat_ws(":", "path", F.col("h.line").cast("string")).alias("location"),
         F.concat("h.why", F.lit(f" [{V.ADVISORY}]")).alias("message"),
     )
 

@@ -6,6 +6,7 @@ share few combinations, so (question, combination) stays small and meets candida
 
 from __future__ import annotations
 
+from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -136,30 +137,37 @@ def grams(c: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))
 
 
-def requirement_search(chunks: DataFrame, wanted: DataFrame, limit: int = 50) -> DataFrame:
-    """Chunks with an id containing the wanted text: (query_id, chunk_id, rn).
+def requirement_search(chunks: DataFrame, wanted: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chunks with an id containing the wanted text, in any case: (query_id, chunk_id, rn).
 
-    ``wanted`` is (query_id, needle, release or '') with needles of three characters or more.  Ids
-    and needles meet on a needle's first three characters; the substring test follows.
+    ``wanted`` is (query_id, needle, release or '').  Ids and needles meet on a needle's first three
+    characters (a shorter needle meets whole); the substring test follows.  ``limit`` keeps the first rows
+    of a question; none by default.
     """
-    ids = chunks.select(F.explode("requirement_ids").alias("rid")).distinct()
-    offered = ids.select("rid", F.explode(grams(F.col("rid"))).alias("key"))
-    keyed = wanted.withColumn("key", F.substring("needle", 1, 3)).withColumnRenamed("release", "want")
-    hits = offered.join(keyed, "key").where(F.col("rid").contains(F.col("needle"))).select("rid", "query_id", "want")
+    ids = chunks.select(F.explode("requirement_ids").alias("rid")).distinct().withColumn("low", F.lower("rid"))
+    short = wanted.select(F.length("needle").alias("n")).distinct()
+    sizes = {n: grams(F.col("low"), n) for n in (1, 2, 3)}
+    # Grams of one and two characters are offered only if a needle is that short.
+    offered = [ids.select("rid", "low", F.lit(n).alias("n"), F.explode(g).alias("key")) for n, g in sizes.items()]
+    asked = short.select(F.least(F.greatest("n", F.lit(1)), F.lit(3)).alias("n")).distinct()
+    keys = reduce(DataFrame.unionByName, offered).join(F.broadcast(asked), "n", "left_semi").select("rid", "low", "key").distinct()
+    keyed = wanted.where("needle <> ''").select("query_id", F.lower("needle").alias("needle"), F.col("release").alias("want")).withColumn("key", F.substring("needle", 1, 3))
+    hits = keys.join(keyed, "key").where(F.col("low").contains(F.col("needle"))).select("rid", "query_id", "want")
     rows = chunks.select("chunk_id", "release", F.explode("requirement_ids").alias("rid")).join(hits, "rid")
     rows = rows.where((F.col("want") == "") | (F.col("release") == F.col("want")))
-    found = rows.select("query_id", "chunk_id").distinct()
-    return found.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("chunk_id"))).where(F.col("rn") <= limit)
+    found = rows.select("query_id", "chunk_id").distinct().withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("chunk_id")))
+    return found if limit is None else found.where(F.col("rn") <= limit)
 
 
-def caption_search(sidecars: DataFrame, needle: str, text_columns: list[str], release: str = "", limit: int = 20) -> DataFrame:
-    """Tables or figures whose caption (or rows) contain a text."""
+def caption_search(sidecars: DataFrame, needle: str, text_columns: list[str], release: str = "", limit: int | None = None) -> DataFrame:
+    """Tables or figures whose caption (or rows) contain a text; the first ``limit`` if one is given."""
     hit = F.lit(False)
     for c in text_columns:
         hit = hit | F.lower(F.coalesce(F.col(c), F.lit(""))).contains(needle.lower())
     if release:
         hit = hit & (F.col("release") == release)
-    return sidecars.where(hit).orderBy("evidence_id").limit(limit)
+    found = sidecars.where(hit)
+    return found if limit is None else found.orderBy("evidence_id").limit(limit)
 
 
 def corpus_facets(documents: DataFrame, columns: list[str]) -> DataFrame:
@@ -183,20 +191,21 @@ def missing_slots(plans: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def source_lookup(evidence_id: str, chunks: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
-    """One id looked up in chunks, tables and figures: (kind, evidence_id, document_id, page_index)."""
-    one = lambda df, kind, key: df.where(F.col(key) == evidence_id).select(
+def source_lookup(wanted: DataFrame, chunks: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
+    """Ids (evidence_id) looked up in chunks, tables and figures: (kind, evidence_id, document_id, page_index)."""
+    one = lambda df, kind, key: df.select(
         F.lit(kind).alias("kind"), F.col(key).alias("evidence_id"), "document_id", "page_index"
-    )
+    ).join(wanted.select("evidence_id").distinct(), "evidence_id", "left_semi")
     return one(chunks, "chunk", "chunk_id").unionByName(one(tables, "table", "evidence_id")).unionByName(one(figures, "figure", "evidence_id"))
 
 
-def page_neighbours(hits: DataFrame, chunks: DataFrame, limit: int = 20) -> DataFrame:
-    """Chunks on the page of each hit, the first ``limit``: (hit_id, chunk_id, rn)."""
+def page_neighbours(hits: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chunks on the page of each hit, the first ``limit`` if one is given: (hit_id, chunk_id, rn)."""
     same = hits.select(F.col("chunk_id").alias("hit_id"), "document_id", "page_index").join(
         chunks.select("chunk_id", "document_id", "page_index"), ["document_id", "page_index"]
     )
-    return same.withColumn("rn", F.row_number().over(W.partitionBy("hit_id").orderBy("chunk_id"))).where(F.col("rn") <= limit)
+    ranked = same.withColumn("rn", F.row_number().over(W.partitionBy("hit_id").orderBy("chunk_id")))
+    return ranked if limit is None else ranked.where(F.col("rn") <= limit)
 
 
 def optional_filter(df: DataFrame, **wanted) -> DataFrame:

@@ -43,34 +43,47 @@ def content_risk(text: Column, filename: Column, declared: Column) -> Column:
     )
 
 
+def _substituted(text: Column, pattern: str, kind: str, first: Column) -> Column:
+    """(out, pairs): every match of ``pattern`` replaced by its token, the rest of the text untouched.
+
+    Equal values share a token, numbered from ``first`` + 1 in order of appearance.
+    """
+    def build(found: Column) -> Column:
+        values = F.array_distinct(found)
+        number = lambda v: F.format_string(f"<{kind}_%03d>", (F.array_position(values, v) + first).cast("int"))
+        pieces = F.split(text, pattern, -1)  # one more than matches
+        joined = F.array_join(F.flatten(F.zip_with(pieces, found, lambda p, v: F.array(p, F.coalesce(F.when(v.isNotNull(), number(v)), F.lit(""))))), "")
+        return F.struct(joined.alias("out"), F.transform(values, lambda v: F.struct(number(v).alias("token"), v.alias("value"))).alias("pairs"))
+
+    return T.let(T.found(text, pattern, 0), build)
+
+
 def redact(text: Column, project_hint: Column | None = None, parity: bool = False) -> Column:
     """(redacted, tokens): each sensitive value becomes ``<KIND_001>``, the same value the same token.
 
-    Kinds are replaced in a fixed order on the text the previous kinds left behind.
+    Kinds are replaced at their matches, in a fixed order, on the text the previous kinds left behind.
     """
-    rules = [("VIN", V.VIN, 0), ("INTERNAL_IP", V.PRIVATE_IP_SHORT if parity else V.PRIVATE_IP, 0), ("EMAIL", V.EMAIL, 0)]
-    out = text
-    found_maps = []
-
-    def apply(out: Column, values: Column, kind: str) -> tuple[Column, Column]:
-        pairs = F.transform(
-            values,
-            lambda v, i: F.struct(F.format_string(f"<{kind}_%03d>", i + 1).alias("token"), v.alias("value")),
-        )
-        # Longer values first, so a value inside another one cannot cut it.
-        ordered = F.reverse(F.array_sort(F.transform(pairs, lambda p: F.struct(F.length(p["value"]).alias("n"), p.alias("p")))))
-        replaced = F.aggregate(ordered, out, lambda acc, x: F.replace(acc, x["p"]["value"], x["p"]["token"]))
-        return replaced, pairs
-
-    for kind, pattern, group in rules:
-        out, pairs = apply(out, F.array_distinct(T.found(out, pattern, group)), kind)
-        found_maps.append(pairs)
+    rules = [("VIN", V.VIN), ("INTERNAL_IP", V.PRIVATE_IP_SHORT if parity else V.PRIVATE_IP), ("EMAIL", V.EMAIL)]
+
+    def step(state: Column, pattern: str, kind: str, first: Column) -> Column:
+        done = T.let(state["out"], lambda t: _substituted(t, pattern, kind, first))
+        return T.let(done, lambda x: F.struct(x["out"].alias("out"), F.concat(state["pairs"], x["pairs"]).alias("pairs")))
+
+    none = F.expr("cast(array() as array<struct<token:string,value:string>>)")
+    state = F.struct(text.alias("out"), none.alias("pairs"))
+    next_kind = lambda kind, pattern: lambda st: step(st, pattern, kind, F.lit(0))
+    for kind, pattern in rules:
+        state = T.let(state, next_kind(kind, pattern))
     hint = F.coalesce(project_hint, F.lit("")) if project_hint is not None else F.lit("")
-    hinted = F.when((hint != "") & out.contains(hint), F.array(hint)).otherwise(F.expr("cast(array() as array<string>)"))
-    names = F.array_distinct(F.concat(hinted, T.found(F.replace(out, hint, F.lit(" ")) if project_hint is not None else out, V.PROJECT_NAME, 1)))
-    out, pairs = apply(out, names, "PROJECT")
-    found_maps.append(pairs)
-    return F.struct(out.alias("redacted"), F.concat(*found_maps).alias("tokens"))
+
+    def projects(st: Column) -> Column:
+        hinted = (hint != "") & st["out"].contains(hint)
+        token = F.struct(F.lit("<PROJECT_001>").alias("token"), hint.alias("value"))
+        out = F.when(hinted, F.replace(st["out"], hint, F.lit("<PROJECT_001>"))).otherwise(st["out"])
+        pairs = F.when(hinted, F.concat(st["pairs"], F.array(token))).otherwise(st["pairs"])
+        return T.let(F.struct(out.alias("out"), pairs.alias("pairs")), lambda x: step(x, V.PROJECT_NAME, "PROJECT", F.when(hinted, 1).otherwise(0)))
+
+    return T.let(T.let(state, projects), lambda st: F.struct(st["out"].alias("redacted"), st["pairs"].alias("tokens")))
 
 
 def restore(text: Column, tokens: Column) -> Column:

@@ -16,9 +16,10 @@ def outcome(clarify: Column, abstained: Column, coverage: Column) -> Column:
     return F.when(clarify, "CLARIFY").when(abstained, "ABSTAIN").when(coverage < 1, "PARTIAL").otherwise("ANSWERED")
 
 
-def log_merge(log: DataFrame, downvoted: DataFrame, newest: int = 5000) -> DataFrame:
-    """The newest log rows plus down-voted questions whose text is not among them."""
-    recent = log.orderBy(F.desc("created_at"), "id").limit(newest).select("id", "query", "outcome", "intent")
+def log_merge(log: DataFrame, downvoted: DataFrame, newest: int | None = None) -> DataFrame:
+    """The log rows (the ``newest`` only, if a number is given) plus down-voted questions whose text is not among them."""
+    recent = log if newest is None else log.orderBy(F.desc("created_at"), "id").limit(newest)
+    recent = recent.select("id", "query", "outcome", "intent")
     extra = downvoted.join(recent.select("query").distinct(), "query", "left_anti")
     return recent.unionByName(extra.select("id", "query", F.lit("DOWN").alias("outcome"), "intent"))
 
@@ -53,17 +54,16 @@ def _ordered(reps: DataFrame) -> DataFrame:
     return words.join(freq, "tok").select("id", "n", "tok", F.row_number().over(W.partitionBy("id").orderBy("f", "tok")).alias("pos"))
 
 
-def _pairs(reps: DataFrame, t: float, at_least: int = 1, small: int = 0) -> DataFrame:
-    """Exact pairs by the prefix rule: two sets that share ``need`` tokens share one of the first
-    n - need + 1 in a common order.  Rarest first keeps frequent tokens out of the prefixes, and sizes
-    are compared before a pair is built.  Pairs of two sets of at most ``small`` tokens are skipped."""
+def _pairs(reps: DataFrame, t: float, at_least: int = 1) -> DataFrame:
+    """Exact pairs that share ``at_least`` tokens, by the prefix rule: two sets that share ``need``
+    tokens share one of the first n - need + 1 in a common order.  Rarest first keeps frequent tokens
+    out of the prefixes, and sizes are compared before a pair is built."""
     need = F.greatest(F.lit(at_least), F.ceil(t * F.col("n") - 1e-9))
     prefix = _ordered(reps).where(F.col("pos") <= F.col("n") - need + 1)
     a = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "tok")
-    b = prefix.where(F.col("n") > small).select(F.col("id").alias("b"), F.col("n").alias("nb"), "tok")
-    once = (F.col("a") < F.col("b")) | (F.col("na") <= small)
-    fits = (F.col("a") != F.col("b")) & once & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)
-    cand = a.join(b, "tok").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    b = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "tok")
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)
+    cand = a.join(b, "tok").where(fits).select("a", "b").distinct()
     sets = reps.select("id", "toks")
     both = (
         cand.join(sets.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a")
@@ -76,21 +76,24 @@ def _pairs(reps: DataFrame, t: float, at_least: int = 1, small: int = 0) -> Data
 def _links(reps: DataFrame, t: float) -> DataFrame:
     """(a, b): enough true links to connect whatever the threshold connects, few per set.
 
-    Short sets need one or two common tokens only, so everything that shares a token (or a pair of
-    tokens) is alike and is tied to the smallest id of that group: a frequent token costs one link per
-    set, not a pair per two sets.  Longer sets need at least two common tokens and go by ``_pairs``.
+    Sets of n and m tokens are alike from t / (1 + t) * (n + m) common tokens on.  Where the sizes ask for
+    one token only, all sets of these sizes that hold it are alike, so each is tied to the smallest id
+    of the other size: a frequent token costs a link per set and size, not a pair per two sets.  Where
+    they ask for two, the same holds for each pair of tokens.  The rest shares three or more: ``_pairs``.
     """
-    one, two = int((1 / t + 1) / 2 + 1e-9), int(1 / t + 1 + 1e-9)
-    star = lambda rows, keys: rows.join(rows.groupBy(*keys).agg(F.min("id").alias("b")), keys).where("id <> b").select(F.col("id").alias("a"), "b")
+    one, two = (1 + t) / t + 1e-6, 2 * (1 + t) / t + 1e-6
+
+    def stars(rows: DataFrame, keys: list[str], most: float) -> DataFrame:
+        least = rows.groupBy(*keys, F.col("n").alias("m")).agg(F.min("id").alias("b"))
+        return rows.join(least, keys).where((F.col("n") + F.col("m") <= most) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
+
     words = reps.select("id", "n", F.explode("toks").alias("tok"))
-    by_token = star(words.where(F.col("n") <= one), ["tok"])
-    single = words.where("n = 1").select(F.col("id").alias("b"), "tok")
-    to_single = words.where((F.col("n") > 1) & (F.col("n") <= int(1 / t + 1e-9))).join(single, "tok").select(F.col("id").alias("a"), "b")
-    short = reps.where((F.col("n") >= 2) & (F.col("n") <= two))
+    by_token = stars(words.where(F.col("n") < one), ["tok"], one)
     combos = F.flatten(F.transform("toks", lambda x: F.transform(F.filter("toks", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    by_pair = star(short.select("id", F.explode(combos).alias("p")).select("id", "p.x", "p.y"), ["x", "y"])
-    longer = _pairs(reps.where("n >= 2"), t, at_least=2, small=two).select("a", "b")
-    return by_token.unionByName(to_single).unionByName(by_pair).unionByName(longer).distinct()
+    short = reps.where((F.col("n") >= 2) & (F.col("n") <= two - 2)).select("id", "n", F.explode(combos).alias("p"))
+    by_pair = stars(short.select("id", "n", "p.x", "p.y"), ["x", "y"], two)
+    longer = _pairs(reps.where("n >= 3"), t, at_least=3).select("a", "b")
+    return by_token.unionByName(by_pair).unionByName(longer).distinct()
 
 
 def connected_components(vertices: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -265,19 +265,27 @@ def content_risk(spark, d):
     return t.select("doc_id", r.alias("r")).select("doc_id", "r.classification", F.array_join("r.findings", "|").alias("findings"), "r.cloud_eligible", "r.redaction_required")
 
 
-_MAIL = "list_filter(em, lambda v, i: list_position(em, v) = i)"
+#: Pseudonyms by match, in SQL: marks around each match, then every other piece is a value.
+def _redacted_sql(src: str, kind: str, pattern: str) -> str:
+    parts = f"string_split(regexp_replace(t, {O.lit('(' + pattern + ')')}, chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    return f"""SELECT doc_id, text, array_to_string(list_transform(ps, lambda p, i: CASE WHEN i % 2 = 0 THEN '<{kind}_' || lpad(CAST(list_position(vs, p) AS VARCHAR), 3, '0') || '>' ELSE p END), '') AS t,
+  maps || list_transform(vs, lambda v, i: '<{kind}_' || lpad(CAST(i AS VARCHAR), 3, '0') || '>=' || v) AS maps
+FROM (SELECT *, list_filter(every, lambda v, i: list_position(every, v) = i) AS vs FROM (SELECT *, list_transform(range(2, len(ps) + 1, 2), lambda i: ps[i]) AS every FROM (SELECT *, {parts} AS ps FROM ({src}))))"""
 
 
-@query("SEC-02 SEC-03", f"""
-SELECT doc_id, len({_MAIL}) AS emails, length(text) = length(text) AS restored,
-  coalesce(array_to_string(list_transform({_MAIL}, lambda v, i: '<EMAIL_' || lpad(i::VARCHAR, 3, '0') || '>=' || v), '|'), '') AS email_map
-FROM (SELECT doc_id, text, regexp_extract_all(text, {O.lit(V.EMAIL)}) AS em FROM documents)""")
+def _redaction_sql() -> str:
+    src = "SELECT doc_id, text, text AS t, CAST([] AS VARCHAR[]) AS maps FROM documents"
+    for kind, pattern in (("VIN", V.VIN), ("INTERNAL_IP", V.PRIVATE_IP), ("EMAIL", V.EMAIL), ("PROJECT", V.PROJECT_NAME)):
+        src = _redacted_sql(src, kind, pattern)
+    return src
+
+
+@query("SEC-02 SEC-03", f"SELECT doc_id, t AS redacted, array_to_string(maps, '|') AS tokens, true AS restored FROM ({_redaction_sql()})")
 def redaction(spark, d):
     t = K.spread(K.table(spark, d, "documents")).select("doc_id", "text", GD.redact(F.col("text")).alias("r"))
-    mails = F.filter("r.tokens", lambda x: x["token"].startswith("<EMAIL_"))
     return t.select(
-        "doc_id", F.size(mails).alias("emails"), (GD.restore(F.col("r.redacted"), F.col("r.tokens")) == F.col("text")).alias("restored"),
-        F.array_join(F.transform(mails, lambda x: F.concat(x["token"], F.lit("="), x["value"])), "|").alias("email_map"))
+        "doc_id", "r.redacted", F.array_join(F.transform("r.tokens", lambda x: F.concat(x["token"], F.lit("="), x["value"])), "|").alias("tokens"),
+        (GD.restore(F.col("r.redacted"), F.col("r.tokens")) == F.col("text")).alias("restored"))
 
 
 _POLICIES = ("local_only", "cloud_metadata_only", "cloud_redacted_only", "cloud_allowed")
@@ -301,7 +309,7 @@ def routing(spark, d):
 
 # --- code -------------------------------------------------------------------------------------
 
-_CODE = ((" the ", " malloc(4); goto end; "), (" and ", " strcpy(a, b); (int *) "), (" que ", " Rte_Read_speed_value "), (" der ", ' #include "x.h" '), (" of ", ' #include "MemMap.h" '), (" in ", " Rte_Write_brake "))
+_CODE = ((" the ", " malloc\n(4); goto end; new\n "), (" and ", " strcpy(a, b); (int *) "), (" que ", " Rte_Read_speed_value "), (" der ", ' #include "x.h" '), (" of ", ' #include "MemMap.h" '), (" in ", " Rte_Write_brake "))
 
 
 def _code_sql() -> str:
@@ -319,13 +327,18 @@ def _code(spark, d):
 
 
 def _rules() -> str:
+    breaks = lambda c: f"length({c}) - length(replace({c}, chr(10), ''))"
     out = []
     for rule, pattern, why in V.CODE_RULES:
-        if rule == "missing-memmap":
+        message = f"{O.lit(rule)} AS rule, path || ':' || line AS location, {O.lit(why + ' [' + V.ADVISORY + ']')} AS message"
+        if rule == "missing-memmap":  # no look-ahead in this dialect: counted line by line
             n = "len(list_filter(range(2, len(parts) + 1), lambda i: NOT regexp_matches(array_to_string(parts[i:], '#include \"'), '^.*(?:MemMap|Compiler)\\b')))"
-        else:
-            n = f"len(regexp_extract_all(s, {O.lit(pattern)}))"
-        out.append(f"SELECT path, line, {O.lit(rule)} AS rule, path || ':' || line AS location, {O.lit(why + ' [' + V.ADVISORY + ']')} AS message FROM code_lines, range({n}) AS r(i)")
+            out.append(f"SELECT path, line, {message} FROM code_lines, range({n}) AS r(i)")
+            continue
+        # A mark before each match: the pieces up to a mark are the text before the match.
+        marked = f"string_split(regexp_replace(text, {O.lit('(' + pattern + ')')}, chr(1) || '\\1', 'g'), chr(1))"
+        out.append(f"""SELECT path, line, {message} FROM (SELECT path, 1 + CAST(list_sum(list_transform(ps[1:i], lambda x: {breaks('x')})) AS BIGINT) AS line
+  FROM (SELECT path, ps, unnest(range(1, len(ps))) AS i FROM (SELECT path, {marked} AS ps FROM code)))""")
     return "\nUNION ALL ".join(out)
 
 

@@ -161,22 +161,22 @@ def visible_collections(spark, d):
 
 
 @query("FLT-05", O.sql("""
-SELECT query_id, chunk_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rn FROM (
-  SELECT DISTINCT w.query_id, c.chunk_id FROM wanted w JOIN chunks c ON (w.want = '' OR w.want = c.release)
-    AND len(list_filter(c.requirement_ids, lambda r: contains(r, w.needle))) > 0)) WHERE rn <= 50""",
-    wanted="SELECT 'q-' || item_id AS query_id, 'SRC' || (item_id % 20) || '_000' || (item_id % 5) AS needle, CASE WHEN item_id % 2 = 0 THEN 'R22-11' ELSE '' END AS want FROM benchmark"))
+SELECT DISTINCT w.query_id, c.chunk_id FROM wanted w JOIN chunks c ON (w.want = '' OR w.want = c.release)
+  AND len(list_filter(c.requirement_ids, lambda r: contains(lower(r), lower(w.needle)))) > 0""",
+    wanted="SELECT 'q-' || item_id AS query_id, CASE WHEN item_id % 9 = 4 THEN 'rc' WHEN item_id % 9 = 7 THEN '7' ELSE 'Src' || (item_id % 20) || '_000' || (item_id % 5) END AS needle, CASE WHEN item_id % 2 = 0 THEN 'R22-11' ELSE '' END AS want FROM benchmark"))
 def requirement_search(spark, d):
     n = F.col("item_id")
     w = K.table(spark, d, "benchmark").select(
         F.concat(F.lit("q-"), n.cast("string")).alias("query_id"),
-        F.concat(F.lit("SRC"), (n % 20).cast("string"), F.lit("_000"), (n % 5).cast("string")).alias("needle"),
+        F.when(n % 9 == 4, "rc").when(n % 9 == 7, "7")
+        .otherwise(F.concat(F.lit("Src"), (n % 20).cast("string"), F.lit("_000"), (n % 5).cast("string"))).alias("needle"),
         F.when(n % 2 == 0, "R22-11").otherwise("").alias("release"))
     return FL.requirement_search(K.chunks(spark, d), w).select("query_id", "chunk_id")
 
 
 @query("FLT-05", O.sql("""
 SELECT document_id, evidence_id FROM (SELECT 'doc-' || doc_id AS document_id, 'tbl-doc-' || doc_id || '-0-0' AS evidence_id, text, release FROM docs)
-WHERE contains(lower(text), 'erst') AND release = '4.4.0' ORDER BY evidence_id LIMIT 20"""))
+WHERE contains(lower(text), 'erst') AND release = '4.4.0'"""))
 def caption_search(spark, d):
     t = K.documents(spark, d).select("document_id", F.concat(F.lit("tbl-"), "document_id", F.lit("-0-0")).alias("evidence_id"), F.col("text").alias("caption"), "release")
     return FL.caption_search(t, "erst", ["caption"], "4.4.0").select("document_id", "evidence_id")
@@ -230,11 +230,25 @@ def optional_filters(spark, d):
 
 
 @query("FLT-13", O.sql("""
-SELECT h.chunk_id AS hit_id, n.chunk_id FROM (SELECT * FROM atomics WHERE section_title = '' AND document_id = 'doc-3') h
-JOIN (SELECT *, row_number() OVER (PARTITION BY document_id, page_index ORDER BY chunk_id) AS rn FROM atomics) n USING (document_id, page_index) WHERE rn <= 20"""))
+SELECT h.chunk_id AS hit_id, n.chunk_id FROM atomics h JOIN (SELECT *, row_number() OVER (PARTITION BY document_id, page_index ORDER BY chunk_id) AS rn FROM atomics) n
+USING (document_id, page_index) WHERE rn <= 20"""))
 def page_neighbours(spark, d):
     a = K.atomics(spark, d)
-    return FL.page_neighbours(a.where("document_id = 'doc-3'"), a).select("hit_id", "chunk_id")
+    return FL.page_neighbours(a, a, limit=20).select("hit_id", "chunk_id")
+
+
+@query("FLT-13", O.sql("""
+SELECT DISTINCT kind, e.evidence_id, e.document_id, e.page_index FROM (
+  SELECT 'chunk' AS kind, chunk_id AS evidence_id, document_id, page_index FROM atomics
+  UNION ALL SELECT 'table', 'tbl-doc-' || doc_id || '-0-0', 'doc-' || doc_id, 0 FROM documents
+  UNION ALL SELECT 'figure', 'fig-doc-' || doc_id || '-0-0', 'doc-' || doc_id, 0 FROM documents) e
+WHERE evidence_id IN (SELECT chunk_id FROM atomics) OR evidence_id IN (SELECT CASE WHEN item_id % 2 = 0 THEN 'tbl' ELSE 'fig' END || '-doc-' || item_id || '-0-0' FROM benchmark)"""))
+def source_lookups(spark, d):
+    a, docs, n = K.atomics(spark, d), K.documents(spark, d), F.col("item_id")
+    side = lambda kind: docs.select(F.concat(F.lit(f"{kind}-"), "document_id", F.lit("-0-0")).alias("evidence_id"), "document_id", F.lit(0).alias("page_index"))
+    other = F.concat(F.when(n % 2 == 0, "tbl").otherwise("fig"), F.lit("-doc-"), n.cast("string"), F.lit("-0-0"))
+    wanted = a.select(F.col("chunk_id").alias("evidence_id")).unionByName(K.table(spark, d, "benchmark").select(other.alias("evidence_id")))
+    return FL.source_lookup(wanted, a, side("tbl"), side("fig")).select("kind", "evidence_id", "document_id", F.col("page_index").cast("int").alias("page_index")).distinct()
 
 
 @query("RET-10", sql("SELECT query_id, chunk_id FROM exacts"))

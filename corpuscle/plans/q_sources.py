@@ -106,17 +106,20 @@ def sarif_findings(spark, d):
 
 
 def xml_files(spark, d):
-    """One description per supplier: a component with ports, a runnable, an interface, a connector and a parameter."""
+    """One description per supplier: components, ports, a runnable, an interface, a connector, a parameter; some not well formed."""
     k = F.col("s_suppkey").cast("string")
     doctype = F.when(F.col("s_suppkey") % 9 == 4, '<!DOCTYPE a [<!ENTITY x "y">]>').otherwise("")
     xml = F.concat(
         doctype, F.lit("<AUTOSAR><AR-PACKAGES><AR-PACKAGE><SHORT-NAME>Pkg"), k, F.lit("</SHORT-NAME><ELEMENTS><APPLICATION-SW-COMPONENT-TYPE><SHORT-NAME>Ctrl"), k,
         F.lit("</SHORT-NAME><PORTS><R-PORT-PROTOTYPE><SHORT-NAME>Speed</SHORT-NAME><REQUIRED-INTERFACE-TREF>/Pkg/Speed_I</REQUIRED-INTERFACE-TREF></R-PORT-PROTOTYPE>"
               "<P-PORT-PROTOTYPE><SHORT-NAME>Brake</SHORT-NAME></P-PORT-PROTOTYPE></PORTS><RUNNABLE-ENTITY><SHORT-NAME>RE_Calc</SHORT-NAME></RUNNABLE-ENTITY></APPLICATION-SW-COMPONENT-TYPE>"
-              "<SENDER-RECEIVER-INTERFACE><SHORT-NAME>Speed_I</SHORT-NAME></SENDER-RECEIVER-INTERFACE><ASSEMBLY-SW-CONNECTOR><SHORT-NAME>C</SHORT-NAME><PROVIDER-IREF><TARGET-P-PORT-REF>Brake"
+              "<ATOMIC-SW-COMPONENT-TYPE><SHORT-NAME>Atom</SHORT-NAME><INTERNAL-BEHAVIOR><SHORT-NAME>IB</SHORT-NAME></INTERNAL-BEHAVIOR></ATOMIC-SW-COMPONENT-TYPE>"
+              "<SENDER-RECEIVER-INTERFACE><SHORT-NAME>Speed_I</SHORT-NAME><DATA-ELEMENTS><VARIABLE-DATA-PROTOTYPE><SHORT-NAME>v</SHORT-NAME></VARIABLE-DATA-PROTOTYPE></DATA-ELEMENTS>"
+              "</SENDER-RECEIVER-INTERFACE><ASSEMBLY-SW-CONNECTOR><SHORT-NAME>C</SHORT-NAME><PROVIDER-IREF><TARGET-P-PORT-REF>Brake"
               "</TARGET-P-PORT-REF></PROVIDER-IREF><REQUESTER-IREF><TARGET-R-PORT-REF>Lost"), k,
         F.lit("</TARGET-R-PORT-REF></REQUESTER-IREF></ASSEMBLY-SW-CONNECTOR><ECUC-NUMERICAL-PARAM-VALUE><DEFINITION-REF>/Ecuc/Rate</DEFINITION-REF><VALUE>"), k,
-        F.lit("</VALUE></ECUC-NUMERICAL-PARAM-VALUE></ELEMENTS></AR-PACKAGE></AR-PACKAGES></AUTOSAR>"))
+        F.lit("</VALUE></ECUC-NUMERICAL-PARAM-VALUE></ELEMENTS></AR-PACKAGE></AR-PACKAGES></AUTOSAR>"),
+        F.when(F.col("s_suppkey") % 9 == 7, "<").otherwise(""))
     return K.table(spark, d, "supplier").select(F.concat(F.lit("arch/"), k, F.lit(".arxml")).alias("path"), F.encode(xml, "UTF-8").alias("content"))
 
 
@@ -124,39 +127,44 @@ def entities(spark, d):
     return SF.arxml_entities(xml_files(spark, d))
 
 
-_GOOD = "SELECT s_suppkey AS k, '/Pkg' || s_suppkey || '/Ctrl' || s_suppkey AS c FROM supplier WHERE s_suppkey % 9 <> 4"
+_GOOD = "SELECT s_suppkey AS k, '/Pkg' || s_suppkey || '/Ctrl' || s_suppkey AS c FROM supplier WHERE s_suppkey % 9 NOT IN (4, 7)"
 
 
 @query("SRC-11", f"""
 WITH good AS ({_GOOD})
 SELECT 'arch/' || k || '.arxml' AS path, e.* FROM good, LATERAL (
   SELECT 'component' AS entity, c AS qualified_name, 'APPLICATION-SW-COMPONENT-TYPE' AS kind, '' AS parent, '' AS ref, '' AS value
+  UNION ALL SELECT 'component', '/Pkg' || k || '/Atom', 'ATOMIC-SW-COMPONENT-TYPE', '', '', '' UNION ALL SELECT 'behaviour', '/Pkg' || k || '/Atom/IB', '', '/Pkg' || k || '/Atom', '', ''
+  UNION ALL SELECT 'data_element', '/Pkg' || k || '/Speed_I/v', '', '/Pkg' || k || '/Speed_I', '', ''
   UNION ALL SELECT 'port', c || '/Speed', 'R', c, '/Pkg/Speed_I', '' UNION ALL SELECT 'port', c || '/Brake', 'P', c, '', ''
-  UNION ALL SELECT 'runnable', c || '/RE_Calc', '', c, '', '' UNION ALL SELECT 'interface', '/Pkg' || k || '/Speed_I', 'sender-receiver', '', '', ''
+  UNION ALL SELECT 'runnable', c || '/RE_Calc', '', c, '', '' UNION ALL SELECT 'interface', '/Pkg' || k || '/Speed_I', 'sender_receiver', '', '', ''
   UNION ALL SELECT 'connector', '/Pkg' || k || '/C', 'assembly', '', 'Brake', '' UNION ALL SELECT 'parameter', '/Ecuc/Rate', '', '/Pkg' || k, '', k::VARCHAR) e
-UNION ALL SELECT 'arch/' || s_suppkey || '.arxml', 'rejected', '', '', '', '', '' FROM supplier WHERE s_suppkey % 9 = 4""")
+UNION ALL SELECT 'arch/' || s_suppkey || '.arxml', 'rejected', '', CASE WHEN s_suppkey % 9 = 7 THEN 'malformed' ELSE '' END, '', '', '' FROM supplier WHERE s_suppkey % 9 IN (4, 7)""")
 def architecture_entities(spark, d):
-    return entities(spark, d).select("path", "entity", *[F.coalesce(c, F.lit("")).alias(c) for c in ("qualified_name", "kind", "parent", "ref", "value")])
+    value = F.when(F.col("entity") == "rejected", "").otherwise(F.col("value")).alias("value")  # the reader's message is not compared
+    e = entities(spark, d).select("path", "entity", "qualified_name", "kind", "parent", "ref", value)
+    return e.select("path", "entity", *[F.coalesce(c, F.lit("")).alias(c) for c in ("qualified_name", "kind", "parent", "ref", "value")])
 
 
 @query("GRF-07", f"""
 WITH good AS ({_GOOD})
-SELECT rel, count(*) AS n, count(DISTINCT dst) AS targets FROM (
-  SELECT 'CONTAINS' AS rel, c AS dst FROM good UNION ALL SELECT 'CONTAINS', c || '/RE_Calc' FROM good UNION ALL SELECT 'HAS_PORT', c || '/Speed' FROM good UNION ALL SELECT 'HAS_PORT', c || '/Brake' FROM good
-  UNION ALL SELECT 'REFERENCES_INTERFACE', '/Pkg/Speed_I' FROM good UNION ALL SELECT 'ASSEMBLY_CONNECTS', 'Brake' FROM good) GROUP BY rel""")
+SELECT rel, dst, count(*) AS n FROM (
+  SELECT 'CONTAINS' AS rel, 'swc:' || c AS dst FROM good UNION ALL SELECT 'CONTAINS', 'swc:/Pkg' || k || '/Atom' FROM good UNION ALL SELECT 'CONTAINS', 'runnable:' || c || '/RE_Calc' FROM good
+  UNION ALL SELECT 'HAS_PORT', 'port:' || c || '/Speed' FROM good UNION ALL SELECT 'HAS_PORT', 'port:' || c || '/Brake' FROM good
+  UNION ALL SELECT 'REFERENCES_INTERFACE', 'interface:/Pkg/Speed_I' FROM good UNION ALL SELECT 'ASSEMBLY_CONNECTS', 'port:Brake' FROM good) GROUP BY rel, dst""")
 def architecture_graph(spark, d):
     e = G.topology_graph(entities(spark, d))[1]
-    return e.groupBy("rel").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("targets"))
+    return e.groupBy("rel", "dst").agg(F.count("*").alias("n"))
 
 
-@query("GRF-08", "SELECT 'Lost' || s_suppkey AS ref FROM supplier WHERE s_suppkey % 9 <> 4")
+@query("GRF-08", "SELECT 'Lost' || s_suppkey AS ref FROM supplier WHERE s_suppkey % 9 NOT IN (4, 7)")
 def unresolved_references(spark, d):
     return G.unresolved_references(entities(spark, d)).select("ref")
 
 
 @query("TXT-28", f"""
 WITH good AS ({_GOOD})
-SELECT 'SWC Ctrl' || k || ' [APPLICATION-SW-COMPONENT-TYPE]: Speed, Brake' || chr(10) || 'CONN [assembly]: Brake -> Lost' || k || chr(10) || 'ECUC /Ecuc/Rate = ' || k AS summary FROM good""")
+SELECT 'SWC Ctrl' || k || ' [APPLICATION-SW-COMPONENT-TYPE]: Speed, Brake' || chr(10) || 'SWC Atom [ATOMIC-SW-COMPONENT-TYPE]: ' || chr(10) || 'CONN [assembly]: Brake -> Lost' || k || chr(10) || 'ECUC /Ecuc/Rate = ' || k AS summary FROM good""")
 def topology_summary(spark, d):
     return N.topology_summary(entities(spark, d)).select("summary")
 

@@ -59,14 +59,15 @@ ENTITIES = (
 )
 # Element names.
 _COMPONENTS = {
-    "APPLICATION-SW-COMPONENT-TYPE", "COMPOSITION-SW-COMPONENT-TYPE", "SERVICE-SW-COMPONENT-TYPE",
+    "APPLICATION-SW-COMPONENT-TYPE", "ATOMIC-SW-COMPONENT-TYPE", "COMPOSITION-SW-COMPONENT-TYPE", "SERVICE-SW-COMPONENT-TYPE",
     "COMPLEX-DEVICE-DRIVER-SW-COMPONENT-TYPE", "ECU-ABSTRACTION-SW-COMPONENT-TYPE", "SENSOR-ACTUATOR-SW-COMPONENT-TYPE",
 }
 _PORTS = {"P-PORT-PROTOTYPE": "P", "R-PORT-PROTOTYPE": "R", "PR-PORT-PROTOTYPE": "PR"}
 _INTERFACES = {
-    "SENDER-RECEIVER-INTERFACE": "sender-receiver", "CLIENT-SERVER-INTERFACE": "client-server", "MODE-SWITCH-INTERFACE": "mode-switch",
-    "NV-DATA-INTERFACE": "nv-data", "PARAMETER-INTERFACE": "parameter", "TRIGGER-INTERFACE": "trigger",
+    "SENDER-RECEIVER-INTERFACE": "sender_receiver", "CLIENT-SERVER-INTERFACE": "client_server", "MODE-SWITCH-INTERFACE": "mode_switch",
+    "NV-DATA-INTERFACE": "nv_data", "PARAMETER-INTERFACE": "parameter", "TRIGGER-INTERFACE": "trigger",
 }
+_INTERFACE_PARTS = {"VARIABLE-DATA-PROTOTYPE": "data_element", "DATA-ELEMENT": "data_element", "CLIENT-SERVER-OPERATION": "operation"}
 _CONNECTORS = {
     "ASSEMBLY-SW-CONNECTOR": ("assembly", "PROVIDER-IREF", "REQUESTER-IREF"),
     "DELEGATION-SW-CONNECTOR": ("delegation", "OUTER-PORT-IREF", "INNER-PORT-IREF"),
@@ -102,8 +103,15 @@ def _entities(xml: str) -> Iterator[dict]:
             yield {**row, "entity": "port", "qualified_name": f"{owner}/{name}", "kind": _PORTS[tag], "parent": owner, "ref": text_of(el, _INTERFACE_REFS)}
         elif tag == "RUNNABLE-ENTITY" and owner:
             yield {**row, "entity": "runnable", "qualified_name": f"{owner}/{name}", "parent": owner, "value": child(el, "SYMBOL")}
+        elif tag == "INTERNAL-BEHAVIOR" and owner:
+            yield {**row, "entity": "behaviour", "qualified_name": f"{owner}/{name}", "parent": owner}
         elif tag in _INTERFACES:
-            yield {**row, "entity": "interface", "qualified_name": f"{package}/{name}", "kind": _INTERFACES[tag]}
+            face = f"{package}/{name}"
+            yield {**row, "entity": "interface", "qualified_name": face, "kind": _INTERFACES[tag]}
+            for part in el.iter():
+                if (kind := _INTERFACE_PARTS.get(local(part))) is not None:
+                    own = child(part, "SHORT-NAME")
+                    yield {"entity": kind, "qualified_name": f"{face}/{own}", "short_name": own, "parent": face, "xpath": row["xpath"]}
         elif tag in _CONNECTORS:
             kind, a, b = _CONNECTORS[tag]
             end = lambda which: next((text_of(s, _PORT_REFS) for s in el.iter() if local(s) == which), None)
@@ -118,10 +126,10 @@ def _entities(xml: str) -> Iterator[dict]:
 
 def arxml_entities(files: DataFrame) -> DataFrame:
     """Long entity table of XML files (path, content): one row per component, port, interface,
-    connector, runnable and parameter.
+    connector, runnable, parameter, internal behaviour, interface data element and operation.
 
     Files declaring a document type or entities in their first 4096 bytes are rejected before they are
-    parsed and appear as one ``rejected`` row.
+    parsed and appear as one ``rejected`` row; so does a malformed file, with the reader's message.
     """
     head = F.decode(F.substring("content", 1, 4096), "UTF-8")
     rows = files.select(
@@ -136,7 +144,11 @@ def arxml_entities(files: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for artifact, path, xml in zip(pdf.artifact_id, pdf.path, pdf.xml):
-                out += [{"artifact_id": artifact, "path": path, "seq": i, **e} for i, e in enumerate(_entities(xml))]
+                try:
+                    own = list(_entities(xml))
+                except SyntaxError as e:  # what the XML reader raises for a malformed document
+                    own = [{"entity": "rejected", "kind": "malformed", "value": str(e)}]
+                out += [{"artifact_id": artifact, "path": path, "seq": i, **e} for i, e in enumerate(own)]
             yield pd.DataFrame(out, columns=names).astype(object).where(lambda x: x.notna(), None)
 
     good = rows.where(~F.col("bad")).drop("bad").mapInPandas(read, ENTITIES)
