@@ -75,19 +75,19 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
-def requirement_ids(c: Column, limit: int | None = 100) -> Column:
+def requirement_ids(c: Column, limit: int | None = None) -> Column:
     return distinct_sorted(F.concat(found(c, V.REQ_A, 1), found(c, V.REQ_B, 1)), limit)
 
 
-def api_names(c: Column, limit: int | None = 50) -> Column:
+def api_names(c: Column, limit: int | None = None) -> Column:
     return distinct_sorted(F.filter(found(c, V.API_SIG, 1), lambda a: F.length(a) <= 64), limit)
 
 
-def ecu_parameters(c: Column, limit: int | None = 50) -> Column:
+def ecu_parameters(c: Column, limit: int | None = None) -> Column:
     return distinct_sorted(found(c, V.ECUC, 1), limit)
 
 
-def headings(c: Column, limit: int | None = 200) -> Column:
+def headings(c: Column, limit: int | None = None) -> Column:
     """Numbered headings as an array of (number, title)."""
     pairs = F.zip_with(
         found(c, V.HEADING, 1),
@@ -233,22 +233,25 @@ def sentences(c: Column) -> Column:
     return F.split(c, V.SENTENCE_END)
 
 
-def verbatim_span(text: Column, needle: Column, limit: int = 700) -> Column:
-    """The first sentence holding the needle, else the head, cut to an answer's length."""
+def verbatim_span(text: Column, needle: Column, limit: int | None = None) -> Column:
+    """The first sentence holding the needle, else the whole text; ``limit`` cuts it to an answer's length."""
     holds = lambda s, n: (n != "") & F.lower(s).contains(n)
     pick = lambda clean, n: F.get(F.filter(sentences(clean), lambda s: holds(s, n)), F.lit(0))
     span = let(collapse(text), lambda clean: let(F.lower(needle), lambda n: F.coalesce(pick(clean, n), clean)))
-    return F.substring(span, 1, limit)
+    return span if limit is None else F.substring(span, 1, limit)
 
 
-def normative_features(c: Column) -> Column:
-    """References, API names, heading flag, modal verbs and condition flag of one text."""
+def normative_features(c: Column, limit: int | None = None) -> Column:
+    """References, API names, heading flag, modal verbs and condition flag of one text.
+
+    ``limit`` keeps the first references and names of the sorted lists.
+    """
     t = strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t]+", " "))
     refs = distinct_sorted(found(t, V.CONTENT_REQ))
     return F.struct(
         t.alias("raw_text"),
-        F.slice(refs, 1, 20).alias("references"),
-        distinct_sorted(found(t, V.CONTENT_API, 1), 20).alias("apis"),
+        (F.slice(refs, 1, limit) if limit else refs).alias("references"),
+        distinct_sorted(found(t, V.CONTENT_API, 1), limit).alias("apis"),
         t.rlike(V.CONTENT_HEADING).alias("has_heading"),
         F.when(F.size(refs) > 0, "requirement").otherwise("text").alias("content_type"),
         F.transform(found(t, V.MODAL, 1), F.lower).alias("modals"),
@@ -256,9 +259,12 @@ def normative_features(c: Column) -> Column:
     )
 
 
-def table_features(rows: Column) -> Column:
-    """Markdown, HTML, header, row count and identifier-like cells of ``array<array<string>>``."""
-    head = F.slice(rows, 1, 100)
+def table_features(rows: Column, max_rows: int | None = None, max_params: int | None = None) -> Column:
+    """Markdown, HTML, header, row count and identifier-like cells of ``array<array<string>>``.
+
+    ``max_rows`` bounds the rows shown, ``max_params`` the cells listed.
+    """
+    head = F.slice(rows, 1, max_rows) if max_rows else rows
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     cells = lambda r: F.concat(
         F.lit("<tr>"),
@@ -271,7 +277,7 @@ def table_features(rows: Column) -> Column:
         F.concat(F.lit("<table>"), F.array_join(F.transform(head, cells), ""), F.lit("</table>")).alias("table_html"),
         F.get(rows, F.lit(0)).alias("headers"),
         F.size(rows).alias("row_count"),
-        F.slice(params, 1, 30).alias("params"),
+        (F.slice(params, 1, max_params) if max_params else params).alias("params"),
     )
 
 
@@ -286,7 +292,7 @@ def visual_features(kind: Column, caption: Column, raw_text: Column, image_path:
     present = lambda c: F.coalesce(c, F.lit("")) != ""
     return F.struct(
         (present(image_path) | present(caption) | present(raw_text)).alias("original_preserved"),
-        distinct_sorted(found(F.concat(cap, F.coalesce(ocr, F.lit(""))), V.CONTENT_API, 1), 20).alias("entities"),
+        distinct_sorted(found(F.concat(cap, F.coalesce(ocr, F.lit(""))), V.CONTENT_API, 1)).alias("entities"),
         decorative.alias("is_decorative"),
         ((kind == "diagram") & ~decorative).alias("likely_diagram"),
         ((kind == "equation") & present(latex)).alias("latex_preserved"),

@@ -71,7 +71,7 @@ def item_rows(items: DataFrame, results: DataFrame, evidence: DataFrame, claims:
 
     ``items``: query_id, question, category, difficulty, answerable, gold_answer, gold_requirement_ids.
     ``results``: query_id, answer, abstained, latency_s (answer '' and abstained NULL when the engine did
-    not run).  ``evidence``: query_id, rank, chunk_id, text, requirement_ids.  ``claims``: query_id,
+    not run; ``error`` and ``clarified`` count if present).  ``evidence``: query_id, rank, chunk_id, text, requirement_ids.  ``claims``: query_id,
     claim_no, claim.  ``gold``: query_id, id.
     """
     ranks = ranking_metrics(evidence.select("query_id", "rank", F.col("chunk_id").alias("id")), gold, items, k)
@@ -110,8 +110,7 @@ def item_rows(items: DataFrame, results: DataFrame, evidence: DataFrame, claims:
             "abstention_accuracy": M.abstention_accuracy(F.col("answerable"), F.col("abstained")),
         }
     )
-    rows = rows.withColumn("failure", diagnosis()).drop("texts", "got_reqs", "cs")
-    return rows
+    return diagnosed(rows).drop("texts", "got_reqs", "cs")
 
 
 def diagnosis() -> Column:
@@ -138,7 +137,7 @@ def diagnosed(rows: DataFrame) -> DataFrame:
     """Adds ``failure``; ``error`` and ``clarified`` outrank the other rules when present."""
     rule = diagnosis()
     if "clarified" in rows.columns:
-        rule = F.when(F.col("clarified"), "clarify_asked_instead_of_answering").otherwise(rule)
+        rule = F.when(F.coalesce("clarified", F.lit(False)), "clarify_asked_instead_of_answering").otherwise(rule)
     if "error" in rows.columns:
         rule = F.when(F.coalesce("error", F.lit("")) != "", "error").otherwise(rule)
     return rows.withColumn("failure", rule)

@@ -15,7 +15,6 @@ from corpuscle.functions import text as T
 
 #: A side is broadcast only when the tables it is read from are known to be at most this large.
 BROADCAST_BYTES = 16 << 20
-VOCABULARY = 10_000
 
 
 def source_bytes(df: DataFrame) -> int:
@@ -61,20 +60,20 @@ def document_frequency(posts: DataFrame, only_terms: DataFrame | None = None) ->
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def vocabulary(df: DataFrame, limit: int | None = VOCABULARY) -> DataFrame:
-    """The most frequent terms, ties by term; ``None`` keeps all."""
+def vocabulary(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Terms with their document frequency; ``limit`` keeps the most frequent ones, ties by term."""
     return df.orderBy(F.desc("df"), "term").limit(limit) if limit else df
 
 
 def tfidf_weights(posts: DataFrame, vocab: DataFrame, stats: DataFrame, key: str = "chunk_id",
-                  limit: int | None = VOCABULARY) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """(key, term, w): augmented TF-IDF rows of unit length.
 
-    ``vocab`` is broadcast only when ``limit`` bounds its rows.
+    ``vocab`` is broadcast if ``limit`` bounds its rows or its table is small.
     """
     n = stats.select("n").scalar()
     by_key = W.partitionBy(key)
-    side = F.broadcast(vocab) if limit else vocab
+    side = F.broadcast(vocab) if limit else broadcast_if_small(vocab)
     raw = (
         posts.withColumn("max_tf", F.max("tf").over(by_key))
         .join(side, "term")
@@ -103,23 +102,30 @@ def unit_vectors(vectors: DataFrame, col: str = "embedding") -> DataFrame:
 
 
 def encode_texts(texts: DataFrame, encoder, dim: int, text: str = "text", placeholder: str = " ") -> DataFrame:
-    """Vectors from a caller's ``list[str] -> array`` encoder, in Arrow batches.
+    """Adds ``embedding`` from a caller's ``list[str] -> array`` encoder in Arrow batches, and ``encode_failed``.
 
-    Blank text is replaced by a placeholder and a failed batch gives zero vectors.
+    Blank text is replaced by a placeholder.  A failed batch is tried again text by text, so only the
+    texts that fail on their own get a zero vector, and they are marked.
     """
-    @F.pandas_udf("array<float>")
-    def run(batch: pd.Series) -> pd.Series:
+    @F.pandas_udf("embedding array<float>, encode_failed boolean")
+    def run(batch: pd.Series) -> pd.DataFrame:
         import numpy as np
 
         items = [t if t and t.strip() else placeholder for t in batch]
+        failed = np.zeros(len(items), bool)
         try:
             out = np.asarray(encoder(items), dtype="float32").reshape(len(items), dim)
-        except Exception:
+        except Exception:  # noqa: BLE001  (the encoder is the caller's)
             out = np.zeros((len(items), dim), dtype="float32")
+            for i, t in enumerate(items):
+                try:
+                    out[i] = np.asarray(encoder([t]), dtype="float32").reshape(dim)
+                except Exception:  # noqa: BLE001
+                    failed[i] = True
         norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return pd.Series(list(out / np.where(norms == 0, 1, norms)))
+        return pd.DataFrame({"embedding": list(out / np.where(norms == 0, 1, norms)), "encode_failed": failed})
 
-    return texts.withColumn("embedding", run(F.col(text)))
+    return texts.withColumn("_e", run(F.col(text))).withColumn("embedding", F.col("_e.embedding")).withColumn("encode_failed", F.col("_e.encode_failed")).drop("_e")
 
 
 def hashed_encoder(dim: int = 64):
@@ -131,11 +137,11 @@ def hashed_encoder(dim: int = 64):
 
         import numpy as np
 
+        found = [re.findall(r"[A-Za-z0-9_]+", t.lower()) for t in texts]
+        rows = np.repeat(np.arange(len(texts)), [len(ws) for ws in found])
+        hashes = np.fromiter((zlib.crc32(w.encode()) for ws in found for w in ws), np.int64, len(rows))
         out = np.zeros((len(texts), dim), dtype="float32")
-        for i, t in enumerate(texts):
-            for w in re.findall(r"[A-Za-z0-9_]+", t.lower()):
-                h = zlib.crc32(w.encode())
-                out[i, h % dim] += 1.0 if h & 0x80000000 else -1.0
+        np.add.at(out, (rows, hashes % dim), np.where(hashes & 0x80000000, 1.0, -1.0))
         return out
 
     return encode

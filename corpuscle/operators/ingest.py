@@ -81,7 +81,7 @@ def quality_report(pages: DataFrame) -> DataFrame:
 
 
 def content_id(document_id: Column, kind: Column, page: Column, n: Column, text: Column) -> Column:
-    h = T.sha12(document_id, kind, page, n, F.substring(F.coalesce(text, F.lit("")), 1, 200))
+    h = T.sha12(document_id, kind, page, n, F.coalesce(text, F.lit("")))
     return F.concat_ws("-", kind, document_id, page.cast("string"), n.cast("string"), h)
 
 

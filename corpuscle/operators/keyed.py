@@ -77,11 +77,12 @@ def diff_records(base: DataFrame, target: DataFrame, domain: str, key: str = "en
     )
 
 
-def release_delta(chunks: DataFrame, base: str, target: str, show: int = 50) -> DataFrame:
-    """One row: chunk counts, chunks and requirement ids added and removed, the first ``show`` ids of each.
+def release_delta(chunks: DataFrame, base: str, target: str, show: int | None = None) -> DataFrame:
+    """One row: chunk counts, chunks and requirement ids added and removed, the ids of each (the
+    first ``show``, if given).
 
     Set differences are counted by grouping on the id with one flag per side; the shown lists are
-    sorted limits, so no full list is built.
+    sorted limits if ``show`` is given; without it a list is as long as the difference.
     """
     both = chunks.where(F.col("release").isin(base, target)).withColumn("is_base", F.col("release") == base)
 
@@ -92,7 +93,7 @@ def release_delta(chunks: DataFrame, base: str, target: str, show: int = 50) ->
     ck = sides(both.select(F.col("chunk_id").alias("id"), "is_base")).withColumn("what", F.lit("chunks"))
     rq = sides(both.select(F.explode("requirement_ids").alias("id"), "is_base")).withColumn("what", F.lit("requirements"))
     every = ck.unionByName(rq)
-    top = every.withColumn("rn", F.row_number().over(W.partitionBy("what", "side").orderBy("id"))).where(F.col("rn") <= show)
+    top = every if show is None else every.withColumn("rn", F.row_number().over(W.partitionBy("what", "side").orderBy("id"))).where(F.col("rn") <= show)
     lists = top.groupBy("what", "side").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     counts = every.groupBy("what", "side").agg(F.count("*").alias("n"))
     sizes = both.agg(F.count_if("is_base").alias("base_chunks"), F.count_if(~F.col("is_base")).alias("target_chunks"))

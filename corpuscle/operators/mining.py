@@ -133,7 +133,7 @@ def similarity_clusters(log: DataFrame, threshold: float = 0.3, key: str = "id",
 
 
 def cluster_ranking(log: DataFrame, clusters: DataFrame, show: int = 20) -> DataFrame:
-    """One row per cluster: size, score, outcome counts, top intent, first member texts.
+    """One row per cluster: size, score, outcome counts, top intent, and its first ``show`` members for display.
 
     Sums and the shown members are bounded aggregates; a very large cluster is never collected.
     """

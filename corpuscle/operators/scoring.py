@@ -5,6 +5,7 @@ Scores are compared at six decimals: a sum's order then cannot change a rank.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -70,46 +71,40 @@ def cosine(terms: DataFrame, weights: DataFrame, vocab: DataFrame, stats: DataFr
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "chunk_id",
-                 col: str = "embedding", max_queries: int = 4096) -> DataFrame:
+                 col: str = "embedding", max_queries: int = 4096, part_bytes: int = 64 << 20) -> DataFrame:
     """Exact top-k of unit vectors by dot product: (query_key, key, score, rank).
 
-    Each Arrow batch is multiplied with a block of query vectors and keeps its own top-k, so no
-    pair list is ever built.  Query vectors travel in blocks of at most ``max_queries``; more
-    questions mean more blocks, not a larger broadcast.
+    Vectors are dealt to parts by their size, questions to blocks, and a part meets each block by key in
+    one task: a matrix product that keeps the best k rows of each question.  Nothing is collected or
+    counted in the driver, the vectors are read once, and no pair list is built.
     """
-    spark = vectors.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // max_queries))
-    parts = []
-    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
-    for b in range(blocks):
-        slot = F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b
-        rows = queries.where(slot).select(query_key, col).collect() if blocks > 1 else queries.select(query_key, col).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-
-        def top(batches, shared=shared):
-            import numpy as np
-            import pandas as pd
-
-            ids, vecs = shared.value
-            q = np.asarray(vecs, dtype="float64")
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m = np.stack(pdf[col].to_numpy()).astype("float64")
-                names = pdf[key].to_numpy()
-                scores = np.round(m @ q.T, 6)
-                for j, qid in enumerate(ids):
-                    order = np.lexsort((names, -scores[:, j]))[:k]
-                    yield pd.DataFrame({query_key: [qid] * len(order), key: names[order], "score": scores[order, j]})
-
-        parts.append(vectors.select(key, col).mapInPandas(top, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_k(out, k, query_key, key)
+    # Sizes are those of the files read; a source without files counts as one block.
+    v_bytes, q_bytes = (b if b < 1 << 56 else 1 for b in (I.source_bytes(vectors), I.source_bytes(queries)))
+    parts = max(-(-v_bytes // part_bytes), vectors.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(1, -(-q_bytes // (max_queries * 1024)))
+    q_type, v_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, query_key), (vectors, key)))
+    left = vectors.select(key, col, F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    right = queries.select(
+        query_key, F.col(col).alias("_q"), F.pmod(F.xxhash64(query_key), F.lit(blocks)).cast("int").alias("_block"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("_part"))
+
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if not len(v) or not len(q):
+            return pd.DataFrame({query_key: [], key: [], "score": []})
+        m, names, ids = np.stack(v[col].to_numpy()).astype("float64"), v[key].to_numpy(), q[query_key].to_numpy()
+        by_name = np.argsort(names, kind="stable")
+        m, names = m[by_name], names[by_name]
+        out = []
+        for a in range(0, len(q), 256):  # bounds the score matrix
+            scores = np.round(np.stack(q["_q"].iloc[a : a + 256].to_numpy()).astype("float64") @ m.T, 6)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({query_key: np.repeat(ids[a : a + 256], top.shape[1]), key: names[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()}))
+        return pd.concat(out)
+
+    found = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInPandas(best, f"{query_key} {q_type}, {key} {v_type}, score double")
+    return top_k(found, k, query_key, key)
 
 
 def top_k(scores: DataFrame, k: int, query_key: str = "query_id", key: str = "chunk_id", score: str = "score") -> DataFrame:

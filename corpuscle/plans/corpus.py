@@ -107,7 +107,7 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 000 most frequent terms."""
+    """All terms with their document frequency."""
     return once(
         spark, sf_dir, "vocabulary", lambda: I.vocabulary(I.document_frequency(postings(spark, sf_dir)))
     )

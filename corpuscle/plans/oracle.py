@@ -158,7 +158,7 @@ VIEWS: dict[str, str] = {
         GROUP BY ALL""",
     "cstats": "SELECT count(*) AS n, avg(len(tokens)) AS avg_len FROM toks",
     "dfs": "SELECT term, count(*) AS df FROM posts GROUP BY term",
-    "vocab": "SELECT * FROM dfs ORDER BY df DESC, term LIMIT 10000",
+    "vocab": "SELECT * FROM dfs",
     "wraw": """
         SELECT chunk_id, p.term, (0.5::DOUBLE + 0.5::DOUBLE * tf / max(tf) OVER (PARTITION BY chunk_id)) AS f, df
         FROM posts p LEFT JOIN vocab v ON v.term = p.term""",

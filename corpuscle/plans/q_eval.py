@@ -146,16 +146,16 @@ def drafts(spark, d):
 
 _BLOCKS = "list_filter(list_transform(string_split(array_to_string(list_filter(list_transform(regexp_split_to_array(draft, '\\r\\n|[\\r\\n]'), lambda s: CASE WHEN starts_with(" + O.strip("s") + ", '#') THEN chr(1) ELSE " + O.strip("s") + " END), lambda s: s <> ''), ' '), chr(1)), lambda b: trim(b)), lambda b: b <> '')"
 _PARTS = f"flatten(list_transform({_BLOCKS}, lambda b: string_split(regexp_replace(regexp_replace(b, '([.!?])\\s+(\\[E\\d+\\])', '\\1' || chr(2) || '\\2', 'g'), '([.!?])\\s+', '\\1' || chr(3), 'g'), chr(3))))"
-_CLAIMS = f"list_filter(list_transform({_PARTS}, lambda p: {O.strip('replace(p, chr(2), chr(32))')}), lambda s: s <> '' AND NOT starts_with(s, '#') AND (len({O.words('s')}) >= 4 OR regexp_matches(s, '\\[E\\d+\\]')))[1:30]"
+_CLAIMS = f"list_filter(list_transform({_PARTS}, lambda p: {O.strip('replace(p, chr(2), chr(32))')}), lambda s: s <> '' AND NOT starts_with(s, '#') AND (len({O.words('s')}) >= 4 OR regexp_matches(s, '\\[E\\d+\\]')))"
 VER_VIEWS = {
     "drafts": DRAFTS,
     "clist": f"SELECT query_id, conv_id, {_CLAIMS} AS cl FROM drafts",
     "claims": "SELECT query_id, conv_id, i - 1 AS claim_no, cl[i] AS claim FROM (SELECT *, unnest(range(1, len(cl) + 1)) AS i FROM clist)",
-    "ev": "SELECT d.query_id, f.rank, f.chunk_id, c.release, c.platform, c.text, c.requirement_ids FROM drafts d JOIN final f ON f.query_id = 'q-' || (d.conv_id % 40) JOIN chunks c USING (chunk_id)",
-    "vplans": "SELECT d.query_id, p.releases, p.release_mode, p.platforms FROM drafts d JOIN plans p ON p.query_id = 'q-' || (d.conv_id % 40)",
+    "ev": "SELECT d.query_id, f.rank, f.chunk_id, c.release, c.platform, c.text, c.requirement_ids FROM drafts d JOIN final f ON f.query_id = 'q-' || (d.conv_id % (SELECT max(item_id) + 1 FROM benchmark)) JOIN chunks c USING (chunk_id)",
+    "vplans": "SELECT d.query_id, p.releases, p.release_mode, p.platforms FROM drafts d JOIN plans p ON p.query_id = 'q-' || (d.conv_id % (SELECT max(item_id) + 1 FROM benchmark))",
     "cites": "SELECT query_id, claim_no, generate_subscripts(ls, 1) AS pos, unnest(ls)::INT AS rank FROM (SELECT query_id, claim_no, regexp_extract_all(claim, '\\[E(\\d+)\\]', 1) AS ls FROM claims)",
     "verd": """
-SELECT c.query_id, c.claim_no, substr(c.claim, 1, 300) AS claim, e.ids IS NOT NULL AS supported, CASE WHEN e.ids IS NOT NULL AND coalesce(vc, true) AND coalesce(pc, true) THEN 0.9 WHEN e.ids IS NOT NULL THEN 0.4 ELSE 0.0 END::DOUBLE AS support_score,
+SELECT c.query_id, c.claim_no, c.claim, e.ids IS NOT NULL AS supported, CASE WHEN e.ids IS NOT NULL AND coalesce(vc, true) AND coalesce(pc, true) THEN 0.9 WHEN e.ids IS NOT NULL THEN 0.4 ELSE 0.0 END::DOUBLE AS support_score,
   coalesce(e.ids, []) AS evidence_ids, coalesce(vc, true) AS version_consistent, coalesce(pc, true) AS platform_consistent
 FROM claims c LEFT JOIN (SELECT query_id, claim_no, list(chunk_id ORDER BY pos) AS ids, bool_and(CASE WHEN len(releases) > 0 AND release_mode = 'exact' THEN list_contains(releases, release) ELSE true END) AS vc,
     bool_and(CASE WHEN len(platforms) > 0 THEN list_contains(platforms, platform) ELSE true END) AS pc FROM cites JOIN ev USING (query_id, rank) JOIN vplans USING (query_id) GROUP BY ALL) e
@@ -167,15 +167,19 @@ FROM drafts d LEFT JOIN (SELECT query_id, count(*) AS claims, round(count_if(sup
 }
 
 
+def _questions(spark, d):
+    return K.table(spark, d, "benchmark").agg((F.max("item_id") + 1).alias("n")).scalar()
+
+
 def draft_evidence(spark, d):
-    ask = drafts(spark, d).select(F.col("query_id").alias("draft_id"), F.concat(F.lit("q-"), (F.col("conv_id") % 40).cast("string")).alias("query_id"))
+    ask = drafts(spark, d).select(F.col("query_id").alias("draft_id"), F.concat(F.lit("q-"), (F.col("conv_id") % _questions(spark, d)).cast("string")).alias("query_id"))
     rows = final(spark, d).select("query_id", "rank", "chunk_id").join(ask, "query_id").join(
         K.chunks(spark, d).select("chunk_id", "release", "platform", "text", "requirement_ids"), "chunk_id")
     return rows.drop("query_id").withColumnRenamed("draft_id", "query_id")
 
 
 def draft_plans(spark, d):
-    ask = drafts(spark, d).select(F.col("query_id").alias("draft_id"), F.concat(F.lit("q-"), (F.col("conv_id") % 40).cast("string")).alias("query_id"))
+    ask = drafts(spark, d).select(F.col("query_id").alias("draft_id"), F.concat(F.lit("q-"), (F.col("conv_id") % _questions(spark, d)).cast("string")).alias("query_id"))
     return K.plans(spark, d).join(ask, "query_id").drop("query_id").withColumnRenamed("draft_id", "query_id")
 
 

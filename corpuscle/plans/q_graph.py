@@ -214,7 +214,7 @@ def record_diff(spark, d):
 
 
 @query("DIF-02", O.sql("""
-SELECT what, side, count(*) AS n, array_to_string(list_sort(list(id))[1:50], '|') AS ids, (SELECT count(*) FROM chunks WHERE release = '4.2.2') AS base_chunks,
+SELECT what, side, count(*) AS n, array_to_string(list_sort(list(id)), '|') AS ids, (SELECT count(*) FROM chunks WHERE release = '4.2.2') AS base_chunks,
   (SELECT count(*) FROM chunks WHERE release = '4.4.0') AS target_chunks
 FROM (SELECT what, id, CASE WHEN bool_or(release = '4.4.0') THEN 'added' ELSE 'removed' END AS side FROM (
   SELECT 'chunks' AS what, chunk_id AS id, release FROM chunks WHERE release IN ('4.2.2', '4.4.0')

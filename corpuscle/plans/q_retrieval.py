@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import vocab as V
 from corpuscle.operators import filters as FL
 from corpuscle.operators import index as I
+from corpuscle.operators import questions as QU
 from corpuscle.operators import ranking as R
 from corpuscle.operators import scoring as S
 from corpuscle.plans import corpus as K
@@ -403,15 +404,37 @@ def index(spark, d):
     return P.Index(K.chunks(spark, d), K.postings(spark, d), K.stats(spark, d), K.vocabulary(spark, d), K.weights(spark, d))
 
 
+_SHOWN = ("query_id", "rank", "chunk_id", "document_id", "release", "fused_score", "rerank_score", "exact_hit", "compressed")
+
+
 @query("RET-24 RET-17 RET-19")
 def retrieve(spark, d):
     plans = K.plans(spark, d)
-    rows = P.retrieve(plans, plans.select("query_id", F.lit(0).alias("variant"), "text"), index(spark, d))
-    return rows.select("query_id", "rank", "chunk_id", "document_id", "release", "fused_score", "rerank_score", "exact_hit", "compressed")
+    return P.retrieve(plans, QU.variants(plans), index(spark, d)).select(*_SHOWN)
+
+
+@query("RET-24 QRY-01 QRY-08")
+def retrieve_questions(spark, d):
+    """From raw questions: corrected, parsed, rewritten, retrieved."""
+    return P.ask(K.questions(spark, d), index(spark, d)).select(*_SHOWN)
+
+
+@query("RET-24 FLT-04")
+def retrieve_allowed(spark, d):
+    """The same batch for an asker who may see one workspace."""
+    plans = K.plans(spark, d)
+    mine = K.documents(spark, d).where("workspace_id = 'ws-1'").select("document_id")
+    return P.retrieve(plans, QU.variants(plans), index(spark, d), allowed=mine).select(*_SHOWN)
+
+
+@query("RET-18 RET-24")
+def retrieve_hops(spark, d):
+    """Comparisons and questions on several modules, with sub-questions planned anew."""
+    plans = K.plans(spark, d)
+    return P.retrieve(plans, QU.variants(plans), index(spark, d), P.Flags(use_multi_hop=True)).select(*_SHOWN)
 
 
 @query("RET-25")
 def ablation(spark, d):
     plans = K.plans(spark, d)
-    arms = {a: P.ARMS[a] for a in ("A_full", "D_fusion_rrf", "I_no_parent_expand")}
-    return P.ablation(plans, plans.select("query_id", F.lit(0).alias("variant"), "text"), index(spark, d), K.gold(spark, d), arms)
+    return P.ablation(plans, QU.variants(plans), index(spark, d), K.gold(spark, d))

@@ -234,7 +234,7 @@ def content_ids(spark, d):
 
 
 @query("TXT-21", O.sql(f"""
-SELECT document_id, {joined(O.distinct_sorted(O.found('t', V.CONTENT_REQ)) + '[1:20]')} AS refs, {joined(O.distinct_sorted(O.found('t', V.CONTENT_API, 1), 20))} AS apis,
+SELECT document_id, {joined(O.distinct_sorted(O.found('t', V.CONTENT_REQ)) + '')} AS refs, {joined(O.distinct_sorted(O.found('t', V.CONTENT_API, 1), 20))} AS apis,
   regexp_matches(t, {O.lit(V.CONTENT_HEADING)}) AS has_heading, CASE WHEN len({O.found('t', V.CONTENT_REQ)}) > 0 THEN 'requirement' ELSE 'text' END AS content_type,
   {joined(f"list_transform({O.found('t', V.MODAL, 1)}, lambda m: lower(m))")} AS modals, regexp_matches(t, {O.lit(V.CONDITION)}) AS has_condition
 FROM (SELECT document_id, {O.strip("regexp_replace(replace(text, ' the ', ' shall '), '[ \\t]+', ' ', 'g')")} AS t FROM docs)"""))
@@ -246,10 +246,10 @@ def normative_features(spark, d):
 
 
 @query("TXT-22", O.sql(f"""
-SELECT document_id, array_to_string(list_transform(rows[1:100], lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) AS table_markdown,
-  '<table>' || array_to_string(list_transform(rows[1:100], lambda r: '<tr>' || array_to_string(list_transform(r, lambda c: '<td>' || c || '</td>'), '') || '</tr>'), '') || '</table>' AS table_html,
+SELECT document_id, array_to_string(list_transform(rows, lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) AS table_markdown,
+  '<table>' || array_to_string(list_transform(rows, lambda r: '<tr>' || array_to_string(list_transform(r, lambda c: '<td>' || c || '</td>'), '') || '</tr>'), '') || '</table>' AS table_html,
   {joined('rows[1]')} AS headers, len(rows) AS row_count,
-  {joined(f"list_filter(flatten(rows), lambda c: regexp_matches({O.strip('c')}, {O.lit(V.IDENTIFIER_CELL)}))[1:30]")} AS params
+  {joined(f"list_filter(flatten(rows), lambda c: regexp_matches({O.strip('c')}, {O.lit(V.IDENTIFIER_CELL)}))")} AS params
 FROM (SELECT document_id, list_transform(string_split(body, chr(10)), lambda l: string_split(l, ' | ')) AS rows FROM docs)"""))
 def table_features(spark, d):
     rows = F.transform(F.split("body", "\n"), lambda x: F.split(x, r" \| "))

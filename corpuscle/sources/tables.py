@@ -86,10 +86,10 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def run_history(history: DataFrame, run: DataFrame, keep: int = 50) -> DataFrame:
-    """Run history with a new run, the latest ``keep`` only."""
+def run_history(history: DataFrame, run: DataFrame, keep: int | None = None) -> DataFrame:
+    """Run history with a new run; the latest ``keep`` only, if given."""
     every = history.unionByName(run)
-    return every.orderBy(F.desc("generated_at"), "run_id").limit(keep)
+    return every if keep is None else every.orderBy(F.desc("generated_at"), "run_id").limit(keep)
 
 
 def write_run(rows: DataFrame, aggregate: DataFrame, path: str) -> None:
