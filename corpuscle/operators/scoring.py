@@ -100,7 +100,8 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_key: str
         for a in range(0, len(q), 256):  # bounds the score matrix
             scores = np.round(np.stack(q["_q"].iloc[a : a + 256].to_numpy()).astype("float64") @ m.T, 6)
             top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({query_key: np.repeat(ids[a : a + 256], top.shape[1]), key: names[top.ravel()], "score": np.take_along_axis(scores, top, 1).ravel()}))
+            plain = lambda x: pd.Series(x, dtype=object)  # noqa: E731  (ids of any type, not Arrow-backed)
+            out.append(pd.DataFrame({query_key: plain(np.repeat(ids[a : a + 256], top.shape[1])), key: plain(names[top.ravel()]), "score": np.take_along_axis(scores, top, 1).ravel()}))
         return pd.concat(out)
 
     found = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInPandas(best, f"{query_key} {q_type}, {key} {v_type}, score double")
