@@ -5,7 +5,6 @@ Scores are compared at six decimals: a sum's order then cannot change a rank.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -88,23 +87,31 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_key: str
         query_key, F.col(col).alias("_q"), F.pmod(F.xxhash64(query_key), F.lit(blocks)).cast("int").alias("_block"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("_part"))
 
-    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def best(v, q):
         import numpy as np
-
-        if not len(v) or not len(q):
-            return pd.DataFrame({query_key: [], key: [], "score": []})
-        m, names, ids = np.stack(v[col].to_numpy()).astype("float64"), v[key].to_numpy(), q[query_key].to_numpy()
-        by_name = np.argsort(names, kind="stable")
-        m, names = m[by_name], names[by_name]
-        out = []
-        for a in range(0, len(q), 256):  # bounds the score matrix
-            scores = np.round(np.stack(q["_q"].iloc[a : a + 256].to_numpy()).astype("float64") @ m.T, 6)
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            plain = lambda x: pd.Series(x, dtype=object)  # noqa: E731  (ids of any type, not Arrow-backed)
-            out.append(pd.DataFrame({query_key: plain(np.repeat(ids[a : a + 256], top.shape[1])), key: plain(names[top.ravel()]), "score": np.take_along_axis(scores, top, 1).ravel()}))
-        return pd.concat(out)
-
-    found = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInPandas(best, f"{query_key} {q_type}, {key} {v_type}, score double")
+        import pyarrow as pa
+        import pyarrow.compute
+
+        def matrix(column):
+            flat = column.combine_chunks()
+            return flat.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(flat), -1)
+
+        names, ids = v.column(key).combine_chunks(), q.column(query_key).combine_chunks()
+        if not len(names) or not len(ids):
+            return pa.table({query_key: ids[:0], key: names[:0], "score": pa.array([], pa.float64())})
+        by_name = pa.compute.sort_indices(names)
+        m, names = matrix(v.column(col))[by_name.to_numpy()], names.take(by_name)
+        rows, cols, scores = [], [], []
+        asked = matrix(q.column("_q"))
+        for a in range(0, len(asked), 256):  # bounds the score matrix
+            s = np.round(asked[a : a + 256] @ m.T, 6)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            rows.append(np.repeat(np.arange(a, a + len(s)), top.shape[1]))
+            cols.append(top.ravel())
+            scores.append(np.take_along_axis(s, top, 1).ravel())
+        return pa.table({query_key: ids.take(pa.array(np.concatenate(rows))), key: names.take(pa.array(np.concatenate(cols))), "score": pa.array(np.concatenate(scores))})
+
+    found = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(best, f"{query_key} {q_type}, {key} {v_type}, score double")
     return top_k(found, k, query_key, key)
 
 
