@@ -43,6 +43,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_WRITTEN: dict[str, list[tuple[str, str | None]]] = {}
+
+
+def drop_written(spark: SparkSession, keep: int = 0) -> int:
+    """Remove what ``written`` left since the first ``keep`` results, files and tables; how many that were.
+
+    For long-lived sessions: note ``len(written_paths(spark))`` before a batch and drop the rest after its
+    result was stored.  DataFrames that read a dropped result can't be used any more.
+    """
+    mine = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    gone, mine[keep:] = mine[keep:], []
+    for path, table in gone:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(gone)
+
+
+def written_paths(spark: SparkSession) -> list[str]:
+    return [path for path, _ in _WRITTEN.get(spark.sparkContext.applicationId, [])]
+
+
 def written(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int | None = None,
             already_placed: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
@@ -55,6 +78,7 @@ def written(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int
     spark = df.sparkSession
     tag = uuid.uuid4().hex
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{tag}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append((path, f"{name}_{tag}" if bucket_by else None))
     if bucket_by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
