@@ -29,14 +29,15 @@ def six(c: Column) -> Column:
 
 
 def bm25(terms: DataFrame, posts: DataFrame, stats: DataFrame, source: DataFrame | None = None,
-         k1: float = 1.5, b: float = 0.75) -> DataFrame:
+         k1: float = 1.5, b: float = 0.75, df: DataFrame | None = None) -> DataFrame:
     """(query_id, variant, chunk_id, score) over the distinct terms of each question.
 
-    Statistics are taken for the questions' terms only.  While the question table is small it is
+    ``df`` (term, df) is the stored document frequency of all terms; without it the frequencies of the
+    questions' terms are counted, which reads the postings once more.  While the question table is small it is
     broadcast, and the sum per chunk needs no exchange; beyond that both sides meet by term.
     """
-    wanted = I.broadcast_if_small(terms.select("term").distinct(), source)
-    df = I.document_frequency(posts, wanted)
+    if df is None:
+        df = I.document_frequency(posts, I.broadcast_if_small(terms.select("term").distinct(), source))
     n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighted = I.broadcast_if_small(

@@ -19,7 +19,7 @@ def terms(spark, d):
 
 
 def bm25_scores(spark, d):
-    return S.bm25(terms(spark, d), K.postings(spark, d), K.stats(spark, d), source=K.questions(spark, d))
+    return S.bm25(terms(spark, d), K.postings(spark, d), K.stats(spark, d), source=K.questions(spark, d), df=K.vocabulary(spark, d))
 
 
 def cosine_scores(spark, d):
