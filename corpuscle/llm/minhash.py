@@ -232,7 +232,7 @@ def _roots(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     todo = written(now.join(split, "key", "left_semi").join(regs, "id"), "open")
     if todo.isEmpty():
         return roots
-    near = (_block_pairs(todo, NEAR_BLOCK).groupBy("key", "p", "q").applyInArrow(_near_members(percent), "key long, id long").distinct())
+    near = written(_block_pairs(todo, NEAR_BLOCK).groupBy("key", "p", "q").applyInArrow(_near_members(percent), "key long, id long").distinct(), "near_members")
     sized = near.join(near.groupBy("key").agg(F.count("*").alias("size")), "key")
     with_sets = sized.join(todo.drop("size"), ["key", "id"]).join(check.sets, "id")
     more = _block_pairs(with_sets, SET_BLOCK).groupBy("key", "p", "q").applyInArrow(_open_links(percent), "a long, b long").distinct()
