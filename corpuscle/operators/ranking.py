@@ -220,7 +220,7 @@ def corrective(first: DataFrame, retry: DataFrame, questions: DataFrame, minimum
 
 def retrieval_score(rows: DataFrame, questions: DataFrame) -> DataFrame:
     s = rows.groupBy("query_id").agg(F.avg("rerank_score").alias("s"))
-    return questions.select("query_id").join(s, "query_id", "left").select("query_id", F.round(F.coalesce("s", F.lit(0.0)), 4).alias("retrieval_score"))
+    return questions.select("query_id").join(s, "query_id", "left").select("query_id", F.round(F.round(F.coalesce("s", F.lit(0.0)), 8), 4).alias("retrieval_score"))
 
 
 TEXT_TYPES = ("text", "requirement", "api", "configuration")

@@ -272,7 +272,7 @@ def parent_expansion(spark, d):
     return final(spark, d).select("query_id", "chunk_id", "rank", "rerank_score", F.array_join("merged", "|").alias("merged"))
 
 
-@query("RET-21", sql("SELECT p.query_id, round(coalesce(avg(rerank_score), 0), 4) AS retrieval_score FROM plans p LEFT JOIN final f ON f.query_id = p.query_id GROUP BY p.query_id"))
+@query("RET-21", sql("SELECT p.query_id, round(coalesce(avg(rerank_score), 0)::DECIMAL(18, 8), 4)::DOUBLE AS retrieval_score FROM plans p LEFT JOIN final f ON f.query_id = p.query_id GROUP BY p.query_id"))
 def retrieval_score(spark, d):
     return R.retrieval_score(final(spark, d), K.plans(spark, d))
 

@@ -190,7 +190,7 @@ def evaluation_sinks(spark, d):
     items = spark.read.json(f"{path}/items").agg(F.count("*").alias("items"))
     bad = spark.read.option("header", True).csv(f"{path}/failures").agg(F.count("*")).scalar()
     runs = K.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").alias("generated_at"))
-    kept = ST.run_history(runs, runs.limit(0))
+    kept = ST.run_history(runs, runs.limit(0), keep=50)
     return items.select("items", bad.alias("failures"), kept.agg(F.min(F.col("run_id").cast("bigint"))).scalar().alias("oldest"))
 
 

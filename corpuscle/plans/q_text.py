@@ -107,7 +107,7 @@ def quality_report(spark, d):
 
 @query("TXT-24", O.sql(f"""
 SELECT document_id, page_index, content_type, n::INT AS n, quality_score::DOUBLE AS quality_score, requires_review,
-  content_type || '-' || document_id || '-' || page_index || '-' || n || '-' || {O.sha12('document_id', 'content_type', 'page_index', 'n', "substr(coalesce(t, ''), 1, 200)")} AS content_id
+  content_type || '-' || document_id || '-' || page_index || '-' || n || '-' || {O.sha12('document_id', 'content_type', 'page_index', 'n', "coalesce(t, '')")} AS content_id
 FROM (
  SELECT document_id, page_index, 'text' AS content_type, 0 AS n, CASE WHEN len(fl) > 0 THEN 0.5 ELSE 1.0 END AS quality_score, len(fl) > 0 AS requires_review, text AS t FROM c
  UNION ALL SELECT document_id, page_index, 'table', generate_subscripts(tabs, 1) - 1, 0.8, false, '[]' FROM c
@@ -214,7 +214,7 @@ def content_and_exact_tokens(spark, d):
 
 @query("TXT-18 TXT-19", O.sql(f"""
 SELECT document_id, len({O.sentences('clean')}) AS sentences,
-  substr(coalesce(list_filter({O.sentences('clean')}, lambda s: contains(lower(s), lower(needle)))[1], clean), 1, 700) AS span
+  coalesce(list_filter({O.sentences('clean')}, lambda s: contains(lower(s), lower(needle)))[1], clean) AS span
 FROM (SELECT document_id, {O.collapse('body')} AS clean, coalesce({O.words('body')}[9], module) AS needle FROM docs)"""))
 def verbatim_spans(spark, d):
     docs = K.documents(spark, d).select(
