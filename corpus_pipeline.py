@@ -15,7 +15,7 @@ from corpuscle.session import written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it learns from all labelled rows' draw."""
+    """Documents that the quality classifier rejects go; it is fitted on a bounded draw of the labelled rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train_on(labels, docs))
 
