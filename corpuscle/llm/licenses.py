@@ -15,6 +15,9 @@ null ids are kept; extra columns are ignored; an empty table gives an empty resu
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +81,8 @@ SPELLINGS = (
     (r"\bnon commercial\b|\bnoncommercial\b", "nc"), (r"\bcreative commons\b", "cc"), (r"\bnon infringement\b", "noninfringement"),
     (r"\bsub license", "sublicense"), (r"\bhttps\b", "http"), (r"\bcopyright (?:owner|holder)", "copyright holder"), (r"\band or\b", "and"),
 )
+#: Every known text holds one of these, and no step of the canonical form makes one from a text without it.
+MARKS = ("licen", "permission", "redistribution")
 COPYRIGHT_LINE = r"(?im)^[ \t/*#;%-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
@@ -102,6 +107,9 @@ def known(spark) -> DataFrame:
 def matches(docs: DataFrame) -> DataFrame:
     """(doc_id, unit, position, license): units whose entire text is a known one; unit is document, paragraph or line."""
     text = F.coalesce("text", F.lit(""))
+    # Texts without any mark hold no known text: most of a corpus is spared the canonical form.
+    marked = reduce(or_, [F.lower(text).contains(m) for m in MARKS])
+    docs = docs.where(marked)
     unit = lambda name, parts: F.transform(parts, lambda x, i: F.struct(F.lit(name).alias("unit"), i.alias("position"), x.alias("part")))
     lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n")
     whole = F.filter(F.array(text), lambda x: x != "")
@@ -109,5 +117,6 @@ def matches(docs: DataFrame) -> DataFrame:
         unit("document", whole), F.when(F.size(paragraphs) > 1, unit("paragraph", paragraphs)).otherwise(unit("paragraph", F.slice(paragraphs, 1, 0))),
         F.when(F.size(lines) > 1, unit("line", lines)).otherwise(unit("line", F.slice(lines, 1, 0))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("u")).select("doc_id", "u.*")
+    rows = rows.where(reduce(or_, [F.lower("part").contains(m) for m in MARKS]))
     found = rows.withColumn("digest", digest(F.col("part"))).join(F.broadcast(known(docs.sparkSession)), "digest")
     return found.select("doc_id", "unit", "position", "license")

@@ -346,6 +346,7 @@ def test_propagation_matches_plain_iteration(spark):
 def test_license_texts_by_canonical_digest(spark):
     mit = "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + licenses._MIT.replace("sublicense", "sub-license").upper()
     texts_ = EDGE + [mit, "Some prose.\n\nLicensed under the Apache Licence, Ver 2.0!\n\nmore", "Intro\nReleased under the MIT License.", "Released under the MIT License. And more", "© 2020 me"]
+    assert all(any(m in t.lower() for m in licenses.MARKS) for _, t in licenses.KNOWN)
     n = len(EDGE)
     got = {(r.doc_id, r.unit, r.license) for r in licenses.matches(docs_of(spark, texts_)).collect()}
     assert got == {(n, "document", "MIT"), (n, "paragraph", "MIT"), (n, "line", "MIT"), (n + 1, "paragraph", "Apache-2.0"), (n + 1, "line", "Apache-2.0"), (n + 2, "line", "MIT")}
