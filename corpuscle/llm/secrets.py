@@ -3,9 +3,10 @@
 Candidates are the maximal runs of letters, digits and ``+/_=-``.  For each character class a window
 moves over the candidate; adding one character and removing another changes two counts, from which
 the window's Shannon entropy follows without counting again.  Windows at or above the class's
-threshold that hold the class's mixture of characters are merged into spans.  Allowed strings
-(identifiers, digests announced as such, placeholders, plain words and numbers) are suppressed, and
-a span that overlaps one of a fixed pattern is not repeated.  Positions are code points, ends exclusive.
+threshold that hold the class's mixture of characters are merged into spans.  What a fixed pattern
+has found is cut out of them and the free pieces stay.  Allowed pieces (identifiers, placeholders, plain
+words and numbers) and candidates announced as digests are suppressed; a placeholder between separators
+speaks for itself only, not for what stands beside it.  Positions are code points, ends exclusive.
 
 Only texts with a long run or a key word are looked at character by character; the runs come from
 one numpy pass over the bytes of all texts.
@@ -45,10 +46,12 @@ CLASSES = (
 )
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
-    r"|[0-9_+/=-]+|[A-Za-z_/=-]+"  # numbers, dates; words and paths without a digit
-    r"|.*(?:example|changeme|placeholder|xxxxx|123456789|abcdefgh).*",
-    re.IGNORECASE | re.DOTALL,
+    r"|[0-9_+/=-]+|[A-Za-z_/=-]+",  # numbers, dates; words and paths without a digit
+    re.IGNORECASE,
 )
+PLACEHOLDER = re.compile(r"example|changeme|placeholder|xxxxx|123456789|abcdefgh", re.IGNORECASE)
+#: A placeholder that is a part of a path or name of its own.
+_APART = re.compile(r"(?<![A-Za-z0-9])(?:example|changeme|placeholder|x{5,}|0?1234567890?|abcdefgh)(?![A-Za-z0-9])", re.IGNORECASE)
 ANNOUNCED = re.compile(r"(?:sha-?(?:1|256|384|512)|md5|crc32|commit|etag)[ \t]*[:=-]?[ \t]*$", re.IGNORECASE)
 _PLOGP = [0.0] + [c * math.log2(c) for c in range(1, 65)]
 
@@ -87,32 +90,61 @@ def dense_windows(s: str, chars: frozenset, width: int, least: float, groups: tu
     return [(a, b) for a, b in out]
 
 
+def merged_windows(s: str) -> list[tuple[int, int]]:
+    """Merged dense windows of all classes."""
+    out: list[list[int]] = []
+    for a, b in sorted(w for _, chars, width, least, groups in CLASSES for w in dense_windows(s, chars, width, least, groups)):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def allowed(s: str) -> bool:
+    """Whether a found string is no secret."""
+    return bool(ALLOWED.fullmatch(s) or PLACEHOLDER.search(s))
+
+
+def _reported(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """What is no placeholder of the found string from ``a`` to ``b``."""
+    s = text[a:b]
+    cuts = [m.span() for m in _APART.finditer(s)]
+    if not cuts:
+        return [] if allowed(s) else [(a, b)]
+    # The string without its placeholders: the parts beside them count if they are dense themselves.
+    out, at = [], 0
+    for x, y in [*cuts, (len(s), len(s))]:
+        out += [(a + at + i, a + at + j) for i, j in merged_windows(s[at:x]) if not allowed(s[at + i : at + j])]
+        at = y
+    return out
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of dense candidates that are not allowed and overlap nothing ``taken``."""
-    out: list[tuple[int, int, int]] = []
+    """(start, kind, end) of what ``taken`` (sorted) leaves free of dense candidates and is not allowed."""
+    cover: list[list[int]] = []
+    for a, _, b in taken:
+        if cover and a <= cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], b)
+        else:
+            cover.append([a, b])
+    out, j = [], 0
     for m in _CANDIDATE_RUN.finditer(text):
-        s = m.group()
-        if ALLOWED.fullmatch(s) or ANNOUNCED.search(text, max(0, m.start() - 16), m.start()):
+        if ANNOUNCED.search(text, max(0, m.start() - 16), m.start()) or ALLOWED.fullmatch(m.group()):
             continue
-        found: list[tuple[int, int]] = []
-        for _, chars, width, least, groups in CLASSES:
-            found += dense_windows(s, chars, width, least, groups)
-        merged: list[list[int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        out += [(m.start() + a, 3, m.start() + b) for a, b in merged]
-    # Both lists run by start and neither overlaps itself within a kind: one sweep finds the free ones.
-    free, j, reach = [], 0, -1
-    for a, k, b in out:
-        while j < len(taken) and taken[j][0] < b:
-            reach = max(reach, taken[j][2])
-            j += 1
-        if reach <= a:
-            free.append((a, k, b))
-    return free
+        for a, b in merged_windows(m.group()):
+            a, b = m.start() + a, m.start() + b
+            while j < len(cover) and cover[j][1] <= a:
+                j += 1
+            i = j
+            while i < len(cover) and cover[i][0] < b:
+                if cover[i][0] > a:
+                    out += _reported(text, a, cover[i][0])
+                a = max(a, cover[i][1])
+                i += 1
+            if a < b:
+                out += _reported(text, a, b)
+    return [(a, 3, b) for a, b in out]
 
 
 def find(text: str | None) -> list[tuple[int, int, int]]:
