@@ -210,6 +210,18 @@ def test_secrets_beside_fixed_patterns_and_placeholders_are_found():
     assert [k for _, k, _ in secrets.find("my_long_service_token=Zx9kQ2mV7rT4bN8wL1pY6cH3")] == [0]
 
 
+def test_keys_of_every_alphabet_are_found_and_words_are_not():
+    rng = random.Random(12)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for chars in (low + digits, up + "234567", low, up, low + up, low + up + digits):
+        for n, least in ((16, 190), (22, 194), (32, 198)):
+            keys = ["".join(rng.choice(chars) for _ in range(n)) for _ in range(200)]
+            assert sum(secrets.find(f"it is {k} here") == [(6, 3, 6 + n)] for k in keys) >= least, (chars, n)
+    for w in ("internationalization", "AbstractSingletonProxyFactoryBean", "how-to-make-2020-things", "wp-content/uploads/2019/Photo", "getElementsByClassName2", "20200101T123456Z",
+              "Rechtsschutzversicherungsgesellschaften", "1234567890123456789", "2020-12-01/2021-01-31", "123e4567-e89b-12d3-a456-426614174000"):
+        assert not secrets.find(f"it is {w} here"), w
+
+
 def test_incremental_entropy_matches_counting():
     import math
 
