@@ -4,20 +4,23 @@ Words are the runs of letters and digits of the lower-cased text.  A seed is the
 fixed mask selects; the positions it ignores may differ.  Seeds of the test items are joined with the
 seeds of the whole training texts, and around each hit the two texts are compared word by word on the
 hit's diagonal: an item leaks if some ``WINDOW`` of its words (all of them, if it has fewer) is found
-with at most ``TOLERANCE`` of the words replaced.  The masks are complete for that rule: any three
-replaced positions of twenty leave one of them untouched somewhere, so no such window is missed.
+with at most ``TOLERANCE`` of the words replaced.  No such window is missed: any three replaced positions
+of twenty leave one of the masks untouched somewhere, and an item of fewer words for whose length that
+does not hold is cut into one piece more than words may be replaced, so that one piece is untouched.
 
 Seeds of the test items are broadcast in parts of about a million rows, so the broadcast is bounded
 whatever the benchmark's size; the training texts are never shuffled, only their verified hits are.
 
-Edge cases: null and empty texts have no words and neither leak nor are leaked; items of 5 to 12 words
-are sought whole, shorter ones are no evidence and are ignored; repeated rows and rows sharing an id
+Edge cases: null and empty texts have no words and neither leak nor are leaked; items of fewer
+than 20 words are sought whole, those under 5 words are no evidence and are ignored; repeated rows and rows sharing an id
 are judged by their own text (``text_hash`` tells them apart); null ids are kept as they are; extra
 columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,24 @@ WINDOW, TOLERANCE, LEAST_WORDS = 20, 0.15, 5
 PART = 1_000_000
 
 
+def replaceable(n: int) -> int:
+    """How many words of an item of ``n`` words may be replaced in a window."""
+    return int(min(n, WINDOW) * TOLERANCE + 1e-9)
+
+
+def complete(n: int) -> bool:
+    """Whether any replaceable positions of ``n`` words leave a mask untouched somewhere."""
+    held = [{i + p for p, c in enumerate(m) if c == "1"} for m in MASKS for i in range(n - len(m) + 1)]
+    return all(any(not at & set(gone) for at in held) for gone in itertools.combinations(range(n), replaceable(n)))
+
+
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of an item of ``n`` words, one more than words may be replaced."""
+    k = replaceable(n) + 1
+    cuts = [n * i // k for i in range(k + 1)]
+    return [(a, b - a) for a, b in itertools.pairwise(cuts)]
+
+
 def words(text: Column) -> Column:
     """Hashes of the words of a text."""
     parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -65,17 +86,21 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, window, matched): the best window of each item found in a text."""
     items = written(items_of(benchmark), "items")
-    span = max(map(len, MASKS))
-    # Items too short for a mask are sought whole; there are at most as many lengths as words in the longest mask.
-    short = [r.n for r in items.filter(F.size("ih") < span).select(F.size("ih").alias("n")).distinct().orderBy("n").collect()]
-    masks = [*MASKS, *("1" * n for n in short)]
+    # Lengths under WINDOW for which the masks are not complete go by pieces; a piece is a mask of its own length.
+    lengths = [r.n for r in items.filter(F.size("ih") < WINDOW).select(F.size("ih").alias("n")).distinct().orderBy("n").collect()]
+    cut = {n: pieces(n) for n in lengths if not complete(n)}
+    whole = sorted({length for p in cut.values() for _, length in p})
+    masks = [*MASKS, *("1" * n for n in whole)]
     mask, pos = _place(masks)
     seeds = (items.select("item_id", F.size("ih").alias("n"), _seeds(F.col("ih"), masks).alias("seeds"))
              .select("item_id", "n", F.posexplode("seeds").alias("p", "seed"))
              .select("seed", "item_id", F.col("n").alias("item_n"), mask.alias("mask"), pos.alias("item_pos")))
-    # A whole-item mask is for items of that length only.
-    for k, n in enumerate(short):
-        seeds = seeds.filter((F.col("mask") != len(MASKS) + k) | (F.col("item_n") == n))
+    # Of the runs of words only the pieces of an item are seeds.
+    piece = F.lit(False)
+    for n, at in cut.items():
+        for start, length in at:
+            piece |= (F.col("item_n") == n) & (F.col("mask") == len(MASKS) + whole.index(length)) & (F.col("item_pos") == start)
+    seeds = seeds.filter((F.col("mask") < len(MASKS)) | piece)
     seeds = written(seeds.select("seed", "item_id", "item_n", "item_pos"), "seeds")
     parts = max(1, -(-seeds.count() // PART))
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("h"))

@@ -165,6 +165,21 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.leaks(d.limit(0), bench).count() == 0 and decontaminate.leaks(d, bench.limit(0)).count() == 0
 
 
+def test_decontamination_is_complete_at_every_length(spark):
+    items, docs = [], []
+    for n in range(5, 21):
+        w = [f"i{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(w)))
+        r = decontaminate.replaceable(n)
+        for gone in itertools.combinations(range(n), r):
+            docs.append((len(docs), n, True, "before it " + " ".join("changed" if j in gone else x for j, x in enumerate(w)) + " after"))
+        docs.append((len(docs), n, False, " ".join("changed" if j <= r else x for j, x in enumerate(w))))
+    d = docs_of(spark, [t for *_, t in docs])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, n) for i, n, leaked, _ in docs if leaked}
+    assert all(decontaminate.complete(n) for n in (13, 15, 16, 17, 18, 19, 20)) and not any(decontaminate.complete(n) for n in (5, 7, 12, 14))
+
+
 def test_decontamination_in_parts_finds_the_same(spark, monkeypatch):
     rng = random.Random(2)
     items = [(i, prose(rng, 25)) for i in range(8)]
