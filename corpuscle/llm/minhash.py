@@ -158,9 +158,12 @@ class _Verifier:
     def __init__(self, docs: DataFrame, classes: DataFrame, members: DataFrame, k: int, percent: int):
         self.classes, self.percent = classes, percent
         # Only texts of vertices in a bucket with company are read again and shuffled.
-        ids = members.select(F.col("id").alias("doc_id")).distinct()
+        ids = members.select("id").distinct()
+        # A class is fetched by the row that stands for it, so rows without an id are found as well.
+        one = classes.select("id", "one.at", "one.text_hash").join(ids, "id", "left_semi")
+        at = docs.withColumn("at", F.coalesce("doc_id", "text_hash"))
         # Repeated rows go before they are hashed; they lie together already.
-        some = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
+        some = at.join(one.hint("shuffle_hash"), ["at", "text_hash"]).dropDuplicates(["at", "text_hash"]).select(F.col("id").alias("doc_id"), "text")
         self.sets = written(some.mapInArrow(_full_sets(k), "id long, set array<long>"), "sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -188,7 +191,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sk = written(docs.mapInArrow(_sketches(words), "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, regs binary"), "sketches")
     key = F.coalesce(F.min("doc_id"), F.first("f1"))
     classes = written(sk.filter("n_shingles > 0").groupBy("f1", "f2", F.col("n_shingles").alias("n"))
-                      .agg(key.alias("id"), F.max("regs").alias("regs"), F.min("doc_id").alias("first_id")), "classes")
+                      .agg(key.alias("id"), F.max("regs").alias("regs"), F.min("doc_id").alias("first_id"),
+                           F.min(F.struct(F.coalesce("doc_id", "text_hash").alias("at"), "text_hash")).alias("one")), "classes")
     roots = _roots(docs, classes, words, percent)
     full = classes.join(roots, "id", "left").select("f1", "f2", "n", "first_id", F.coalesce("root", "id").alias("root"))
     least = full.groupBy("root").agg(F.min("first_id").alias("component_id"))

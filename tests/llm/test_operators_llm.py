@@ -97,6 +97,27 @@ def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     assert minhash.near_duplicates(d.limit(0)).count() == 0 and minhash.keep_one(d.limit(0)).columns == d.columns
 
 
+def test_near_copies_without_ids_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "NEAR_BLOCK", 16)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 8)
+    rng, rows = random.Random(21), []
+    for g in range(12):
+        base = prose(rng, 150, 10**6).split()
+        for j in range(4):
+            w = list(base)
+            w[10 + 30 * j] = f"n{g}x{j}"
+            rows.append((" ".join(w), 100 + g if j == 2 and g % 3 == 0 else None))
+    rows += [rows[0]] * 3
+    d = docs_of(spark, [t for t, _ in rows], [i for _, i in rows])
+    root = defaultdict(set)
+    for r in minhash.near_duplicates(d).collect():
+        root[r.root].add((r.doc_id, r.text_hash, r.component_id))
+    assert len(root) == 12 and all(len(m) == 4 for m in root.values())
+    assert {frozenset(c for _, _, c in m) for m in root.values()} == {frozenset([100 + g]) for g in range(0, 12, 3)} | {frozenset([None])}
+    kept = minhash.keep_one(d).collect()
+    assert len(kept) == 12 and sorted(r.doc_id for r in kept if r.doc_id) == [100, 103, 106, 109]
+
+
 def test_registers_merge_and_estimate_similarity():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2**63, 3000, dtype=np.uint64), rng.integers(0, 2**63, 1000, dtype=np.uint64)
