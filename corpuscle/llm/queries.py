@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bitsliced, decontaminate, licenses, minhash, packing, quality, repeats, secrets, toxicity, urls
+from corpuscle.llm import bitsliced, decontaminate, licenses, minhash, packing, quality, repeats, rules, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -184,3 +184,51 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 200-byte strings that stand elsewhere too."""
     return repeats.cut_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures and verdicts of every document, by thresholds of its language and source."""
+    return rules.verdicts(table(spark, sf_dir, "documents"))
+
+
+def _rules_sql() -> str:
+    case = lambda values: "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+    lower, upper = ({k: str(v[i]).upper() for k, v in rules.RATES.items()} for i in (0, 1))
+    fine, bits = rules.FINE, rules.FINE.bit_length()
+    shift = f"greatest(bucket // {fine} - 1, 0)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
+g AS (SELECT rid, i, array_to_string(ws[i : i + {rules.WINDOW - 1}], ' ') AS gram
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - {rules.WINDOW - 2})) AS i FROM w)),
+hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1),
+rep AS (SELECT rid, CAST(sum(step) AS BIGINT) AS n FROM (SELECT rid, least({rules.WINDOW}, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, {rules.WINDOW})) AS step FROM hit) GROUP BY rid),
+m AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '{rules.SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (rid)),
+r AS (SELECT rid, lang, source, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length']) AS rate,
+  unnest([CASE WHEN word_chars > 0 THEN n_symbols * 10000 // word_chars END, CASE WHEN n_lines > 0 THEN n_dup_lines * 10000 // n_lines END,
+    CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words END, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words END]) AS v FROM m),
+b AS (SELECT lang, source, rate, sh * {fine} + (v >> sh) AS bucket FROM (SELECT *, greatest(length(bin(v)) - {bits}, 0) AS sh FROM r WHERE v IS NOT NULL)),
+k AS (SELECT lv AS level, CASE WHEN lv < 2 THEN lang END AS lang, CASE WHEN lv < 1 THEN source END AS source, rate, bucket, count(*) AS n
+  FROM b, (VALUES (0), (1), (2)) l(lv) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM k),
+q AS (SELECT level, lang, source, rate, min(CASE WHEN 4 * upto >= total THEN (bucket - {shift} * {fine}) << {shift} END) AS q1,
+  min(CASE WHEN 4 * upto >= 3 * total THEN ((bucket - {shift} * {fine} + 1) << {shift}) - 1 END) AS q3
+  FROM c GROUP BY ALL HAVING max(total) >= {rules.LEAST}),
+f AS (SELECT level, lang, source, rate, CASE WHEN {case(lower)} THEN q1 - {rules.REACH} * greatest(q3 - q1, {case(rules.SPREAD)}) END AS lo,
+  CASE WHEN {case(upper)} THEN q3 + {rules.REACH} * greatest(q3 - q1, {case(rules.SPREAD)}) END AS hi FROM q),
+o AS (SELECT r.rid, r.rate, r.v < f.lo OR r.v > f.hi AS beyond, row_number() OVER (PARTITION BY r.rid, r.rate ORDER BY f.level) AS nth
+  FROM r JOIN f ON r.rate = f.rate AND CASE f.level WHEN 0 THEN f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source
+    WHEN 1 THEN f.lang IS NOT DISTINCT FROM r.lang ELSE TRUE END),
+x AS (SELECT rid, string_agg(rate, ',' ORDER BY list_position(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length'], rate)) AS beyond
+  FROM o WHERE nth = 1 AND beyond GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND x.rid IS NULL AS kept, coalesce(x.beyond, '') AS beyond
+FROM m LEFT JOIN x USING (rid)
+"""
+
+
+SQL["op13_rules"] = _rules_sql()
