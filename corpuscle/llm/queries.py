@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bitsliced, decontaminate, licenses, minhash, packing, quality, repeats, rules, secrets, toxicity, urls
+from corpuscle.llm import bitsliced, codes, decontaminate, licenses, minhash, packing, quality, repeats, rules, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -199,8 +199,10 @@ def _rules_sql() -> str:
     shift = f"greatest(bucket // {fine} - 1, 0)"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-]+'), lambda x: x <> '') AS ws,
-  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ 	-
+]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM d),
 g AS (SELECT rid, i, array_to_string(ws[i : i + {rules.WINDOW - 1}], ' ') AS gram
   FROM (SELECT rid, ws, unnest(range(1, len(ws) - {rules.WINDOW - 2})) AS i FROM w)),
 hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1),
@@ -232,3 +234,35 @@ FROM m LEFT JOIN x USING (rid)
 
 
 SQL["op13_rules"] = _rules_sql()
+
+
+@query
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-byte codes of all vectors, with their errors."""
+    return codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    near = lambda k: f"""n{k} AS MATERIALIZED (SELECT rid, q, min({{'d': d, 'e': e}}) AS m FROM (SELECT p.rid, p.q, b.e,
+  coalesce(list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0) AS d FROM p JOIN b{k} b USING (q)) GROUP BY rid, q)"""
+    steps = []
+    for k in range(rounds):
+        steps += [near(k), f"""b{k + 1} AS MATERIALIZED (SELECT b.q, b.e, coalesce(u.v, b.v) AS v FROM b{k} b LEFT JOIN (
+  SELECT q, e, list(c ORDER BY i) AS v FROM (SELECT q, m.e AS e, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS c
+    FROM n{k} JOIN (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM p) USING (rid, q) GROUP BY ALL) GROUP BY q, e) u USING (q, e))"""]
+    steps.append(near(rounds))
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+  list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS a FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, q, a[q * (len(a) // 4) + 1 : (q + 1) * (len(a) // 4)] AS v FROM (SELECT *, unnest(range(4)) AS q FROM k)),
+b0 AS MATERIALIZED (SELECT q, rid - 1 AS e, v FROM p WHERE rid <= 256),
+{', '.join(steps)},
+r AS (SELECT rid, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY q) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM n{rounds} GROUP BY rid),
+s AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY q, e, i)) AS codebooks_sha256 FROM (SELECT q, e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM b{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT codebooks_sha256 FROM s) AS codebooks_sha256
+FROM r JOIN k USING (rid)
+"""
+
+
+SQL["op11_codes"] = _codes_sql()
