@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import bitsliced, codes, decontaminate, licenses, minhash, packing, quality, repeats, rules, secrets, toxicity, urls
+from corpuscle.llm import bitsliced, codes, decontaminate, licenses, minhash, packing, quality, repeats, rules, secrets, toxicity, trie, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -266,3 +266,36 @@ FROM r JOIN k USING (rid)
 
 
 SQL["op11_codes"] = _codes_sql()
+
+
+@query
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def _trie_sql() -> str:
+    bit = "list_reduce(range(8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor({}, {}))"
+    crc = f"xor(list_reduce(list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT)), lambda z, b: {bit.format('z', 'b')}, CAST(4294967295 AS BIGINT)), 4294967295)"
+    return f"""
+WITH t AS (SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS nb,
+  sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, d, nb, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) - 1 AS pos FROM t),
+l AS (SELECT c, n, {crc} % 9 AS h FROM (SELECT c, count(*) AS n, CAST(c AS VARCHAR) AS s FROM o GROUP BY c)),
+b AS (SELECT l.*, least(l.h, coalesce(m.n, 0)) AS has FROM l LEFT JOIN l m ON m.c = l.c - l.c % 5),
+r AS (SELECT c, has + pos - h AS pos, d, nb FROM o JOIN b USING (c) WHERE pos >= h
+  UNION ALL SELECT b.c, o.pos, o.d, o.nb FROM b JOIN o ON o.c = b.c - b.c % 5 AND o.pos < b.h),
+p AS (SELECT b.c, count(d) AS n, coalesce(string_agg(d, '' ORDER BY pos), '') AS path, list(nb ORDER BY pos) AS sizes FROM b LEFT JOIN r USING (c) GROUP BY b.c),
+e AS (SELECT c, n, k, left(path, 64 * k) AS pre, coalesce(sizes[k], 0) AS nb FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM p)),
+v AS MATERIALIZED (SELECT k, pre, min(c) AS c, count(*) AS n, max(nb) AS nb, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = k) AS ends FROM e GROUP BY k, pre),
+kids AS (SELECT k - 1 AS k, left(pre, 64 * (k - 1)) AS pre, count(*) AS n_children FROM v WHERE k > 0 GROUP BY ALL),
+f AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN kids USING (k, pre)),
+s AS (SELECT j AS k, left(pre, 64 * j) AS pre, sum((n - 1) * nb) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves
+  FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM f) GROUP BY ALL)
+SELECT f.c AS conv_id, CAST(f.k AS BIGINT) AS depth, u.c AS parent_conv_id, f.n AS n_convs, f.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN s USING (k, pre) LEFT JOIN v u ON u.k = f.k - 1 AND u.pre = left(f.pre, 64 * (f.k - 1))
+"""
+
+
+SQL["op12_trie"] = _trie_sql()
