@@ -66,8 +66,8 @@ def vocabulary(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def tfidf_weights(posts: DataFrame, vocab: DataFrame, stats: DataFrame, key: str = "chunk_id",
-                  limit: int | None = None) -> DataFrame:
-    """(key, term, w): augmented TF-IDF rows of unit length.
+                  limit: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, term, w): augmented TF-IDF rows of unit length, with the columns of ``posts`` named in ``keep``.
 
     ``vocab`` is broadcast if ``limit`` bounds its rows or its table is small.
     """
@@ -78,11 +78,11 @@ def tfidf_weights(posts: DataFrame, vocab: DataFrame, stats: DataFrame, key: str
         posts.withColumn("max_tf", F.max("tf").over(by_key))
         .join(side, "term")
         .withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
-        .select(key, "term", ((0.5 + 0.5 * F.col("tf") / F.col("max_tf")) * F.col("idf")).alias("raw"))
+        .select(key, "term", ((0.5 + 0.5 * F.col("tf") / F.col("max_tf")) * F.col("idf")).alias("raw"), *keep)
     )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(by_key))
     return raw.withColumn("norm", norm).select(
-        key, "term", (F.col("raw") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w")
+        key, "term", (F.col("raw") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"), *keep
     )
 
 

@@ -28,6 +28,19 @@ def six(c: Column) -> Column:
     return F.round(c, 6)
 
 
+def bm25_weights(terms: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, variant, term, weight): the rarity of each term of a question."""
+    n = stats.select("n").scalar()
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return terms.select("query_id", "variant", "term").join(df, "term").select("query_id", "variant", "term", idf.alias("weight"))
+
+
+def bm25_impact(stats: DataFrame, k1: float = 1.5, b: float = 0.75) -> Column:
+    """What a posting (tf, len) adds to a score for a term of weight one."""
+    tf = F.col("tf")
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / stats.select("avg_len").scalar()))
+
+
 def bm25(terms: DataFrame, posts: DataFrame, stats: DataFrame, source: DataFrame | None = None,
          k1: float = 1.5, b: float = 0.75, df: DataFrame | None = None) -> DataFrame:
     """(query_id, variant, chunk_id, score) over the distinct terms of each question.
@@ -38,35 +51,34 @@ def bm25(terms: DataFrame, posts: DataFrame, stats: DataFrame, source: DataFrame
     """
     if df is None:
         df = I.document_frequency(posts, I.broadcast_if_small(terms.select("term").distinct(), source))
-    n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = I.broadcast_if_small(
-        terms.select("query_id", "variant", "term").join(df, "term").withColumn("idf", idf), source
-    )
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / avg_len))
+    weighted = I.broadcast_if_small(bm25_weights(terms, df, stats), source)
+    part = F.col("weight") * bm25_impact(stats, k1, b)
     return (
-        posts.join(weighted.drop("df"), "term")
+        posts.join(weighted, "term")
         .groupBy("chunk_id", "query_id", "variant")
         .agg(six(F.sum(part)).alias("score"))
     )
 
 
-def cosine(terms: DataFrame, weights: DataFrame, vocab: DataFrame, stats: DataFrame,
-           source: DataFrame | None = None) -> DataFrame:
-    """(query_id, variant, chunk_id, score): sparse dot product of unit TF-IDF rows."""
+def cosine_weights(terms: DataFrame, vocab: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, variant, term, weight): the unit TF-IDF row of each question."""
     n = stats.select("n").scalar()
     key = W.partitionBy("query_id", "variant")
-    raw = (
+    return (
         terms.join(vocab, "term")
         .withColumn("raw", (0.5 + 0.5 * F.col("tf") / F.col("max_tf")) * (F.log((n + 1) / (F.col("df") + 1)) + 1))
         .withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(key)))
-        .select("query_id", "variant", "term", (F.col("raw") / F.col("norm")).alias("wq"))
+        .select("query_id", "variant", "term", (F.col("raw") / F.col("norm")).alias("weight"))
     )
+
+
+def cosine(terms: DataFrame, weights: DataFrame, vocab: DataFrame, stats: DataFrame,
+           source: DataFrame | None = None) -> DataFrame:
+    """(query_id, variant, chunk_id, score): sparse dot product of unit TF-IDF rows."""
     return (
-        weights.join(I.broadcast_if_small(raw, source), "term")
+        weights.join(I.broadcast_if_small(cosine_weights(terms, vocab, stats), source), "term")
         .groupBy("chunk_id", "query_id", "variant")
-        .agg(six(F.sum(F.col("wq") * F.col("w"))).alias("score"))
+        .agg(six(F.sum(F.col("weight") * F.col("w"))).alias("score"))
     )
 
 

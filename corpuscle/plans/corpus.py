@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
+from corpuscle.operators import blockmax as B
 from corpuscle.operators import chunks as C
 from corpuscle.operators import index as I
+from corpuscle.operators import scoring as S
 from corpuscle.operators.index import broadcast_if_small, source_bytes
 from corpuscle.session import written
 
@@ -72,6 +74,14 @@ def once(spark: SparkSession, sf_dir: str, name: str, make, bucket_by: str | Non
     return _BUILT[key]
 
 
+def once_made(spark: SparkSession, sf_dir: str, name: str, make):
+    """What ``make`` has written itself, made once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 def atomic_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.atomic_chunks(C.normalized_pages(pages(spark, sf_dir)))
 
@@ -114,13 +124,33 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit TF-IDF rows, bucketed by chunk."""
+    """Unit TF-IDF rows with their counts, bucketed by chunk."""
     def make():
-        return I.tfidf_weights(postings(spark, sf_dir), vocabulary(spark, sf_dir), stats(spark, sf_dir))
+        return I.tfidf_weights(postings(spark, sf_dir), vocabulary(spark, sf_dir), stats(spark, sf_dir), keep=("tf", "len"))
 
     return once(spark, sf_dir, "weights", make, "chunk_id", already_placed=True)
 
 
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, no) of all chunks."""
+    return once_made(spark, sf_dir, "numbers", lambda: B.numbers(lengths(spark, sf_dir)))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posting blocks with the impacts of both channels."""
+    def make():
+        rows = weights(spark, sf_dir)
+        impacts = rows.select("chunk_id", "term", S.bm25_impact(stats(spark, sf_dir)).alias("bm25"), F.col("w").alias("dense"))
+        return B.blocks(impacts, numbers(spark, sf_dir), ["bm25", "dense"], rows)
+
+    return once_made(spark, sf_dir, "blocks", make)
+
+
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ident, chunk_id) of all chunks."""
+    return once(spark, sf_dir, "identifiers", lambda: I.exact_ids(chunks(spark, sf_dir)))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """benchmark passages as questions (query_id, text)."""
     b = table(spark, sf_dir, "benchmark")

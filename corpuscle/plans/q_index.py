@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscle.functions import vocab as V
+from corpuscle.operators import blockmax as B
 from corpuscle.operators import index as I
 from corpuscle.operators import scoring as S
 from corpuscle.plans import corpus as K
@@ -26,6 +27,13 @@ def cosine_scores(spark, d):
     return S.cosine(terms(spark, d), K.weights(spark, d), K.vocabulary(spark, d), K.stats(spark, d), source=K.questions(spark, d))
 
 
+def channel_top(spark, d, name):
+    """The best chunks of a channel, from the posting blocks."""
+    t, st, v = terms(spark, d), K.stats(spark, d), K.vocabulary(spark, d)
+    asked = S.bm25_weights(t, v, st) if name == "bm25" else S.cosine_weights(t, v, st)
+    return B.top_k(asked, K.blocks(spark, d), K.numbers(spark, d), name, S.CHANNEL_POOL, source=K.questions(spark, d))
+
+
 class Channels:
     """Channel cuts by name, each written when it is first asked for."""
 
@@ -33,8 +41,7 @@ class Channels:
         self.spark, self.d = spark, d
 
     def __getitem__(self, name):
-        make = {"bm25": bm25_scores, "dense": cosine_scores}[name]
-        return K.once(self.spark, self.d, f"channel_{name}", lambda: S.channel(make(self.spark, self.d)))
+        return K.once(self.spark, self.d, f"channel_{name}", lambda: channel_top(self.spark, self.d, name))
 
 
 def channels(spark, d):
@@ -83,12 +90,12 @@ def unit_vectors(spark, d):
 
 @query("RET-01 RET-04 RET-05", O.sql("SELECT query_id, chunk_id, score, rank FROM bm25_ch"))
 def bm25_top(spark, d):
-    return S.channel(bm25_scores(spark, d)).select("query_id", "chunk_id", "score", "rank")
+    return channel_top(spark, d, "bm25").select("query_id", "chunk_id", "score", "rank")
 
 
 @query("RET-02 RET-05", O.sql("SELECT query_id, chunk_id, score, rank FROM cos_ch"))
 def cosine_top(spark, d):
-    return S.channel(cosine_scores(spark, d)).select("query_id", "chunk_id", "score", "rank")
+    return channel_top(spark, d, "dense").select("query_id", "chunk_id", "score", "rank")
 
 
 _VEC = "list_transform(embedding, lambda v: v::DOUBLE)"

@@ -401,7 +401,10 @@ def tenant_vector_search(spark, d):
 
 
 def index(spark, d):
-    return P.Index(K.chunks(spark, d), K.postings(spark, d), K.stats(spark, d), K.vocabulary(spark, d), K.weights(spark, d))
+    no = K.numbers(spark, d)
+    pools = K.once_made(spark, d, "pools", lambda: P.pools(K.chunks(spark, d), no))
+    return P.Index(K.chunks(spark, d), K.postings(spark, d), K.stats(spark, d), K.vocabulary(spark, d), K.weights(spark, d),
+                   no, K.blocks(spark, d), pools, K.identifiers(spark, d))
 
 
 _SHOWN = ("query_id", "rank", "chunk_id", "document_id", "release", "fused_score", "rerank_score", "exact_hit", "compressed")

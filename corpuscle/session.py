@@ -67,13 +67,13 @@ def written_paths(spark: SparkSession) -> list[str]:
 
 
 def written(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int | None = None,
-            already_placed: bool = False) -> DataFrame:
+            already_placed: bool = False, sort_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a result is read several times or a loop would grow its lineage; the copy outlives
     a lost executor.  ``bucket_by`` keeps rows placed by that column, so later grouping or joining on
     it needs no exchange; ``already_placed`` says that the rows already lie that way, in as many
-    partitions.
+    partitions, and ``sort_by`` orders the rows of each file.
     """
     spark = df.sparkSession
     tag = uuid.uuid4().hex
@@ -85,5 +85,6 @@ def written(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     view = f"{name}_{tag}"
     placed = df if already_placed else df.repartition(n, bucket_by)
-    placed.write.bucketBy(n, bucket_by).option("path", path).saveAsTable(view)
+    out = placed.write.bucketBy(n, bucket_by)
+    (out.sortBy(*sort_by) if sort_by else out).option("path", path).saveAsTable(view)
     return spark.table(view)
