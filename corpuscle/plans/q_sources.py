@@ -17,6 +17,7 @@ from corpuscle.plans.registry import query
 from corpuscle.session import shared_dir
 from corpuscle.sources import files as SF
 from corpuscle.sources import tables as ST
+from corpuscle.streaming import limits as SL
 from corpuscle.streaming import streams as SS
 
 
@@ -219,6 +220,23 @@ def sliding_rates(spark, d):
     return SS.request_rates(e).select("client", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+_RATE_LIMIT, _RATE_SECONDS = 4, 24 * 3600
+
+
+@query("STR-02", f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (
+  SELECT user_id, event_id, i, [us] AS kept, true AS accepted FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, i, CASE WHEN len(kept) < {_RATE_LIMIT} THEN list_append(kept, us) ELSE kept END, len(kept) < {_RATE_LIMIT} FROM (
+    SELECT e.user_id, e.event_id, e.i, e.us, list_filter(r.kept, lambda t: e.us - t < {_RATE_SECONDS}000000) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT event_id, accepted FROM r""")
+def accepted_requests(spark, d):
+    """Events as requests of which only accepted ones count: at most four of a user in a day."""
+    e = K.table(spark, d, "events").select(F.col("user_id").alias("client"), "ts", "event_id")
+    return SL.accepted(e, "event_id", _RATE_LIMIT, _RATE_SECONDS).select("event_id", "accepted")
+
+
 @query("STR-03", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS requests, count_if(event_type = 'error') AS errors, round(avg(value), 4) AS mean_latency FROM events GROUP BY ALL")
 def hourly_counters(spark, d):
     e = K.table(spark, d, "events").select("ts", F.col("event_type").alias("outcome"), F.col("value").alias("latency"))
