@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import vocab as V
 from corpuscle.operators import blockmax as B
+from corpuscle.operators import cells as CE
 from corpuscle.operators import index as I
 from corpuscle.operators import scoring as S
 from corpuscle.plans import corpus as K
@@ -101,16 +102,28 @@ def cosine_top(spark, d):
 _VEC = "list_transform(embedding, lambda v: v::DOUBLE)"
 
 
-@query("RET-03 RET-05", f"""
+VECTOR_SQL = f"""
 SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)), 6) AS score
-  FROM (SELECT vec_id, {_VEC} AS e FROM embeddings WHERE label = 0) q, (SELECT vec_id, {_VEC} AS e FROM embeddings) v)) WHERE rank <= 10""")
+  FROM (SELECT vec_id, {_VEC} AS e FROM embeddings WHERE label = 0) q, (SELECT vec_id, {_VEC} AS e FROM embeddings) v)) WHERE rank <= 10"""
+
+
+@query("RET-03 RET-05", VECTOR_SQL)
 def vector_top(spark, d):
     u = I.unit_vectors(K.vectors(spark, d))
     q = u.where("label = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return S.vector_top_k(q, u.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
 
 
+@query("RET-03 RET-05", VECTOR_SQL)
+def vector_cells_top(spark, d):
+    """The same search over cells that a question visits by their bounds."""
+    u = I.unit_vectors(K.vectors(spark, d)).withColumnRenamed("vec_id", "chunk_id")
+    cells = K.once_made(spark, d, "cells", lambda: CE.build(u, "chunk_id"))
+    q = u.where("label = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return CE.top_k(q, cells, 10)
+
+
 @query("RET-06", O.sql("""
 SELECT query_id, chunk_id, round((score - lo) / CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE hi - lo END, 6) AS score FROM (
   SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM bm25_ch)"""))
