@@ -208,6 +208,14 @@ def page_neighbours(hits: DataFrame, chunks: DataFrame, limit: int | None = None
     return ranked if limit is None else ranked.where(F.col("rn") <= limit)
 
 
+def page_evidence(hits: DataFrame, chunks: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
+    """(hit_id, kind, evidence_id): the chunks, tables and figures on the page of each hit."""
+    one = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("evidence_id"), "document_id", F.col("page_index").cast("long").alias("page_index"))
+    every = one(chunks, "chunk", "chunk_id").unionByName(one(tables, "table", "evidence_id")).unionByName(one(figures, "figure", "evidence_id"))
+    at = hits.select(F.col("chunk_id").alias("hit_id"), "document_id", F.col("page_index").cast("long").alias("page_index"))
+    return at.join(every, ["document_id", "page_index"]).select("hit_id", "kind", "evidence_id")
+
+
 def optional_filter(df: DataFrame, **wanted) -> DataFrame:
     """Equality on every given value; None and '' are skipped."""
     for c, v in wanted.items():

@@ -149,21 +149,25 @@ def evidence_rows(ranked: DataFrame) -> DataFrame:
     )
 
 
-def topology_summary(entities: DataFrame, items: int = 40, ports: int = 12, chars: int = 4000) -> DataFrame:
-    """Short text per artifact over the long entity table: components with ports, connectors, parameters."""
+def topology_summary(entities: DataFrame, items: int | None = None, ports: int | None = None, chars: int | None = None) -> DataFrame:
+    """Text per artifact over the long entity table: components with ports, connectors, parameters.
+
+    Limits on items of a kind, ports of a component and characters are off by default.
+    """
+    upto = lambda n: F.lit(True) if n is None else F.col("rn") <= n
     from pyspark.sql.window import Window as W
 
     own = W.partitionBy("artifact_id", "parent").orderBy("seq")
     port = (
         entities.where("entity = 'port'")
         .withColumn("rn", F.row_number().over(own))
-        .where(F.col("rn") <= ports)
+        .where(upto(ports))
         .groupBy("artifact_id", "parent")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "short_name"))), lambda x: x["short_name"]), ", ").alias("ports"))
     )
     ranked = entities.where(F.col("entity").isin("component", "connector", "parameter")).withColumn(
         "rn", F.row_number().over(W.partitionBy("artifact_id", "entity").orderBy("seq"))
-    ).where(F.col("rn") <= items)
+    ).where(upto(items))
     side = port.withColumnsRenamed({"parent": "qualified_name"})
     lines = ranked.join(side, ["artifact_id", "qualified_name"], "left").select(
         "artifact_id",
@@ -175,6 +179,5 @@ def topology_summary(entities: DataFrame, items: int = 40, ports: int = 12, char
         .alias("line"),
     )
     ordered = F.sort_array(F.collect_list(F.struct("kind_order", "rn", "line")))
-    return lines.groupBy("artifact_id").agg(
-        F.substring(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), 1, chars).alias("summary")
-    )
+    text = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
+    return lines.groupBy("artifact_id").agg((text if chars is None else F.substring(text, 1, chars)).alias("summary"))

@@ -78,11 +78,10 @@ def diff_records(base: DataFrame, target: DataFrame, domain: str, key: str = "en
 
 
 def release_delta(chunks: DataFrame, base: str, target: str, show: int | None = None) -> DataFrame:
-    """One row: chunk counts, chunks and requirement ids added and removed, the ids of each (the
-    first ``show``, if given).
+    """One row for each chunk and requirement id added or removed (the first ``show`` of a kind and side,
+    if given), with the number of its kind and side and the chunks of both releases.
 
-    Set differences are counted by grouping on the id with one flag per side; the shown lists are
-    sorted limits if ``show`` is given; without it a list is as long as the difference.
+    Set differences are found by grouping on the id with one flag per side; at most four counts are joined.
     """
     both = chunks.where(F.col("release").isin(base, target)).withColumn("is_base", F.col("release") == base)
 
@@ -94,11 +93,10 @@ def release_delta(chunks: DataFrame, base: str, target: str, show: int | None =
     rq = sides(both.select(F.explode("requirement_ids").alias("id"), "is_base")).withColumn("what", F.lit("requirements"))
     every = ck.unionByName(rq)
     top = every if show is None else every.withColumn("rn", F.row_number().over(W.partitionBy("what", "side").orderBy("id"))).where(F.col("rn") <= show)
-    lists = top.groupBy("what", "side").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     counts = every.groupBy("what", "side").agg(F.count("*").alias("n"))
     sizes = both.agg(F.count_if("is_base").alias("base_chunks"), F.count_if(~F.col("is_base")).alias("target_chunks"))
-    return counts.join(lists, ["what", "side"]).select(
-        F.lit(base).alias("base"), F.lit(target).alias("target"), "what", "side", "n", "ids",
+    return top.join(F.broadcast(counts), ["what", "side"]).select(  # two kinds, two sides
+        F.lit(base).alias("base"), F.lit(target).alias("target"), "what", "side", "id", "n",
         sizes.select("base_chunks").scalar().alias("base_chunks"), sizes.select("target_chunks").scalar().alias("target_chunks"),
     )
 

@@ -190,23 +190,24 @@ def merge_branches(rows: DataFrame, k: Column) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("_k")).drop("seen", "_k")
 
 
-def sub_questions(plans: DataFrame, limit: int = 4) -> DataFrame:
-    """(query_id, hop, text): one sub-question per release of a comparison and per module of several."""
+def sub_questions(plans: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query_id, hop, text): one sub-question per release of a comparison and per module of several, the first ``limit`` if given."""
     text = F.col("text")
     none = F.expr("cast(array() as array<string>)")
     by_release = F.when(F.col("release_mode") == "comparison", F.transform("releases", lambda r: F.concat(text, F.lit(" AUTOSAR "), r))).otherwise(none)
     by_module = F.when(F.size("modules") > 1, F.transform("modules", lambda m: F.concat(text, F.lit(" "), m))).otherwise(none)
     parts = F.array_distinct(F.concat(by_release, by_module))
-    parts = F.slice(F.when(F.size(parts) == 0, F.array(text)).otherwise(parts), 1, limit)
+    parts = F.when(F.size(parts) == 0, F.array(text)).otherwise(parts)
+    parts = parts if limit is None else F.slice(parts, 1, limit)
     return plans.select("query_id", F.posexplode(parts).alias("hop", "text"))
 
 
-def merge_hops(rows: DataFrame, cap: int = 24, hops: int = 3) -> DataFrame:
-    """Evidence of hops (query_id, hop, chunk_id, rank) appended in order, new chunks only."""
-    few = rows.where(F.col("hop") < hops)
-    once = few.withColumn("seen", F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy("hop", "rank"))).where("seen = 1")
+def merge_hops(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """Evidence of all hops (query_id, hop, chunk_id, rank) appended in order, new chunks only, ``cap`` a question if given."""
+    once = rows.withColumn("seen", F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy("hop", "rank"))).where("seen = 1")
     w = W.partitionBy("query_id").orderBy("hop", "rank", "chunk_id")
-    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).drop("seen")
+    merged = once.withColumn("rank", F.row_number().over(w)).drop("seen")
+    return merged if cap is None else merged.where(F.col("rank") <= cap)
 
 
 def corrective(first: DataFrame, retry: DataFrame, questions: DataFrame, minimum: int = 3) -> DataFrame:

@@ -140,16 +140,14 @@ def trace_questions(spark, d):
 
 
 @query("GRF-10", sql("""
-SELECT a.query_id, array_to_string(list_sort(list_distinct(list_append(coalesce(list(e.other) FILTER (WHERE e.other IS NOT NULL), []), a.node_id))), '|') AS node_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list(e.edge_id) FILTER (WHERE e.edge_id IS NOT NULL))), '|'), '') AS edge_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list(e.chunk_id) FILTER (WHERE e.chunk_id IS NOT NULL))), '|'), '') AS chunk_ids
-FROM asked a LEFT JOIN ends e ON e.at = a.node_id AND (a.k >= 3 OR (e.rel = CASE WHEN a.k = 2 THEN 'references' ELSE 'satisfies' END AND e.side = CASE WHEN a.k = 0 THEN 'dst' ELSE 'src' END))
-GROUP BY a.query_id, a.node_id""", tq=_TQ,
+SELECT query_id, 'node' AS kind, node_id AS id FROM asked UNION SELECT query_id, 'node', other FROM met UNION SELECT query_id, 'edge', edge_id FROM met
+UNION SELECT query_id, 'chunk', chunk_id FROM met WHERE chunk_id IS NOT NULL""", tq=_TQ,
     asked="SELECT query_id, k, CASE k WHEN 0 THEN 'requirement:' || spec WHEN 1 THEN 'api:' || api WHEN 2 THEN 'requirement:' || spec WHEN 3 THEN 'api:' || api ELSE 'module:' || src END AS node_id FROM tq",
-    ends="SELECT edge_id, rel, chunk_id, src AS at, dst AS other, 'src' AS side FROM gedges UNION ALL SELECT edge_id, rel, chunk_id, dst, src, 'dst' FROM gedges"))
+    ends="SELECT edge_id, rel, chunk_id, src AS at, dst AS other, 'src' AS side FROM gedges UNION ALL SELECT edge_id, rel, chunk_id, dst, src, 'dst' FROM gedges",
+    met="""SELECT a.query_id, e.* FROM asked a JOIN ends e ON e.at = a.node_id
+  AND (a.k >= 3 OR (e.rel = CASE WHEN a.k = 2 THEN 'references' ELSE 'satisfies' END AND e.side = CASE WHEN a.k = 0 THEN 'dst' ELSE 'src' END))"""))
 def trace_answers(spark, d):
-    a = G.trace_answers(trace_questions(spark, d), node_rows(spark, d), edge_rows(spark, d))
-    return a.select("query_id", *[F.array_join(c, "|").alias(c) for c in ("node_ids", "edge_ids", "chunk_ids")])
+    return G.trace_answers(trace_questions(spark, d), node_rows(spark, d), edge_rows(spark, d))
 
 
 @query("GRF-11", sql("""
@@ -157,12 +155,12 @@ SELECT query_id, pos, s.label AS subject, rel AS predicate, o.label AS object, i
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY slot, edge_id) AS pos FROM (
     SELECT DISTINCT query_id, slot, e.* FROM (
       SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, p) AS slot FROM (
-        SELECT query_id, node_id, min(rank * 10 + p) AS k, arg_min(rank, rank * 10 + p) AS rank, arg_min(p, rank * 10 + p) AS p FROM (
+        SELECT query_id, node_id, min(rank * 1000000 + p) AS k, arg_min(rank, rank * 1000000 + p) AS rank, arg_min(p, rank * 1000000 + p) AS p FROM (
           SELECT query_id, rank, unnest(ids) AS node_id, generate_subscripts(ids, 1) AS p FROM (
-            SELECT query_id, rank, list_concat(list_concat(list_transform(requirement_ids[1:3], lambda x: 'requirement:' || x), list_transform(api_names[1:3], lambda x: 'api:' || x)),
-              list_transform(ecu_parameters[1:2], lambda x: 'ecuc:' || x)) AS ids FROM reranked JOIN chunks USING (chunk_id) WHERE rank <= 12))
-        GROUP BY query_id, node_id)) seeds JOIN gedges e ON seeds.slot <= 6 AND (e.src = seeds.node_id OR e.dst = seeds.node_id)))
-JOIN gnodes s ON s.node_id = src JOIN gnodes o ON o.node_id = dst WHERE pos <= 30"""))
+            SELECT query_id, rank, list_concat(list_concat(list_transform(requirement_ids, lambda x: 'requirement:' || x), list_transform(api_names, lambda x: 'api:' || x)),
+              list_transform(ecu_parameters, lambda x: 'ecuc:' || x)) AS ids FROM reranked JOIN chunks USING (chunk_id) WHERE rank <= 12))
+        GROUP BY query_id, node_id)) seeds JOIN (SELECT *, src AS at FROM gedges UNION SELECT *, dst FROM gedges) e ON e.at = seeds.node_id))
+JOIN gnodes s ON s.node_id = src JOIN gnodes o ON o.node_id = dst"""))
 def evidence_graph(spark, d):
     c = K.chunks(spark, d).select("chunk_id", "requirement_ids", "api_names", "ecu_parameters")
     e = reranked(spark, d).where("rank <= 12").join(c, "chunk_id")
@@ -175,7 +173,7 @@ _MODS = ("the", "and", "der", "que", "les", "src1", "src2", "src3", "para", "one
 @query("GRF-12", O.sql(f"""
 SELECT chunk_id, p[i] AS subject, 'co_mentioned_with' AS predicate, p[j] AS object, 0.7::DOUBLE AS confidence, true AS is_inferred
 FROM pm, unnest(range(1, len(p) + 1)) AS a(i), unnest(range(1, len(p) + 1)) AS b(j) WHERE i < j
-UNION ALL SELECT chunk_id, p[1], 'implements', unnest(api_names[1:5]), 0.9, false FROM pm WHERE len(p) > 0""",
+UNION ALL SELECT chunk_id, p[1], 'implements', unnest(api_names), 0.9, false FROM pm WHERE len(p) > 0""",
     pm=f"SELECT chunk_id, api_names, list_filter([{', '.join(O.lit(m) for m in _MODS)}], lambda m: contains(lower(normalized_text), m)) AS p FROM chunks"))
 def module_co_mentions(spark, d):
     return G.module_co_mentions(K.chunks(spark, d), _MODS)
@@ -214,14 +212,14 @@ def record_diff(spark, d):
 
 
 @query("DIF-02", O.sql("""
-SELECT what, side, count(*) AS n, array_to_string(list_sort(list(id)), '|') AS ids, (SELECT count(*) FROM chunks WHERE release = '4.2.2') AS base_chunks,
+SELECT what, side, id, count(*) OVER (PARTITION BY what, side) AS n, (SELECT count(*) FROM chunks WHERE release = '4.2.2') AS base_chunks,
   (SELECT count(*) FROM chunks WHERE release = '4.4.0') AS target_chunks
 FROM (SELECT what, id, CASE WHEN bool_or(release = '4.4.0') THEN 'added' ELSE 'removed' END AS side FROM (
   SELECT 'chunks' AS what, chunk_id AS id, release FROM chunks WHERE release IN ('4.2.2', '4.4.0')
   UNION ALL SELECT 'requirements', unnest(requirement_ids), release FROM chunks WHERE release IN ('4.2.2', '4.4.0'))
-  GROUP BY what, id HAVING count(DISTINCT release) = 1) GROUP BY what, side"""))
+  GROUP BY what, id HAVING count(DISTINCT release) = 1)"""))
 def release_delta(spark, d):
-    return KY.release_delta(K.chunks(spark, d), "4.2.2", "4.4.0").select("what", "side", "n", F.array_join("ids", "|").alias("ids"), "base_chunks", "target_chunks")
+    return KY.release_delta(K.chunks(spark, d), "4.2.2", "4.4.0").select("what", "side", "id", "n", "base_chunks", "target_chunks")
 
 
 @query("DIF-03", sql("""

@@ -32,12 +32,12 @@ def query_outcomes(spark, d):
 
 
 @query("LOG-02", O.sql("""
-SELECT id, query, outcome, intent FROM recent UNION ALL
-SELECT id, query, 'DOWN', intent FROM qlog WHERE outcome = 'PARTIAL' AND query NOT IN (SELECT query FROM recent)""",
-    recent="SELECT id, query, outcome, intent FROM qlog ORDER BY conv_id * 1000 + turn DESC, id LIMIT 100"))
+SELECT id, query, outcome, intent FROM settled UNION ALL
+SELECT id, query, 'DOWN', intent FROM qlog WHERE outcome = 'PARTIAL' AND query NOT IN (SELECT query FROM settled)""",
+    settled="SELECT id, query, outcome, intent FROM qlog WHERE outcome <> 'PARTIAL'"))
 def log_merge(spark, d):
     q = K.query_log(spark, d).withColumn("created_at", F.col("conv_id") * 1000 + F.col("turn"))
-    return M.log_merge(q, q.where("outcome = 'PARTIAL'"), 100)
+    return M.log_merge(q.where("outcome <> 'PARTIAL'"), q.where("outcome = 'PARTIAL'"))
 
 
 @query("LOG-03", O.sql("SELECT a, b, round(j, 6) AS jaccard FROM links WHERE j >= 0.1 AND a IN (SELECT rep FROM reps) AND b IN (SELECT rep FROM reps)", **LOG_VIEWS,

@@ -232,10 +232,22 @@ def optional_filters(spark, d):
 
 @query("FLT-13", O.sql("""
 SELECT h.chunk_id AS hit_id, n.chunk_id FROM atomics h JOIN (SELECT *, row_number() OVER (PARTITION BY document_id, page_index ORDER BY chunk_id) AS rn FROM atomics) n
-USING (document_id, page_index) WHERE rn <= 20"""))
+USING (document_id, page_index)"""))
 def page_neighbours(spark, d):
     a = K.atomics(spark, d)
-    return FL.page_neighbours(a, a, limit=20).select("hit_id", "chunk_id")
+    return FL.page_neighbours(a, a).select("hit_id", "chunk_id")
+
+
+@query("FLT-13", O.sql("""
+SELECT h.chunk_id AS hit_id, e.kind, e.evidence_id FROM atomics h JOIN (
+  SELECT 'chunk' AS kind, chunk_id AS evidence_id, document_id, page_index FROM atomics
+  UNION ALL SELECT 'table', 'tbl-doc-' || doc_id || '-0-0', 'doc-' || doc_id, 0 FROM documents
+  UNION ALL SELECT 'figure', 'fig-doc-' || doc_id || '-0-0', 'doc-' || doc_id, 0 FROM documents) e USING (document_id, page_index)"""))
+def page_evidence(spark, d):
+    """Everything on the page of each chunk: chunks, tables and figures."""
+    a, docs = K.atomics(spark, d), K.documents(spark, d)
+    side = lambda kind: docs.select(F.concat(F.lit(f"{kind}-"), "document_id", F.lit("-0-0")).alias("evidence_id"), "document_id", F.lit(0).alias("page_index"))
+    return FL.page_evidence(a, a, side("tbl"), side("fig")).select("hit_id", "kind", "evidence_id")
 
 
 @query("FLT-13", O.sql("""
@@ -331,7 +343,7 @@ def release_merge(spark, d):
 
 @query("RET-18", sql("""
 SELECT query_id, hop - 1 AS hop, parts[hop] AS text FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS hop FROM (
-  SELECT query_id, CASE WHEN len(ps) = 0 THEN [text] ELSE ps[1:4] END AS parts FROM (
+  SELECT query_id, CASE WHEN len(ps) = 0 THEN [text] ELSE ps END AS parts FROM (
     SELECT query_id, text, list_concat(CASE WHEN release_mode = 'comparison' THEN list_transform(releases, lambda r: text || ' AUTOSAR ' || r) ELSE []::VARCHAR[] END,
       CASE WHEN len(mods) > 1 THEN list_transform(mods, lambda m: text || ' ' || m) ELSE []::VARCHAR[] END) AS ps
     FROM (SELECT *, CASE WHEN len(modules) > 0 AND substr(query_id, 3)::BIGINT % 8 = 0 THEN list_append(modules, 'Com') ELSE modules END AS mods FROM plans))))"""))
@@ -345,7 +357,7 @@ def sub_questions(spark, d):
 SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank, chunk_id) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY hop, rank) AS seen FROM (
     SELECT query_id, 0 AS hop, chunk_id, rank FROM bm25_ch WHERE rank <= 12 UNION ALL SELECT query_id, 1, chunk_id, rank FROM cos_ch WHERE rank <= 12
-    UNION ALL SELECT query_id, 2, chunk_id, rank FROM reranked WHERE rank <= 12)) WHERE seen = 1) WHERE rank <= 24"""))
+    UNION ALL SELECT query_id, 2, chunk_id, rank FROM reranked WHERE rank <= 12)) WHERE seen = 1)"""))
 def hop_merge(spark, d):
     ch = channels(spark, d)
     hop = lambda df, n: df.where("rank <= 12").select("query_id", F.lit(n).alias("hop"), "chunk_id", "rank")

@@ -19,6 +19,7 @@ from corpuscle.operators import questions as QU
 from corpuscle.operators import verification as VE
 from corpuscle.sources import files as SF
 from corpuscle.sources import tables as ST
+from corpuscle.operators import ranking as R
 from corpuscle.streaming import streams as SS
 
 
@@ -55,11 +56,19 @@ def test_trace_questions(spark):
     q = spark.createDataFrame(
         [("a", "Which APIs satisfy SWS_CANIF_00072?"), ("b", "Which requirements does SWS_CANIF_00072 reference?"), ("c", "What connects to CanIf_Init?"), ("d", "Which APIs satisfy SWS_NONE_1?")],
         "query_id string, text string")
-    got = {r.query_id: r for r in G.trace_answers(q, n, e).collect()}
-    assert "api:CanIf_Init" in got["a"].node_ids and got["a"].chunk_ids == ["c1"]
-    assert "requirement:SWS_CANIF_00073" in got["b"].node_ids and got["b"].chunk_ids == ["c2"]
-    assert "requirement:SWS_CANIF_00072" in got["c"].node_ids
-    assert got["d"].node_ids == ["requirement:SWS_NONE_1"] and got["d"].edge_ids == []
+    got = {(r.query_id, r.kind, r.id) for r in G.trace_answers(q, n, e).collect()}
+    ids = lambda q, kind: {i for x, k, i in got if (x, k) == (q, kind)}
+    assert "api:CanIf_Init" in ids("a", "node") and ids("a", "chunk") == {"c1"}
+    assert "requirement:SWS_CANIF_00073" in ids("b", "node") and ids("b", "chunk") == {"c2"}
+    assert "requirement:SWS_CANIF_00072" in ids("c", "node")
+    assert ids("d", "node") == {"requirement:SWS_NONE_1"} and not ids("d", "edge")
+
+
+def test_every_hop_is_kept(spark):
+    plans = spark.createDataFrame([("q", "text", "comparison", ["1", "2", "3"], ["A", "B", "C"])], "query_id string, text string, release_mode string, releases array<string>, modules array<string>")
+    assert R.sub_questions(plans).count() == 6 and R.sub_questions(plans, 4).count() == 4
+    rows = spark.createDataFrame([("q", h, f"c{h}", 1) for h in range(5)] + [("q", 4, "c0", 2)], "query_id string, hop int, chunk_id string, rank int")
+    assert [r.chunk_id for r in R.merge_hops(rows).orderBy("rank").collect()] == ["c0", "c1", "c2", "c3", "c4"]
 
 
 def test_neighbourhood_hops(spark):
