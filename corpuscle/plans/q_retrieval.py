@@ -13,6 +13,7 @@ from corpuscle.operators import scoring as S
 from corpuscle.plans import corpus as K
 from corpuscle.plans import oracle as O
 from corpuscle.plans import retrieve as P
+from corpuscle.plans import retrieve_sql as RS
 from corpuscle.plans.q_index import FUSED_VIEWS, channels, fused
 from corpuscle.plans.registry import query
 
@@ -311,7 +312,7 @@ _QW = "list_distinct(regexp_extract_all(lower(q), '[a-z0-9_]+'))"
 _NORM = "regexp_matches(lower(s), 'shall|should|may|must|never|always')"
 
 
-@query("RET-16", sql(f"""
+_COMPRESSED = f"""
 SELECT query_id, chunk_id, CASE WHEN len(kept) > 0 THEN array_to_string(list_transform(list_sort(kept), lambda i: ss[i]), ' ') ELSE substr(t, 1, room) END AS compressed FROM (
   SELECT query_id, chunk_id, t, ss, room, list_reduce(order_list, lambda a, x: CASE WHEN a.total >= room OR a.total + x.n > room THEN a
       ELSE {{'total': a.total + x.n, 'n': 0::BIGINT, 'i': 0::BIGINT, 'kept': list_append(a.kept, x.i)}} END, {{'total': 0::BIGINT, 'n': 0::BIGINT, 'i': 0::BIGINT, 'kept': []::BIGINT[]}}).kept AS kept
@@ -319,7 +320,10 @@ SELECT query_id, chunk_id, CASE WHEN len(kept) > 0 THEN array_to_string(list_tra
     FROM (SELECT query_id, chunk_id, t, ss, room, i, ss[i] AS s, len(list_intersect({_QW}, list_distinct(regexp_extract_all(lower(ss[i]), '[a-z0-9_]+')))) + CASE WHEN {_NORM.replace('lower(s)', 'lower(ss[i])')} THEN 2 ELSE 0 END AS score
       FROM (SELECT f.query_id, f.chunk_id, p.text AS q, c.normalized_text AS t, {O.sentences('c.normalized_text')} AS ss, CASE WHEN intent = 'configuration' THEN 3000 ELSE 1500 END AS room
             FROM final f JOIN plans p USING (query_id) JOIN chunks c USING (chunk_id)), unnest(range(1, len(ss) + 1)) AS u(i))
-    GROUP BY ALL))"""))
+    GROUP BY ALL))"""
+
+
+@query("RET-16", sql(_COMPRESSED))
 def compressed_evidence(spark, d):
     p = K.plans(spark, d).select("query_id", F.col("text").alias("q"), F.when(F.col("intent") == "configuration", 3000).otherwise(1500).alias("room"))
     rows = final(spark, d).select("query_id", "chunk_id").join(p, "query_id").join(K.chunks(spark, d).select("chunk_id", "normalized_text"), "chunk_id")
@@ -422,7 +426,13 @@ def index(spark, d):
 _SHOWN = ("query_id", "rank", "chunk_id", "document_id", "release", "fused_score", "rerank_score", "exact_hit", "compressed")
 
 
-@query("RET-24 RET-17 RET-19")
+_IS_MODEL = f"""(SELECT m >= 4 AND m >= 2 * g AND NOT contains(t, 'ECUC-') AND NOT contains(t, 'Mapping Rule') FROM (
+  SELECT t, {_count('t', (r'Class [A-Z]\w*',) + V.MODEL_MARKERS[1:])} - len(regexp_extract_all(t, 'Traffic Class [A-Z]\\w*')) AS m, {_count('t', V.CONFIG_MARKERS)} AS g
+  FROM (SELECT c.section_title || chr(10) || c.normalized_text AS t)))"""
+_ALLOWED = "SELECT * FROM chunks WHERE document_id IN (SELECT document_id FROM docs WHERE workspace_id = 'ws-1')"
+
+
+@query("RET-24 RET-17 RET-19", RS.evidence(VIEWS, _BASE, _IS_MODEL, _COMPRESSED))
 def retrieve(spark, d):
     plans = K.plans(spark, d)
     return P.retrieve(plans, QU.variants(plans), index(spark, d)).select(*_SHOWN)
@@ -434,7 +444,7 @@ def retrieve_questions(spark, d):
     return P.ask(K.questions(spark, d), index(spark, d)).select(*_SHOWN)
 
 
-@query("RET-24 FLT-04")
+@query("RET-24 FLT-04", RS.evidence(VIEWS, _BASE, _IS_MODEL, _COMPRESSED, _ALLOWED))
 def retrieve_allowed(spark, d):
     """The same batch for an asker who may see one workspace."""
     plans = K.plans(spark, d)
