@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
+from corpuscle.session import written
 
 ATOMIC_WORDS = 220
 CONTEXT_WORDS = 600
@@ -87,8 +88,9 @@ def _entering_states(atomics: DataFrame, target: int, pages_per_block: int) -> D
     """(document_id, block, left, resets): the running state with which a block of pages begins.
 
     The state is a number below the target, so a block is summarised by a map from every entering
-    state to (leaving state, restarts), and the maps are composed in page order.  Only documents of
-    several blocks are looked at, and only numbers travel.
+    state to (leaving state, restarts).  Maps are composed by a tree of ``FAN`` neighbours, so a row holds
+    that many maps at most and a document of n blocks takes log n rounds.  Only documents of several blocks are
+    looked at, and only numbers travel.
     """
     long_docs = atomics.where(F.col("page_index") >= pages_per_block).select("document_id").distinct()
     counted = atomics.select(
@@ -107,9 +109,53 @@ def _entering_states(atomics: DataFrame, target: int, pages_per_block: int) -> D
     maps = blocks.select(
         "document_id", "block", F.transform(F.sequence(F.lit(0), F.lit(target - 1)), run).alias("effect")
     )
-    begin = F.struct(
-        F.lit(0).alias("left"),
-        F.lit(0).alias("resets"),
+    last = (atomics.agg(F.max("page_index")).first()[0] or 0) // pages_per_block
+    # Up: FAN neighbours become one map, until a document is one.  Down: a map's entering state becomes those of its parts.
+    levels = [maps]
+    while last >= FAN:
+        levels[-1] = written(levels[-1], "block_maps")
+        parts = _neighbours(levels[-1])
+        levels.append(parts.select("document_id", F.col("above").alias("block"), F.aggregate("parts", _identity(target), _after).alias("effect")))
+        last //= FAN
+    states = None
+    for level in reversed(levels):
+        parts = _neighbours(level)
+        if states is None:
+            begun = parts.withColumns({"left": F.lit(0), "resets": F.lit(0)})
+        else:
+            begun = parts.join(states.withColumnRenamed("block", "above"), ["document_id", "above"])
+        states = _opened(begun)
+    return states
+
+
+#: Neighbouring maps that meet in one row.
+FAN = 32
+
+
+def _identity(target: int):
+    each = lambda s: F.struct(s.cast("int").alias("left"), F.lit(0).cast("int").alias("resets"))
+    return F.transform(F.sequence(F.lit(0), F.lit(target - 1)), each)
+
+
+def _after(acc, part):
+    """The map ``acc`` followed by that of ``part``."""
+    def one(x):
+        y = F.get(part["effect"], x["left"])
+        return F.struct(y["left"].alias("left"), (x["resets"] + y["resets"]).cast("int").alias("resets"))
+
+    return F.transform(acc, one)
+
+
+def _neighbours(maps: DataFrame) -> DataFrame:
+    """(document_id, above, parts): ``FAN`` neighbouring maps at most, in order."""
+    parts = F.sort_array(F.collect_list(F.struct("block", "effect"))).alias("parts")
+    return maps.groupBy("document_id", F.floor(F.col("block") / FAN).alias("above")).agg(parts)
+
+
+def _opened(begun: DataFrame) -> DataFrame:
+    """(document_id, block, left, resets) of every part, from the state with which its row begins."""
+    start = F.struct(
+        F.col("left").cast("int").alias("left"), F.col("resets").cast("int").alias("resets"),
         F.expr("cast(array() as array<struct<block:bigint,left:int,resets:int>>)").alias("out"),
     )
 
@@ -118,16 +164,12 @@ def _entering_states(atomics: DataFrame, target: int, pages_per_block: int) -> D
         here = F.struct(m["block"].alias("block"), acc["left"].alias("left"), acc["resets"].alias("resets"))
         return F.struct(
             after["left"].alias("left"),
-            (acc["resets"] + after["resets"]).alias("resets"),
+            (acc["resets"] + after["resets"]).cast("int").alias("resets"),
             F.concat(acc["out"], F.array(here)).alias("out"),
         )
 
-    return (
-        maps.groupBy("document_id")
-        .agg(F.sort_array(F.collect_list(F.struct("block", "effect"))).alias("maps"))
-        .select("document_id", F.explode(F.aggregate("maps", begin, compose, lambda acc: acc["out"])).alias("e"))
-        .select("document_id", "e.block", "e.left", "e.resets")
-    )
+    each = F.explode(F.aggregate("parts", start, compose, lambda acc: acc["out"])).alias("e")
+    return begun.select("document_id", each).select("document_id", "e.block", "e.left", "e.resets")
 
 
 def grouped(atomics: DataFrame, target_words: int = CONTEXT_WORDS, pages_per_block: int = PAGES_PER_BLOCK) -> DataFrame:

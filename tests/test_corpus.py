@@ -83,6 +83,23 @@ def test_context_groups_across_blocks_match_a_sequential_fold(spark):
         assert got == want
 
 
+def test_context_groups_of_a_very_long_document(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(C, "_neighbours", lambda maps, old=C._neighbours: sizes.append(old(maps)) or sizes[-1])
+    n = (F.col("id") * 7919 % 37 + 1).cast("int")
+    atoms = spark.range(100_000).select(
+        F.lit("d").alias("document_id"), F.col("id").cast("int").alias("page_index"), F.lit(0).alias("para"), F.lit(0).alias("word_offset"), F.repeat(F.lit("w "), n).alias("text"))
+    want, grp, total = {}, 0, 0
+    for i in range(100_000):
+        want[i] = grp
+        total += i * 7919 % 37 + 1
+        if total >= 90:
+            grp, total = grp + 1, 0
+    got = {r.page_index: r.grp for r in C.grouped(atoms, 90, pages_per_block=20).select("page_index", "grp").collect()}
+    assert got == want
+    assert len(sizes) >= 3 and max(df.agg(F.max(F.size("parts"))).first()[0] for df in sizes) <= C.FAN
+
+
 def test_context_chunks_unite_ids_and_carry_children(spark):
     rows = [("d", i, f"SWS_X_{i} " + "long words here " * 80, "", "", "", "a.pdf") for i in range(3)]
     all_chunks = C.with_contexts(C.atomic_chunks(pages(spark, rows))).collect()
