@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
 from corpuscle.functions import vocab as V
-from corpuscle.operators.filters import grams
+from corpuscle.operators.substrings import contained
 
 
 def advisory_scan(files: DataFrame) -> DataFrame:
@@ -42,14 +42,11 @@ def call_sites(files: DataFrame) -> DataFrame:
 def call_port_matches(calls: DataFrame, ports: DataFrame) -> DataFrame:
     """(link_id, call, port, confidence): ports whose normalised name occurs in the normalised call.
 
-    Calls and ports meet on a port's first three characters; names shorter than that meet whole.
+    Calls and ports meet on a port's rarest gram among the calls.
     """
-    c = calls.select("call").distinct().withColumn("c", F.replace(F.lower("call"), F.lit("_"), F.lit("")))
-    p = ports.select("port").distinct().withColumn("p", F.replace(F.lower("port"), F.lit(" "), F.lit(""))).where("p <> ''")
-    shorts = F.array_union(grams(F.col("c"), 3), F.array_union(grams(F.col("c"), 2), grams(F.col("c"), 1)))
-    left = c.select("call", "c", F.explode(shorts).alias("k"))
-    right = p.withColumn("k", F.substring("p", 1, 3))
-    return left.join(right, "k").where(F.col("c").contains(F.col("p"))).select(
+    c = calls.select("call").distinct().withColumn("hay", F.replace(F.lower("call"), F.lit("_"), F.lit("")))
+    p = ports.select("port").distinct().withColumn("needle", F.replace(F.lower("port"), F.lit(" "), F.lit("")))
+    return contained(p, c).join(p, "needle").join(c, "hay").select(
         F.concat("call", F.lit("->"), "port").alias("link_id"), "call", "port", F.lit(0.6).alias("confidence"),
         F.concat(F.lit("name overlap: "), "call", F.lit(" ~ "), "port").alias("evidence"),
     ).distinct()

@@ -6,12 +6,12 @@ share few combinations, so (question, combination) stays small and meets candida
 
 from __future__ import annotations
 
-from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpuscle.functions import vocab as V
+from corpuscle.operators.substrings import contained
 
 FACET = ["platform", "release", "module", "asil", "is_project"]
 ANY, PROJECT = "*", "#project"
@@ -131,28 +131,15 @@ def authorised(chunks: DataFrame, allowed: DataFrame) -> DataFrame:
 # --- lookups --------------------------------------------------------------------------------
 
 
-def grams(c: Column, n: int = 3) -> Column:
-    """Distinct substrings of length n; the text itself when it is shorter."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(n))))
-
-
 def requirement_search(chunks: DataFrame, wanted: DataFrame, limit: int | None = None) -> DataFrame:
     """Chunks with an id containing the wanted text, in any case: (query_id, chunk_id, rn).
 
-    ``wanted`` is (query_id, needle, release or '').  Ids and needles meet on a needle's first three
-    characters (a shorter needle meets whole); the substring test follows.  ``limit`` keeps the first rows
-    of a question; none by default.
+    ``wanted`` is (query_id, needle, release or '').  Ids and needles meet on a needle's rarest gram; the substring
+    test follows.  ``limit`` keeps the first rows of a question; none by default.
     """
-    ids = chunks.select(F.explode("requirement_ids").alias("rid")).distinct().withColumn("low", F.lower("rid"))
-    short = wanted.select(F.length("needle").alias("n")).distinct()
-    sizes = {n: grams(F.col("low"), n) for n in (1, 2, 3)}
-    # Grams of one and two characters are offered only if a needle is that short.
-    offered = [ids.select("rid", "low", F.lit(n).alias("n"), F.explode(g).alias("key")) for n, g in sizes.items()]
-    asked = short.select(F.least(F.greatest("n", F.lit(1)), F.lit(3)).alias("n")).distinct()
-    keys = reduce(DataFrame.unionByName, offered).join(F.broadcast(asked), "n", "left_semi").select("rid", "low", "key").distinct()
-    keyed = wanted.where("needle <> ''").select("query_id", F.lower("needle").alias("needle"), F.col("release").alias("want")).withColumn("key", F.substring("needle", 1, 3))
-    hits = keys.join(keyed, "key").where(F.col("low").contains(F.col("needle"))).select("rid", "query_id", "want")
+    ids = chunks.select(F.explode("requirement_ids").alias("rid")).distinct().withColumn("hay", F.lower("rid"))
+    keyed = wanted.select("query_id", F.lower("needle").alias("needle"), F.col("release").alias("want"))
+    hits = ids.join(contained(keyed, ids), "hay").join(keyed, "needle").select("rid", "query_id", "want")
     rows = chunks.select("chunk_id", "release", F.explode("requirement_ids").alias("rid")).join(hits, "rid")
     rows = rows.where((F.col("want") == "") | (F.col("release") == F.col("want")))
     found = rows.select("query_id", "chunk_id").distinct().withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy("chunk_id")))
