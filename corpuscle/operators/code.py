@@ -9,6 +9,9 @@ from corpuscle.functions import text as T
 from corpuscle.functions import vocab as V
 from corpuscle.operators.substrings import contained
 
+#: Stands before matches; a text that holds it already holds another control character instead.
+MARK = "\x01"
+
 
 def advisory_scan(files: DataFrame) -> DataFrame:
     """(path, line, rule, location, message): every match of every rule in the whole text.
@@ -16,16 +19,17 @@ def advisory_scan(files: DataFrame) -> DataFrame:
     A match may span lines; its line is that of its first character, counted from the text before it.
     """
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    text = F.translate("text", MARK, "\x02")
 
     def hits_of(rule: str, pattern: str, message: str):
-        # Line breaks before each match: those of the pieces between matches and of earlier matches.
-        counts = lambda found: F.zip_with(F.split("text", pattern, -1), found, lambda p, m: F.struct(breaks(p).alias("p"), F.coalesce(breaks(m), F.lit(0)).alias("m")))
+        # One pass of the pattern puts a mark before each match; the line of a match is counted from the pieces before it.
         first = F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<int>)").alias("lines"))
-        lines = lambda c: F.aggregate(
-            c, first, lambda s, x: F.struct((s["at"] + x["p"] + x["m"]).alias("at"), F.concat(s["lines"], F.array(s["at"] + x["p"])).alias("lines")),
+        lines = lambda pieces: F.aggregate(
+            F.slice(pieces, 1, F.size(pieces) - 1), first,
+            lambda s, x: F.struct((s["at"] + breaks(x)).alias("at"), F.concat(s["lines"], F.array(s["at"] + breaks(x))).alias("lines")),
             lambda s: s["lines"])
-        made = lambda found: F.when(F.size(found) > 0, F.slice(lines(counts(found)), 1, F.size(found))).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.transform(T.let(T.found(F.col("text"), pattern, 0), made), lambda n: F.struct(n.alias("line"), F.lit(rule).alias("rule"), F.lit(message).alias("why")))
+        marked = F.split(F.regexp_replace(text, pattern, MARK + "$0"), MARK, -1)
+        return F.transform(T.let(marked, lines), lambda n: F.struct(n.alias("line"), F.lit(rule).alias("rule"), F.lit(message).alias("why")))
 
     hits = files.select("path", F.explode(F.concat(*[hits_of(*r) for r in V.CODE_RULES])).alias("h"))
     return hits.select(
