@@ -316,10 +316,10 @@ def frozen_split(spark, d):
     return E.freeze_split(golden(spark, d))
 
 
-@query("EVL-13", O.sql("SELECT count(*) AS scored FROM golden WHERE ('0x' || substr(sha256(query_id || '|holdout-2026'), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE < 0.2", golden=GOLDEN))
+@query("EVL-13", O.sql("SELECT query_id, category, difficulty, gold_answer FROM golden WHERE ('0x' || substr(sha256(query_id || '|holdout-2026'), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE < 0.2", golden=GOLDEN))
 def split_drift(spark, d):
     g = golden(spark, d)
-    return E.scored_split(g, E.freeze_split(g), E.golden_fingerprint(g.repartition(3)), "holdout").agg(F.count("*").alias("scored"))
+    return E.scored_split(g, E.freeze_split(g), E.golden_fingerprint(g.repartition(3)), "holdout").select("query_id", "category", "difficulty", "gold_answer")
 
 
 @query("EVL-14", O.sql(f"""

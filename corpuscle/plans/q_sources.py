@@ -83,14 +83,14 @@ def keyed_upsert(spark, d):
     return KY.upsert(old, new, "k", "seq").select("k", "v")
 
 
-@query("SRC-09", O.sql("SELECT count(*) AS postings, sum(tf)::BIGINT AS tokens, (SELECT count(*) FROM chunks) AS chunks, true AS fresh FROM posts"))
+@query("SRC-09", O.sql("SELECT chunk_id, term, tf, len, true AS fresh FROM posts"))
 def saved_index(spark, d):
     path = scratch(spark, "index")
     c = K.chunks(spark, d)
     I.save_index(c, path)
     t = I.load_index(spark, path)
-    g = t["postings"].agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"))
-    return g.select("postings", "tokens", t["lengths"].agg(F.count("*")).scalar().alias("chunks"), F.lit(I.index_is_fresh(c, t["fingerprint"])).alias("fresh"))
+    rows = t["postings"].drop("len").join(t["lengths"], "chunk_id")
+    return rows.select("chunk_id", "term", "tf", "len", F.lit(I.index_is_fresh(c, t["fingerprint"])).alias("fresh"))
 
 
 @query("SRC-10", """
@@ -171,28 +171,35 @@ def topology_summary(spark, d):
 
 
 @query("SRC-12", """
-SELECT count(*) AS total, count_if(event_type = 'view') AS passed, count_if(event_type = 'error') AS unknown, count(*) AS stored FROM events""")
+SELECT 'res-' || substr(sha256(concat_ws('|', 'run-1', event_id, CASE event_type WHEN 'view' THEN 'passed' WHEN 'error' THEN NULL ELSE event_type END)), 1, 12) AS result_id,
+  event_id::VARCHAR AS test_id, CASE event_type WHEN 'view' THEN 'passed' WHEN 'error' THEN 'unknown' ELSE event_type END AS status,
+  (SELECT count(*) FROM events) AS total, (SELECT count_if(event_type = 'view') FROM events) AS passed, (SELECT count_if(event_type = 'error') FROM events) AS unknown FROM events""")
 def test_result_batch(spark, d):
     e = K.table(spark, d, "events").select(
         F.col("event_id").cast("string").alias("test_id"), F.when(F.col("event_type") == "view", "passed").when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("event_type")).alias("status"))
     run, rows = ST.test_result_rows(e, "run-1")
     path = scratch(spark, "results")
     ST.append(rows, path)
-    stored = spark.read.parquet(path).agg(F.countDistinct("result_id")).scalar()
-    return run.select("total", "passed", "unknown", stored.alias("stored"))
+    total = run.first()
+    return spark.read.parquet(path).select("result_id", "test_id", "status", *[F.lit(total[c]).alias(c) for c in ("total", "passed", "unknown")])
 
 
-@query("SRC-14", sql("""
-SELECT (SELECT count(*) FROM drows) AS items, (SELECT count(*) FROM drows WHERE failure <> 'ok') AS failures, (SELECT min(o_orderkey) FROM (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey::VARCHAR LIMIT 50)) AS oldest"""))
+@query("SRC-14", sql("SELECT query_id, failure, failure <> 'ok' AS reported FROM drows"))
 def evaluation_sinks(spark, d):
     rows = diagnosed(spark, d)
     path = scratch(spark, "run")
     ST.write_run(rows, rows.agg(F.count("*").alias("n")), path)
-    items = spark.read.json(f"{path}/items").agg(F.count("*").alias("items"))
-    bad = spark.read.option("header", True).csv(f"{path}/failures").agg(F.count("*")).scalar()
+    items = spark.read.json(f"{path}/items").select("query_id", "failure")
+    bad = spark.read.option("header", True).csv(f"{path}/failures").select("query_id", F.lit(True).alias("bad"))
+    return items.join(bad, "query_id", "left").select("query_id", "failure", F.coalesce("bad", F.lit(False)).alias("reported"))
+
+
+@query("SRC-14", """
+SELECT o_orderkey::VARCHAR AS run_id, o_orderdate AS generated_at FROM orders UNION ALL SELECT 'new', max(o_orderdate) FROM orders""")
+def run_history(spark, d):
+    """All runs of the history with a new one."""
     runs = K.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").alias("generated_at"))
-    kept = ST.run_history(runs, runs.limit(0), keep=50)
-    return items.select("items", bad.alias("failures"), kept.agg(F.min(F.col("run_id").cast("bigint"))).scalar().alias("oldest"))
+    return ST.run_history(runs, runs.agg(F.lit("new").alias("run_id"), F.max("generated_at").alias("generated_at")))
 
 
 @query("STR-01", "SELECT event_id % 500 AS k, max(event_id) AS last FROM events GROUP BY 1")
