@@ -78,15 +78,18 @@ def test_stages_take_empty_tables(spark, tmp_path):
 def test_registered_queries_have_the_contracts_columns(spark, tmp_path):
     folder = str(tmp_path)
     corpus(spark, folder)
-    write(spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "vec_id long, embedding array<float>"), folder, "embeddings")
+    write(spark.createDataFrame([(i, [float(i % 7), 1.0], i % 3) for i in range(60)], "vec_id long, embedding array<float>, label int"), folder, "embeddings")
+    write(spark.createDataFrame([(c, t, "user", f"turn {t}") for c in range(6) for t in range(3)], "conv_id long, turn long, role string, text string"), folder, "conversations")
     write(spark.createDataFrame([(1, "http://a.org/x", "<p>")], "page_id long, url string, html string"), folder, "pages")
     first = {
         "op2": ["doc_id", "held_out", "score", "predicted"], "op3": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         "op4": ["doc_id", "n_shingles", "component_id", "kept"], "op5": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
         "op6": ["doc_id", "n_assign", "n_access", "n_hex"], "op7": ["doc_id", "held_out", "score", "predicted"], "op9": ["query_id", "rank", "vec_id", "score"],
-        "op10": ["page_id", "host", "path", "rule", "verdict"],
+        "op10": ["page_id", "host", "path", "rule", "verdict"], "op11": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+        "op12": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+        "op13": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     }
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
     for name, run in queries.QUERIES.items():
         want = first.get(name.split("_")[0], [])
         assert run(spark, folder).columns[: len(want)] == want, name
