@@ -5,10 +5,12 @@ a canonical form: lower case, copyright lines removed, equivalent spellings made
 but letters and digits turned to single blanks.  Its digest is joined with the digests of the known
 texts below, so a unit matches only if its entire text is a known licence or notice.
 
-The known texts are a short fixed list, so their digests are broadcast; the texts of the corpus are
-never shuffled.
+The known texts are a table (license, text): by default the short fixed list below, and any larger one
+(``known_files`` reads a folder of full texts) can be given.  Their digests are broadcast if their number
+is checked to be small, else joined by shuffled digests; the texts of the corpus are never shuffled.
 
-Edge cases: null and empty texts, and texts that are nothing but copyright lines, match nothing; a text
+Edge cases: a unit that is a known text of several licences is reported for each; very long texts are
+digested whole; null and empty texts, and texts that are nothing but copyright lines, match nothing; a text
 of one paragraph or line is reported once, for the widest unit; repeated rows are reported each;
 null ids are kept; extra columns are ignored; an empty table gives an empty result.
 """
@@ -50,6 +52,29 @@ _MIT = (
     "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
     "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
+_GNU_3 = "along with this program. If not, see <https://www.gnu.org/licenses/>."
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version "
+    "{version} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+    "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the {name} {rest}"
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+    "software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to "
+    "the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software "
+    "in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and "
+    "must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either "
+    "in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author "
+    "or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large "
+    "and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+    "software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+    "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please "
+    "refer to <https://unlicense.org>"
+)
 KNOWN = (
     ("MIT", _MIT),
     ("MIT", f"MIT License {_MIT}"),
@@ -74,6 +99,15 @@ KNOWN = (
     ("0BSD", f"{_ISC}. {_ISC_TAIL}"),
     ("BSD-2-Clause", f"{_BSD_HEAD} 1. {_BSD_1} 2. {_BSD_2} {_BSD_TAIL}"),
     ("BSD-3-Clause", f"{_BSD_HEAD} 1. {_BSD_1} 2. {_BSD_2} 3. {_BSD_3} {_BSD_TAIL}"),
+    ("MPL-2.0",
+     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+     "http://mozilla.org/MPL/2.0/."),
+    ("GPL-3.0-or-later", _GNU.format(name="GNU General Public License", version="3", rest=_GNU_3)),
+    ("AGPL-3.0-or-later", _GNU.format(name="GNU Affero General Public License", version="3", rest=_GNU_3)),
+    ("LGPL-3.0-or-later", _GNU.format(name="GNU Lesser General Public License", version="3", rest=_GNU_3)),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("Zlib", _ZLIB),
+    ("Unlicense", _UNLICENSE),
 )
 #: Spellings that count as the same, applied to lower-cased words in this order.
 SPELLINGS = (
@@ -81,8 +115,10 @@ SPELLINGS = (
     (r"\bnon commercial\b|\bnoncommercial\b", "nc"), (r"\bcreative commons\b", "cc"), (r"\bnon infringement\b", "noninfringement"),
     (r"\bsub license", "sublicense"), (r"\bhttps\b", "http"), (r"\bcopyright (?:owner|holder)", "copyright holder"), (r"\band or\b", "and"),
 )
-#: Every known text holds one of these, and no step of the canonical form makes one from a text without it.
+#: Every text of ``KNOWN`` holds one of these, and no step of the canonical form makes one from a text without it.
 MARKS = ("licen", "permission", "redistribution")
+#: Most digests that are broadcast.
+BROADCAST_ROWS = 100_000
 COPYRIGHT_LINE = r"(?im)^[ \t/*#;%-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
 
@@ -100,16 +136,32 @@ def digest(text: Column) -> Column:
 
 
 def known(spark) -> DataFrame:
-    """(digest, license) of the known texts."""
-    return spark.createDataFrame([(a, b) for a, b in KNOWN], "license string, text string").select(digest(F.col("text")).alias("digest"), "license").distinct()
+    """(license, text) of the fixed list."""
+    return spark.createDataFrame(list(KNOWN), "license string, text string")
+
+
+def known_files(spark, path: str) -> DataFrame:
+    """(license, text) of a folder of full texts, each file named after its licence."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
+    return files.select(F.regexp_replace("name", r"\.(?:txt|md)$", "").alias("license"), "text")
+
 
+def matches(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, unit, position, license): units whose entire text is a known one; unit is document, paragraph or line.
 
-def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, position, license): units whose entire text is a known one; unit is document, paragraph or line."""
+    ``texts`` (license, text) are the known texts; without it, the fixed list.
+    """
     text = F.coalesce("text", F.lit(""))
-    # Texts without any mark hold no known text: most of a corpus is spared the canonical form.
-    marked = reduce(or_, [F.lower(text).contains(m) for m in MARKS])
-    docs = docs.where(marked)
+    marked = lambda c: reduce(or_, [F.lower(c).contains(m) for m in MARKS])
+    if texts is None:
+        # Texts without any mark hold no text of the fixed list: most of a corpus is spared the canonical form.
+        docs, texts, spare = docs.where(marked(text)), known(docs.sparkSession), marked
+    else:
+        spare = lambda c: F.col(c).rlike(r"[\p{L}\p{N}]")
+    nothing = F.sha2(F.lit(""), 256)
+    digests = texts.select(digest(F.col("text")).alias("digest"), "license").where(F.col("digest") != nothing).distinct()
+    if digests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        digests = F.broadcast(digests)
     unit = lambda name, parts: F.transform(parts, lambda x, i: F.struct(F.lit(name).alias("unit"), i.alias("position"), x.alias("part")))
     lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n")
     whole = F.filter(F.array(text), lambda x: x != "")
@@ -117,6 +169,6 @@ def matches(docs: DataFrame) -> DataFrame:
         unit("document", whole), F.when(F.size(paragraphs) > 1, unit("paragraph", paragraphs)).otherwise(unit("paragraph", F.slice(paragraphs, 1, 0))),
         F.when(F.size(lines) > 1, unit("line", lines)).otherwise(unit("line", F.slice(lines, 1, 0))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("u")).select("doc_id", "u.*")
-    rows = rows.where(reduce(or_, [F.lower("part").contains(m) for m in MARKS]))
-    found = rows.withColumn("digest", digest(F.col("part"))).join(F.broadcast(known(docs.sparkSession)), "digest")
+    rows = rows.where(spare("part"))
+    found = rows.select("doc_id", "unit", "position", digest(F.col("part")).alias("digest")).join(digests, "digest")
     return found.select("doc_id", "unit", "position", "license")
