@@ -12,9 +12,9 @@ k best rows of each query are merged by an aggregate over at most k rows a block
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, as query or
 candidate; shorter vectors count as padded with zeros; a query's candidates exclude all rows with its
-id; repeated rows are candidates each, and repeated equal queries are answered once; null ids take no
-part; components beyond 2**31 after scaling are clamped there; fewer candidates than k are all
-returned; an empty table gives an empty result; extra columns are ignored.
+id; repeated rows are candidates each, repeated equal queries are answered once and different queries of
+one id each; null ids take no part; ties go to the smaller id; components or scores that 64 bits can't
+hold end the job with an error instead of a wrong rank; fewer candidates than k are all returned; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +30,13 @@ BLOCK_ROWS, QUERY_ROWS = 65_536, 128
 
 
 def quantised(v: Column, scale: int) -> Column:
-    limit = float(2**31)
-    return F.transform(v, lambda x: F.floor(F.greatest(F.lit(-limit), F.least(F.lit(limit), F.lit(float(scale)) * x.cast("double")))).cast("long"))
+    """floor(scale * x) of every component, exact in 64 bits; larger ones are an error."""
+
+    def one(x: Column) -> Column:
+        y = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(y) < 2.0**63, F.floor(y).cast("long")).otherwise(F.raise_error(F.lit("vector component beyond 64 bits after scaling")).cast("long"))
+
+    return F.transform(v, one)
 
 
 def usable(v: Column) -> Column:
@@ -56,7 +61,7 @@ def slices(a: np.ndarray) -> tuple[int, int, np.ndarray]:
     """(shift, bits, bitmaps[component, bit, word]) of a matrix of integers."""
     low = int(a.min(initial=0))
     bits = max(1, (int(a.max(initial=0)) - low).bit_length())
-    up = np.ascontiguousarray((a - low).T.astype(np.uint64))
+    up = np.ascontiguousarray((a.astype(np.uint64) - np.uint64(low % 2**64)).T)  # modulo 2**64, so wide ranges fit
     words = -(-a.shape[0] // 64)
     out = np.zeros((up.shape[0], bits, words * 8), np.uint8)
     for b in range(bits):
