@@ -94,9 +94,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op9_topk"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS a FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.a, c.a), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+q AS (SELECT DISTINCT vec_id, a FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT q.vec_id AS query_id, q.a AS qa, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.a, c.a), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, qa ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
@@ -109,15 +110,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _url_sql() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
-    steps = [f"m0 AS (SELECT kind, host, {1 - urls.DAMPING} * weight AS mass FROM seeds)"]
-    for i in range(urls.ROUNDS):
-        steps.append(f"""m{i + 1} AS (SELECT kind, host, sum(mass) AS mass FROM (SELECT * FROM m0 UNION ALL
-  SELECT m.kind, e.dst, m.mass * {urls.DAMPING} / e.n FROM m{i} m JOIN deg e ON m.kind = e.kind AND m.host = e.src) GROUP BY kind, host)""")
     cut = lambda c: f"regexp_extract({c}, '(?s)^.*?://(.*)$', 1)"
     low = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     link = urls._LINK.replace("'", "''")
     return f"""
-WITH rules AS (SELECT * FROM (VALUES {rules}) r(rh, rp, rv)),
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES {rules}) r(rh, rp, rv)),
 u AS (SELECT page_id, coalesce({cut("coalesce(url, '')")}, '') AS rest, row_number() OVER () AS rid, html FROM pages),
 p AS (SELECT page_id, rid, html, {low("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 fit AS (SELECT rid, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
@@ -130,10 +127,10 @@ lh AS (SELECT DISTINCT src, {low(f"regexp_extract({cut('CASE WHEN starts_with(li
 e AS (SELECT 'trust' AS kind, src, dst FROM lh WHERE src <> '' AND dst <> '' AND src <> dst
   UNION ALL SELECT 'distrust', dst, src FROM lh WHERE src <> '' AND dst <> '' AND src <> dst),
 deg AS (SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS n FROM e),
-{', '.join(steps)},
-h AS (SELECT host, round(coalesce(sum(mass) FILTER (kind = 'trust'), 0), 9) AS t, round(coalesce(sum(mass) FILTER (kind = 'distrust'), 0), 9) AS d
-  FROM m{urls.ROUNDS} GROUP BY host)
-SELECT page_id, j.host, path, rule, coalesce(rv, CASE WHEN d > 0 AND d >= {urls.RATIO} * t THEN 'block' ELSE 'allow' END) AS verdict
+m(kind, host, mass) AS (SELECT kind, host, {1 - urls.DAMPING} * weight FROM seeds
+  UNION ALL SELECT m.kind, e.dst, sum(m.mass * {urls.DAMPING} / e.n) FROM m JOIN deg e ON m.kind = e.kind AND m.host = e.src WHERE m.mass > 1e-30 GROUP BY m.kind, e.dst),
+h AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS t, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS d FROM m GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(rv, CASE WHEN d > 0 AND d >= {urls.RATIO * (1 - urls.MARGIN)} * t THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN h ON j.host = h.host
 """
 

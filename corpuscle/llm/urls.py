@@ -3,11 +3,13 @@
 Pages that a rule allows make their hosts trusted seeds, pages that a rule blocks make them blocked
 seeds, each weighted by the number of such pages.  Trust is personalised PageRank along the host edges
 found in the pages' links; distrust is the same walk from blocked seeds along the reversed edges, so it
-reaches hosts that link to blocked ones.  A host is blocked if its distrust is positive and at least
-``RATIO`` times its trust; hosts that neither reaches are allowed.  Both walks are one DataFrame loop of a
-join and an aggregate with map-side combine; every second round is written to the shared folder.
+reaches hosts that link to blocked ones.  A host is blocked if its distrust is positive and, but for a
+relative ``MARGIN``, at least ``RATIO`` times its trust; hosts that neither reaches are allowed, however
+far the seeds are.  Both walks are one DataFrame loop of a join and an aggregate with map-side combine;
+every round is written to the shared folder.  The loop ends when no new host was reached and no host's
+mass grew by more than the share ``TOLERANCE``; no later round can make one grow by more.
 
-Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; null
+Edge cases: trust and distrust that tie within ``MARGIN`` block; very long texts are read whole; a null url or one without ``://`` has an empty host and path, fits no rule and is allowed; null
 html has no links; links within a host and relative links are no edges; repeated rows are judged each
 and count as often in the seeds' weights; extra columns are ignored; empty tables give empty results.
 """
@@ -21,7 +23,10 @@ from corpuscle.session import written
 
 #: (host, path, verdict): a rule fits its host and all subdomains; the longest wins.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DAMPING, ROUNDS, RATIO = 0.85, 15, 1.0
+DAMPING, RATIO = 0.85, 1.0
+TOLERANCE, MARGIN = 1e-5, 1e-4
+#: The mass of hosts so far from all seeds that doubles can't hold less.
+_LEAST = 1e-300
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
@@ -53,8 +58,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", to.alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, mass) after ``rounds`` of the walk from seeds (kind, host, weight).
+def propagate(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, mass) of the walk from seeds (kind, host, weight), iterated until masses stand still.
 
     ``edges`` (src, dst) are followed by kind 'trust' and reversed for kind 'distrust'.
     """
@@ -66,13 +71,16 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     base = written(base, "seeds")
     if both.isEmpty():
         return base
-    now = base
-    for i in range(rounds):
-        moved = now.join(both.withColumnRenamed("src", "host"), ["kind", "host"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("mass") * DAMPING / F.col("n")).alias("mass"))
-        now = base.unionByName(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % 2:
-            now = written(now, "mass")
+    follow = both.withColumnRenamed("src", "host")
+    now, grown = base, 1.0
+    while grown > tolerance:
+        moved = now.join(follow, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * DAMPING / F.col("n")).alias("mass"))
+        before = now.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("before"))
+        rows = base.unionByName(moved).withColumn("before", F.lit(0.0)).unionByName(before)
+        now = written(rows.groupBy("kind", "host").agg(F.greatest(F.sum("mass"), F.lit(_LEAST)).alias("mass"), F.sum("before").alias("before")), "mass")
+        # A new host has no mass before and counts as grown by its whole mass.
+        grown = now.agg(F.max(1 - F.col("before") / F.col("mass"))).first()[0] or 0.0
+        now = now.select("kind", "host", "mass")
     return now
 
 
@@ -82,7 +90,7 @@ def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     kind = F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust")
     seeds = (judged.filter("by_rule IS NOT NULL AND host <> ''").groupBy(kind.alias("kind"), "host").agg(F.count("*").cast("double").alias("weight")))
     mass = propagate(seeds, host_edges(pages))
-    side = lambda k: F.round(F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)), 9)
+    side = lambda k: F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0))
     bad = (mass.groupBy("host").agg(side("trust").alias("trust"), side("distrust").alias("distrust"))
-           .filter((F.col("distrust") > 0) & (F.col("distrust") >= RATIO * F.col("trust"))).select("host", F.lit("block").alias("by_host")))
+           .filter((F.col("distrust") > 0) & (F.col("distrust") >= RATIO * (1 - MARGIN) * F.col("trust"))).select("host", F.lit("block").alias("by_host")))
     return judged.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))
