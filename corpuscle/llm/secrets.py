@@ -5,8 +5,9 @@ moves over the candidate; adding one character and removing another changes two
 the window's Shannon entropy follows without counting again.  Windows at or above the class's
 threshold that hold the class's mixture of characters are merged into spans.  What a fixed pattern
 has found is cut out of them and the free pieces stay.  Allowed pieces (identifiers, placeholders, plain
-words and numbers) and candidates announced as digests are suppressed; a placeholder between separators
-speaks for itself only, not for what stands beside it.  Positions are code points, ends exclusive.
+words and numbers) are suppressed, and so are candidates announced as digests that have the form of the
+digest announced; a placeholder between separators or inside a dense string speaks for itself only, not
+for what stands beside it, and one that begins or ends a string marks it as made up.  Positions are code points, ends exclusive.
 
 Only texts with a long run or a key word are looked at character by character; the runs come from
 one numpy pass over the bytes of all texts.
@@ -55,9 +56,11 @@ ALLOWED = re.compile(
     r"|[0-9_+/=-]+|[0-9]{8}T[0-9]{4,9}Z?",  # numbers, dates
     re.IGNORECASE,
 )
-PLACEHOLDER = re.compile(r"example|changeme|placeholder|xxxxx|123456789|abcdefgh", re.IGNORECASE)
+_MADE_UP = "example|changeme|placeholder|x{5,}|0?1234567890?|abcdefgh"
+#: A placeholder at either end of a string.
+PLACEHOLDER = re.compile(rf"^(?:{_MADE_UP})|(?:{_MADE_UP})(?:key|token|secret|value)?$", re.IGNORECASE)
 #: A placeholder that is a part of a path or name of its own.
-_APART = re.compile(r"(?<![A-Za-z0-9])(?:example|changeme|placeholder|x{5,}|0?1234567890?|abcdefgh)(?![A-Za-z0-9])", re.IGNORECASE)
+_APART = re.compile(rf"(?<![A-Za-z0-9])(?:{_MADE_UP})(?![A-Za-z0-9])", re.IGNORECASE)
 #: The pairs of letters that make up 89 % of those in distinct words of prose and code, and 27 % of those in random letters.
 _PAIRS = frozenset(
     ("aa ab ac ad ae ai al am an ao ar as at au be bl bo ca ce ch ci co ct da de dh di do dr ds dt ea eb ec ed ee ef eg eh ei el em en eo ep "
@@ -65,7 +68,10 @@ _PAIRS = frozenset(
      "ly ma me mi mp na nb nc nd ne ng nh ni nl nn no nr ns nt nu nv nw oa oc od of oi ol om on oo or os ot ou pa pe pf po pr qu ra rb rc re "
      "rh ri rl rn ro rr rs rt sa sc se sh si so sr ss st su ta tb te th ti tl tn to tr ts tt tz ua ue ui ul un uo ur us ut ux ve vi wh ye zu ").split()
 )
-ANNOUNCED = re.compile(r"(?:sha-?(?:1|256|384|512)|md5|crc32|commit|etag)[ \t]*[:=-]?[ \t]*$", re.IGNORECASE)
+ANNOUNCED = re.compile(r"(sha-?(?:1|256|384|512)|md5|crc32|commit|etag)[ \t]*[:=-]?[ \t]*$", re.IGNORECASE)
+#: Bytes of a digest by its announcement.
+_DIGEST_BYTES = {"sha1": (20,), "sha256": (32,), "sha384": (48,), "sha512": (64,), "md5": (16,), "crc32": (4, 8), "commit": (20, 32), "etag": (16, 20, 32)}
+_HEX_RUN = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Least share of such pairs.
 WORDLIKE = 0.6
 _PLOGP = [0.0] + [c * math.log2(c) for c in range(1, 65)]
@@ -137,6 +143,18 @@ def allowed(s: str) -> bool:
     return bool(ALLOWED.fullmatch(s) or PLACEHOLDER.search(s)) or wordlike(s)
 
 
+def announced_digest(text: str, start: int, end: int) -> bool:
+    """Whether the run from ``start`` to ``end`` is announced as a digest and has its form: hex, or for sums base64, of its length."""
+    m = ANNOUNCED.search(text, max(0, start - 16), start)
+    if not m:
+        return False
+    kind, run = m.group(1).lower().replace("-", ""), text[start:end]
+    sizes = _DIGEST_BYTES[kind]
+    if _HEX_RUN.fullmatch(run):
+        return len(run) in [2 * n for n in sizes] or (kind == "commit" and len(run) < 40)
+    return kind not in ("commit", "etag") and len(run) in [-(-n // 3) * 4 for n in sizes] and len(run.rstrip("=")) in [-(-n * 4 // 3) for n in sizes]
+
+
 def _reported(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """What is no placeholder of the found string from ``a`` to ``b``."""
     s = text[a:b]
@@ -161,7 +179,7 @@ def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
             cover.append([a, b])
     out, j = [], 0
     for m in _CANDIDATE_RUN.finditer(text):
-        if ANNOUNCED.search(text, max(0, m.start() - 16), m.start()) or ALLOWED.fullmatch(m.group()):
+        if announced_digest(text, m.start(), m.end()) or ALLOWED.fullmatch(m.group()):
             continue
         for a, b in merged_windows(m.group()):
             a, b = m.start() + a, m.start() + b
