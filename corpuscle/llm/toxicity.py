@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-Terms are words and beginnings of words.  The vocabulary is fitted on at most ``FIT_ROWS`` labelled rows
-(a documented bound, drawn by a hash of the id): terms that toxic examples hold significantly more often,
-at most ``VOCABULARY`` of them.  Document frequencies come from all documents, and every labelled example
-is indexed.
+Terms are words and beginnings of words.  The vocabulary is counted over all labelled rows: terms that
+stand significantly more often in toxic or in other examples, in either direction, and of those the
+``VOCABULARY`` most significant (a documented bound of the model).  Document frequencies come from all
+documents, and every labelled example with such a term is indexed.
 
 The index is inverted and cut into blocks of documents; each posting list knows its largest weight in a
 block, so a block's best possible cosine is a sum over the query's terms.  Blocks are visited from the
@@ -12,9 +12,11 @@ are searched once.  Shards of the index meet parts of the distinct vectors by ke
 with the corpus is broadcast or collected.
 
 The votes of the ``K`` nearest, weighted by cosine and smoothed by the share of toxic examples, are
-calibrated by logistic scaling on a bounded draw of training rows, an example never voting for itself.
+calibrated by logistic scaling on a bounded draw of at most ``FIT_ROWS`` training rows, an example never
+voting for itself.
 
-Edge cases: a null or empty text, or one without vocabulary terms, has no neighbour and gets the
+Edge cases: equal cosines go to the smaller id; an id labelled both ways counts as toxic, one with several
+texts is an example by its largest text; very long texts are read whole; a null or empty text, or one without vocabulary terms, has no neighbour and gets the
 calibrated share; null labels, labels without document and null ids do not train; rows that share an id
 are scored by their own text; without labels of both kinds the vocabulary is empty and every score is
 the smoothed share, 0.5 where there is none; extra columns are ignored; an empty table gives an
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from corpuscle.llm import texts as X
 from corpuscle.session import written
 
-FIT_ROWS, VOCABULARY = 20_000, 4_000
+FIT_ROWS, VOCABULARY, BROADCAST_ROWS = 20_000, 65_536, 1_000_000
 K, PRIOR_WEIGHT, LIFT = 15, 1.0, 2.0
 BLOCK, SHARD, PART = 128, 131_072, 8_192
 PREFIXES = (4, 5, 6, 7)
@@ -72,20 +74,20 @@ def _counted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(pos), pa.array(np.bincount(at, minlength=len(term)) - pos)], ["term", "toxic", "other"])
 
 
-def fit_vocabulary(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, size: int = VOCABULARY, lift: float = LIFT) -> np.ndarray:
-    """Sorted hashes of the terms that toxic examples hold at least ``lift`` times as often, by chi-square."""
-    # At most ``fit_rows`` small rows: safe to broadcast, so the texts are not shuffled.
-    some = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.join(F.broadcast(some), "doc_id").select("text", "y")
-    per_term = written(rows.mapInArrow(_counted, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "terms")
-    totals = {r.y: r.n for r in some.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def fit_vocabulary(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, lift: float = LIFT) -> np.ndarray:
+    """Sorted hashes of the terms that one kind of examples holds at least ``lift`` times as often as the other, by chi-square."""
+    totals = {r.y: r.n for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
     if not n1 or not n0:
         return np.zeros(0, np.uint64)
+    # Two numbers a label: broadcast below a checked count, so that the texts are not shuffled.
+    rows = docs.join(F.broadcast(labels) if n1 + n0 <= BROADCAST_ROWS else labels, "doc_id").select("text", "y")
+    per_term = rows.mapInArrow(_counted, "term long, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
     det = a * (n0 - b) - b * (n1 - a)
     chi = (n1 + n0) * det * det / (n1 * n0 * F.greatest(a + b, F.lit(1.0)) * F.greatest(n1 + n0 - a - b, F.lit(1.0)))
-    best = per_term.filter((a / n1 >= lift * b / n0) & (a >= 3)).select("term", chi.alias("chi")).filter("chi >= 10.83").orderBy(F.desc("chi"), "term").limit(size)
+    apart = (a / n1 >= lift * b / n0) | (b / n0 >= lift * a / n1)
+    best = per_term.filter(apart & (a + b >= 3)).select("term", chi.alias("chi")).filter("chi >= 10.83").orderBy(F.desc("chi"), "term").limit(size)
     return np.sort(np.array([r.term for r in best.collect()], np.int64).view(np.uint64))
 
 
@@ -117,7 +119,7 @@ def _vectors(vocabulary: np.ndarray):
 
 
 class Index:
-    """Block-max inverted index of unit vectors: a matrix block-max[term, block] and postings by term."""
+    """Block-max inverted index of unit vectors: postings by (term, block) cell and each cell's largest weight."""
 
     def __init__(self, ids, labels, terms, weights, size: int):
         """``terms`` and ``weights`` are lists of arrays, one for each document."""
@@ -134,13 +136,15 @@ class Index:
         cell = term.astype(np.int64) * self.blocks + self.doc // BLOCK
         starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         self.cells, self.starts = cell[starts], np.append(starts, len(cell))
-        self.top = np.zeros((size, self.blocks), np.float32)
         # Rounded up, so that a bound never falls below a cosine.
-        self.top.ravel()[self.cells] = np.nextafter(np.maximum.reduceat(self.weight, starts).astype(np.float32), np.float32(2))
+        self.top = np.nextafter(np.maximum.reduceat(self.weight, starts).astype(np.float32), np.float32(2))
+        self.first = np.searchsorted(self.cells, np.arange(size + 1, dtype=np.int64) * self.blocks)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int, int]]:
         """(cosine, id, label) of the ``k`` best documents with a common term, ties to the smaller id."""
-        bound = (weights[:, None] * self.top[terms]).sum(axis=0)
+        lo, n = self.first[terms], self.first[terms + 1] - self.first[terms]
+        cell = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+        bound = np.bincount(self.cells[cell] % self.blocks, self.top[cell] * np.repeat(weights, n), self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[: int((bound > 0).sum())]
         best: list[tuple[float, int, int]] = []
@@ -249,7 +253,7 @@ def scores(docs: DataFrame, labels: DataFrame, k: int = K, fit_rows: int = FIT_R
     labels = written(labels.filter("doc_id IS NOT NULL AND y IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("y").cast("long").alias("y")), "labels")
     total = labels.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     share = (total.t + 1) / (total.n + 2)
-    vocabulary = fit_vocabulary(docs, labels, fit_rows)
+    vocabulary = fit_vocabulary(docs, labels)
     vec = docs.mapInArrow(_vectors(vocabulary), "doc_id long, terms array<int>, tf array<int>")
     vec = written(vec.withColumn("v1", F.xxhash64("terms", "tf")).withColumn("v2", F.xxhash64("tf", "terms")), "vectors")
     some = vec.filter(F.size("terms") > 0)
@@ -257,7 +261,7 @@ def scores(docs: DataFrame, labels: DataFrame, k: int = K, fit_rows: int = FIT_R
     n = vec.count()
     for r in some.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # at most the vocabulary
         idf[r.t] = np.log((1 + n) / (1 + r.df)) + 1
-    examples = some.join(labels, "doc_id").select("doc_id", "y", "terms", "tf").dropDuplicates(["doc_id"])
+    examples = some.join(labels, "doc_id").groupBy("doc_id", "y").agg(F.max(F.struct("terms", "tf")).alias("x")).select("doc_id", "y", "x.*")
     shards = written(examples.repartition(max(1, -(-total.n // SHARD))).mapInArrow(_sharded, "shard long, rows binary"), "shards")
     numbers = [r.shard for r in shards.select("shard").collect()]  # one number a shard
     distinct = written(some.select("v1", "v2", "terms", "tf").dropDuplicates(["v1", "v2"]), "queries")

@@ -508,6 +508,57 @@ def test_toxicity_scores_every_row(spark):
     assert len(none) == len(got) and {r.score for r in none} == {0.5} and toxicity.scores(d.limit(0), labels).count() == 0
 
 
+def test_toxicity_equals_a_plain_neighbour_vote(spark):
+    from math import exp, log, sqrt
+
+    rng = random.Random(21)
+    bad = ["vilify", "scumbag", "nastily", "scumbags"]
+    rows = []
+    for i in range(240):
+        words = prose(rng, 25, 60).split() + (rng.choices(bad, k=3) if i % 4 == 0 else rng.choices(["Tidy", "kindly", "prose"], k=rng.randrange(4)))
+        rows.append(" ".join(rng.sample(words, len(words))))
+    rows += [None, "", "vilify", "TIDY kindly", "nothing known", rows[0], rows[0]]
+    y = {i: int(i % 4 == 0) for i in range(0, 240, 2)}
+    got = toxicity.scores(docs_of(spark, rows), spark.createDataFrame(list(y.items()), "doc_id long, y int")).collect()
+
+    def terms(t):
+        out = defaultdict(int)
+        for w in re.findall(r"[a-z\x80-\U0010ffff]+", (t or "").lower()):
+            out[w] += 1
+            for p in toxicity.PREFIXES:
+                if len(w) > p:
+                    out[p, w[:p]] += 1
+        return out
+
+    bags = [terms(t) for t in rows]
+    n1, n0 = sum(y.values()), len(y) - sum(y.values())
+    lexicon = set()
+    for t in {t for i in y for t in bags[i]}:
+        a, b = (sum(t in bags[i] for i in y if y[i] == k) for k in (1, 0))
+        chi = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * max(a + b, 1) * max(n1 + n0 - a - b, 1))
+        if a + b >= 3 and chi >= 10.83 and (a / n1 >= 2 * b / n0 or b / n0 >= 2 * a / n1):
+            lexicon.add(t)
+    assert {"vilify", "tidy"} <= lexicon and "w1" not in lexicon
+    df = {t: sum(t in b for b in bags) for t in lexicon}
+    vec = []
+    for b in bags:
+        v = {t: (1 + log(n)) * (log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in b.items() if t in lexicon}
+        size = sqrt(sum(x * x for x in v.values()))
+        vec.append({t: x / size for t, x in v.items()})
+    share = (n1 + 1) / (n1 + n0 + 2)
+    near, vote = [], []
+    for i, v in enumerate(vec):
+        cos = [(-round(sum(x * vec[j].get(t, 0) for t, x in v.items()), 9), j) for j in y if j != i]
+        near.append(sorted(c for c in cos if c[0] < 0)[: toxicity.K])
+        p = (sum(-c * y[j] for c, j in near[-1]) + share) / (sum(-c for c, _ in near[-1]) + 1)
+        vote.append(log(p / (1 - p)))
+    slope, offset = toxicity._logistic(np.array([vote[i] for i in y]), np.array([y[i] for i in y], float))
+    assert sorted(r.doc_id for r in got) == list(range(len(rows)))
+    for r in got:
+        assert np.allclose(r.cosines, [-c for c, _ in near[r.doc_id]], atol=1e-8)
+        assert np.isclose(r.score, 1 / (1 + exp(-(slope * vote[r.doc_id] + offset))), atol=1e-6), r.doc_id
+
+
 def test_suffix_arrays_match_sorting():
     rng = random.Random(0)
     for _ in range(400):
