@@ -10,6 +10,7 @@ from corpuscle.operators import graph as G
 from corpuscle.operators import index as I
 from corpuscle.operators import ingest as N
 from corpuscle.operators import keyed as KY
+from corpuscle.operators import segments as SG
 from corpuscle.plans import corpus as K
 from corpuscle.plans import oracle as O
 from corpuscle.plans.q_eval import GOLDEN, diagnosed, golden, sql
@@ -93,6 +94,16 @@ def saved_index(spark, d):
     return rows.select("chunk_id", "term", "tf", "len", F.lit(I.index_is_fresh(c, t["fingerprint"])).alias("fresh"))
 
 
+@query("SRC-09", O.sql("SELECT chunk_id, term, tf, len, df FROM posts JOIN vocab USING (term)"))
+def index_upkeep(spark, d):
+    """An index in segments of half the documents, brought up to date with all of them."""
+    path = scratch(spark, "segments")
+    c = K.chunks(spark, d)
+    SG.refresh(c.where(F.pmod(F.xxhash64("document_id"), F.lit(2)) == 0), path, segments=16)
+    SG.refresh(c, path)
+    return SG.live(spark, path, "postings").join(SG.vocabulary(spark, path), "term").select("chunk_id", "term", "tf", "len", "df")
+
+
 @query("SRC-10", """
 SELECT 'lint/' || event_type AS rule, 'tool_reported' AS level, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'u' || user_id || '.c:' || CASE WHEN event_id % 3 = 1 THEN event_id::VARCHAR ELSE '?' END END AS location, props AS message, 'sarif:lint:1.0' AS provenance FROM events""")
 def sarif_findings(spark, d):
