@@ -13,7 +13,9 @@ from corpuscle.operators import golden as GO
 from corpuscle.operators import index as I
 from corpuscle.operators import ranking as R
 from corpuscle.operators import scoring as S
+from corpuscle.plans import corpus as K
 from corpuscle.plans import retrieve as P
+from corpuscle.session import written
 
 PLAN = "query_id string, text string, intent string, platforms array<string>, releases array<string>, release_mode string, modules array<string>, asil_levels array<string>, requirement_ids array<string>, api_names array<string>, configuration_parameters array<string>"
 
@@ -100,6 +102,30 @@ def test_context_groups_of_a_very_long_document(spark, monkeypatch):
     assert len(sizes) >= 3 and max(df.agg(F.max(F.size("parts"))).first()[0] for df in sizes) <= C.FAN
 
 
+def test_contexts_of_placed_documents_move_no_text(spark):
+    rng = random.Random(3)
+    rows = [(d, i, " ".join(["wordword"] * rng.randint(8, 400)), "", "", "", "a.pdf") for d in ("d", "e", "f") for i in range(rng.randint(2, 20))]
+    rows += rows[:5] + [(None, i, "word " * 60, "", "", "", "a.pdf") for i in range(4)]
+    atoms = C.atomic_chunks(pages(spark, rows))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(C.with_contexts(atoms)) == key(C.with_contexts(atoms, pages_per_block=3)) == key(C.with_contexts(atoms, pages_per_block=1))
+    placed = written(atoms.where("document_id IS NOT NULL"), "placed", "document_id", 4)
+    plan = C.with_contexts(placed)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" in plan
+
+
+def test_corpus_tables_store_each_text_once(spark, tmp_path):
+    rows = [(i, "\n".join(f"line {j} of " + "some words here " * (20 + j) for j in range(30)), "en", "src1") for i in range(8)] + [(8, None, None, None), (8, "short", "de", "src2")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = C.atomic_chunks(C.normalized_pages(K.pages(spark, str(tmp_path))))
+    whole = C.with_contexts(plain)
+    for got, want in ((K.atomics(spark, str(tmp_path)), plain), (K.chunks(spark, str(tmp_path)), whole)):
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        files = got.inputFiles()
+        assert "normalized_text" not in spark.read.parquet(*files).columns and all(".zstd." in f for f in files)
+    assert K.chunks(spark, str(tmp_path)).where("chunk_kind = 'context' AND text <> normalized_text").count()
+
+
 def test_context_chunks_unite_ids_and_carry_children(spark):
     rows = [("d", i, f"SWS_X_{i} " + "long words here " * 80, "", "", "", "a.pdf") for i in range(3)]
     all_chunks = C.with_contexts(C.atomic_chunks(pages(spark, rows))).collect()
