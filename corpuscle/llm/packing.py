@@ -40,7 +40,7 @@ CAPACITY, END_ID = 4096, 1
 LARGE = 1 / 8
 GROUPS = (64, 128, 256, 512, 1024)
 #: Words whose ids a task remembers at most before it starts anew (memory only; ids do not depend on it).
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 _BREAK = np.zeros(256, bool)

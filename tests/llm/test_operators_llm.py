@@ -319,6 +319,16 @@ def test_quality_learns_interactions_and_scores_everything(spark):
     assert quality.scored(quality.featured(d.limit(0)), model).count() == 0
 
 
+def test_remembered_words_stay_few():
+    enc = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    blocks = [" ".join(f"v{k}x{i}" for i in range(30_000)) for k in range(8)]
+    for b in blocks:
+        data = np.frombuffer(b.encode(), np.uint8)
+        ids, sizes = enc.encode(data, np.array([0, len(data)]))
+        assert enc.words <= 130_000 and sizes.tolist() == [len(ids)]
+    assert ids.tolist() == enc.tokenizer.encode(blocks[-1], add_special_tokens=False).ids
+
+
 def test_packing_places_every_token_once(spark):
     rng = random.Random(4)
     texts_ = [prose(rng, rng.choice([1, 3, 30, 200, 700, 1500])) for _ in range(120)] + EDGE

@@ -126,6 +126,21 @@ def test_corpus_tables_store_each_text_once(spark, tmp_path):
     assert K.chunks(spark, str(tmp_path)).where("chunk_kind = 'context' AND text <> normalized_text").count()
 
 
+def test_index_partitions_grow_with_the_chunks(spark, tmp_path, monkeypatch):
+    rows = [(i, "\n".join(f"line{i} {j} of " + "some words here " * (20 + j % 7 + i) for j in range(30)), "en", "src1") for i in range(40)]
+    found, counts = [], []
+    for size, broadcast in ((1 << 30, 1 << 30), (2000, 1 << 30), (2000, 0)):
+        folder = f"{tmp_path}/{size}-{broadcast}"
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        monkeypatch.setattr(K, "INDEX_BYTES", size)
+        monkeypatch.setattr(I, "BROADCAST_BYTES", broadcast)
+        w = K.weights(spark, folder)
+        counts.append(len(w.inputFiles()))
+        found.append(sorted(map(str, w.withColumn("w", F.round("w", 9)).collect())))
+    assert found[0] == found[1] == found[2] and found[0]
+    assert counts[0] <= 4 < counts[1] and counts[2] == counts[1]
+
+
 def test_context_chunks_unite_ids_and_carry_children(spark):
     rows = [("d", i, f"SWS_X_{i} " + "long words here " * 80, "", "", "", "a.pdf") for i in range(3)]
     all_chunks = C.with_contexts(C.atomic_chunks(pages(spark, rows))).collect()
