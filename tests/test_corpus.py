@@ -109,7 +109,7 @@ def test_contexts_of_placed_documents_move_no_text(spark):
     atoms = C.atomic_chunks(pages(spark, rows))
     key = lambda df: sorted(map(str, df.collect()))
     assert key(C.with_contexts(atoms)) == key(C.with_contexts(atoms, pages_per_block=3)) == key(C.with_contexts(atoms, pages_per_block=1))
-    placed = written(atoms.where("document_id IS NOT NULL"), "placed", "document_id", 4)
+    placed = written(atoms.where("document_id IS NOT NULL"), "atoms_by_document", "document_id", 4)
     plan = C.with_contexts(placed)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Aggregate" in plan
 

@@ -37,3 +37,16 @@ def test_only_changed_segments_are_written(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "generation" in plan.split("PartitionFilters")[1]
     S.refresh(first.limit(0), path)
     equal(spark, path, first.limit(0))
+
+
+def test_saved_lengths_need_no_exchange(spark, tmp_path):
+    rows = [("d", f"c{i}", "Head" if i % 3 else None, f"word{i % 7} commonWord text", "x") for i in range(50)] + [("d", "c1", None, "other", "x"), ("d", "e", None, "", "x"), ("d", "n", None, None, "x")]
+    chunks = spark.createDataFrame(rows, SCHEMA)
+    texts = I.indexed_text(chunks)
+    assert "Exchange" not in I.token_counts(texts)._jdf.queryExecution().executedPlan().toString()
+    I.save_index(chunks, str(tmp_path / "saved"))
+    got, tokens = I.load_index(spark, str(tmp_path / "saved")), I.tokenized(texts)
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    assert rows(got["lengths"], "chunk_id", "len") == rows(tokens.select("chunk_id", F.size("tokens").alias("len")), "chunk_id", "len")
+    cols = ["chunk_id", "term", "tf", "len"]
+    assert rows(got["postings"], *cols) == rows(I.postings(tokens), *cols)
