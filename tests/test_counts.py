@@ -98,3 +98,39 @@ def test_ablation_arms_share_their_channels(spark, monkeypatch):
     got = rows(P.ablation(plans, variants, index, K.gold(spark, SF), arms), "*")
     assert len(calls) == 2
     assert got == rows(P.ablation(plans, variants, replace(index, blocks=None), K.gold(spark, SF), arms), "*") and len(got) == 3
+
+
+def test_shards_are_made_where_the_texts_lie(spark, monkeypatch):
+    monkeypatch.setattr(B, "SHARD", 16)  # several shards a task
+    made = [(f"c{(i * 37) % 100:04d}", " ".join(f"w{(i * k) % (5 + k)} word{i % 7}" for k in range(1, 4 + i % 9))) for i in range(100)]
+    made += [("c9999", "")] + [(f"e{i % 30}", "w1 word3 w4 equal") for i in range(30)]  # ties are decided by the ids
+    terms = S.query_terms(spark.createDataFrame([("q1", 0, "w1 word3 w4"), ("q1", 1, "word2"), ("q2", 0, "w0 w2 absent"), ("q3", 0, "nothing"), ("q4", 0, "equal")], "query_id string, variant int, text string"))
+    for more in ([], made[:40] + [("e3", "w1 word3 w4 equal")] * 50):  # with ids that are repeated, too
+        texts = I.written(spark.createDataFrame(made + more, "chunk_id string, text string").repartition(3), "texts")
+        shards = B.shards(texts, 4)
+        posts, lens = I.postings(I.tokenized(texts)), I.token_counts(texts)
+        about = B.about_texts(shards)
+        assert rows(about, "chunk_id", "len", "copies") == rows(lens.groupBy("chunk_id", "len").agg(F.count("*").alias("copies")), "chunk_id", "len", "copies")
+        assert about.select("no").distinct().count() == about.count()
+        tf = shards.where("term IS NOT NULL").select("shard", "term", F.explode(F.arrays_zip("nos", "tfs")).alias("p"))
+        tf = tf.select((F.col("shard") * B.SHARD + F.col("p.nos")).alias("no"), "term", F.col("p.tfs").alias("tf")).join(about, "no")
+        assert rows(tf, "chunk_id", "len", "term", "tf") == rows(posts, "chunk_id", "len", "term", "tf")
+        vocab, stats = B.shard_frequency(shards), lens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+        assert rows(vocab, "term", "df") == rows(I.document_frequency(posts), "term", "df")
+        blocks = B.shard_blocks(shards, vocab, stats, 4)
+        full = {"bm25": S.bm25(terms, posts, stats, df=vocab), "dense": S.cosine(terms, I.tfidf_weights(posts, vocab, stats), vocab, stats)}
+        asked = {"bm25": S.bm25_weights(terms, vocab, stats), "dense": S.cosine_weights(terms, vocab, stats)}
+        for name in full:
+            got = {(r.query_id, r.rank): r.chunk_id for r in B.top_k(asked[name], blocks, about, name, 20).collect()}
+            assert got == {(r.query_id, r.rank): r.chunk_id for r in S.channel(full[name], 20).collect()} and got
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_retrieval_writes_no_lists_by_chunk(spark):
+    from corpuscle.plans import q_index as Q
+    from corpuscle.plans import q_retrieval as QR
+
+    d = SF + "/"  # a path that no other test has built
+    Q.channel_top(spark, d, "bm25").collect()
+    QR.index(spark, d)
+    assert not K.listed(spark, d)
