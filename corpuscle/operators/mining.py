@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,6 +16,13 @@ from corpuscle.functions import vocab as V
 from corpuscle.operators import index as I
 from corpuscle.session import written
 
+#: Tokens of a block of sets: blocks are at least as large, if there are few sets, and at most.
+LEAST_TOKENS, BLOCK_TOKENS = 1 << 15, 1 << 21
+#: Pairs that a task passes on at once.
+BATCH_PAIRS = 1 << 16
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks get these functions with the plan: workers need no copy of the package
+
 
 def outcome(clarify: Column, abstained: Column, coverage: Column) -> Column:
     return F.when(clarify, "CLARIFY").when(abstained, "ABSTAIN").when(coverage < 1, "PARTIAL").otherwise("ANSWERED")
@@ -47,53 +59,123 @@ def representatives(sets: DataFrame, key: str = "id") -> DataFrame:
     return keyed.join(firsts, "sig").select(key, F.array_sort("toks").alias("toks"), "rep")
 
 
-def _ordered(reps: DataFrame) -> DataFrame:
-    """(id, n, tok, pos): the tokens of a set, rarest first."""
-    words = reps.select("id", "n", F.explode("toks").alias("tok"))
-    freq = words.groupBy("tok").agg(F.count("*").alias("f"))
-    return words.join(freq, "tok").select("id", "n", "tok", F.row_number().over(W.partitionBy("id").orderBy("f", "tok")).alias("pos"))
-
-
-def _pairs(reps: DataFrame, t: float, at_least: int = 1) -> DataFrame:
-    """Exact pairs that share ``at_least`` tokens, by the prefix rule: two sets that share ``need``
-    tokens share one of the first n - need + 1 in a common order.  Rarest first keeps frequent tokens
-    out of the prefixes, and sizes are compared before a pair is built."""
-    need = F.greatest(F.lit(at_least), F.ceil(t * F.col("n") - 1e-9))
-    prefix = _ordered(reps).where(F.col("pos") <= F.col("n") - need + 1)
-    a = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "tok")
-    b = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "tok")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)
-    cand = a.join(b, "tok").where(fits).select("a", "b").distinct()
-    sets = reps.select("id", "toks")
-    both = (
-        cand.join(sets.select(F.col("id").alias("a"), F.col("toks").alias("ta")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("toks").alias("tb")), "b")
-    )
-    inter = F.size(F.array_intersect("ta", "tb"))
-    return both.select("a", "b", (inter / (F.size("ta") + F.size("tb") - inter)).alias("jaccard")).where(F.col("jaccard") >= t)
+def _pairs(reps: DataFrame, t: float) -> DataFrame:
+    """(a, b, jaccard): all pairs that share a token and reach the threshold, a < b; exact."""
+    kind = reps.schema["id"].dataType.simpleString()
+    return _in_blocks(reps, _alike_pairs, t, f"a {kind}, b {kind}, jaccard double").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").where("a <> b")
 
 
 def _links(reps: DataFrame, t: float) -> DataFrame:
     """(a, b): enough true links to connect whatever the threshold connects, few per set.
 
-    Sets of n and m tokens are alike from t / (1 + t) * (n + m) common tokens on.  Where the sizes ask for
-    one token only, all sets of these sizes that hold it are alike, so each is tied to the smallest id
-    of the other size: a frequent token costs a link per set and size, not a pair per two sets.  Where
-    they ask for two, the same holds for each pair of tokens.  The rest shares three or more: ``_pairs``.
+    Every two blocks pass on a spanning forest of their links, so a set has at most about one link a block.
+    """
+    kind = reps.schema["id"].dataType.simpleString()
+    return _in_blocks(reps, _forest, t, f"a {kind}, b {kind}").where("a <> b")
+
+
+def _in_blocks(reps: DataFrame, made, t: float, schema: str) -> DataFrame:
+    """What ``made`` finds between the sets (id, toks) of every two blocks.
+
+    A block is a share of the sets, chosen by id, and every two blocks meet in one task, which counts common tokens in memory:
+    candidate pairs are no rows, and a frequent token is no group.  A set travels once a block.  There are about as many blocks as
+    give each core some pairs of them; more only when a block would exceed ``BLOCK_TOKENS``.
     """
-    one, two = (1 + t) / t + 1e-6, 2 * (1 + t) / t + 1e-6
-
-    def stars(rows: DataFrame, keys: list[str], most: float) -> DataFrame:
-        least = rows.groupBy(*keys, F.col("n").alias("m")).agg(F.min("id").alias("b"))
-        return rows.join(least, keys).where((F.col("n") + F.col("m") <= most) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
-
-    words = reps.select("id", "n", F.explode("toks").alias("tok"))
-    by_token = stars(words.where(F.col("n") < one), ["tok"], one)
-    combos = F.flatten(F.transform("toks", lambda x: F.transform(F.filter("toks", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    short = reps.where((F.col("n") >= 2) & (F.col("n") <= two - 2)).select("id", "n", F.explode(combos).alias("p"))
-    by_pair = stars(short.select("id", "n", "p.x", "p.y"), ["x", "y"], two)
-    longer = _pairs(reps.where("n >= 3"), t, at_least=3).select("a", "b")
-    return by_token.unionByName(by_pair).unionByName(longer).distinct()
+    tokens = reps.agg(F.sum(F.size("toks"))).first()[0] or 0
+    cores = reps.sparkSession.sparkContext.defaultParallelism
+    n = max(min(math.ceil(math.sqrt(8 * cores)), tokens // LEAST_TOKENS), -(-tokens // BLOCK_TOKENS), 1)
+    met = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.least("block", o) * n + F.greatest("block", o))
+    sets = reps.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "toks")
+    placed = sets.select(F.explode(met).alias("pair"), "block", "id", "toks").repartition(n * (n + 1) // 2, "pair").sortWithinPartitions("pair", "block")
+    return placed.mapInArrow(lambda batches: made(batches, t, n), schema)
+
+
+def _by_pair(batches):
+    """The rows of one pair of blocks after those of the other."""
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        of = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)] if len(of) else []
+        for i, j in zip(cuts, cuts[1:]):
+            if held and held[0].column(0)[0].as_py() != of[i]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _alike(rows, t: float, n: int):
+    """(row, other rows, their Jaccard) of the sets of two blocks, or of one with itself: each pair once."""
+    x, y = divmod(rows.column("pair")[0].as_py(), n)
+    many = rows.num_rows if x == y else int((rows.column("block").to_numpy() == x).sum())
+    first = 0 if x == y else many
+    toks = rows.column("toks").combine_chunks()
+    sizes = np.diff(toks.offsets.to_numpy())
+    code = toks.flatten().dictionary_encode().indices.to_numpy()
+    starts = np.append(0, np.cumsum(sizes))
+    theirs, of = code[starts[first] :], sizes[first:]
+    held = np.repeat(np.arange(len(of)), of)[np.argsort(theirs, kind="stable")]
+    at = np.append(0, np.cumsum(np.bincount(theirs, minlength=code.max() + 1)))
+    share, common = t / (1 + t), np.zeros(len(of), np.int32)
+    least = share * of - 1e-9
+    for r in range(many):
+        common[:] = 0
+        for c in code[starts[r] : starts[r + 1]].tolist():
+            common[held[at[c] : at[c + 1]]] += 1
+        hit = np.flatnonzero(common >= np.maximum(least + share * sizes[r], 1))
+        hit = hit[hit > r] if x == y else hit
+        jaccard = common[hit] / (sizes[r] + of[hit] - common[hit])
+        yield r, hit[jaccard >= t] + first, jaccard[jaccard >= t]
+
+
+def _alike_pairs(batches, t: float, n: int):
+    """Batches (a, b, jaccard) of all pairs at or above the threshold."""
+    import pyarrow as pa
+
+    def batch(ids, found):
+        a = np.repeat([r for r, _, _ in found], [len(hit) for _, hit, _ in found])
+        b, jaccard = (np.concatenate([x[i] for x in found]) for i in (1, 2))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(jaccard)], names=["a", "b", "jaccard"])
+
+    for rows in _by_pair(batches):
+        ids, found, size = rows.column("id").combine_chunks(), [], 0
+        for x in _alike(rows, t, n):
+            if len(x[1]):
+                found.append(x)
+                size += len(x[1])
+            if size >= BATCH_PAIRS:
+                yield batch(ids, found)
+                found, size = [], 0
+        if found:
+            yield batch(ids, found)
+
+
+def _forest(batches, t: float, n: int):
+    """Batches (a, b) of links that connect what the threshold connects: one less than the sets of each component."""
+    import pyarrow as pa
+
+    for rows in _by_pair(batches):
+        ids, top, left, links = rows.column("id").combine_chunks(), np.arange(rows.num_rows), rows.num_rows, []
+        for r, hit, _ in _alike(rows, t, n):
+            if not len(hit):
+                continue
+            every = np.append(r, hit)
+            root = top[every]
+            while (top[root] != root).any():
+                root = top[root]
+            roots, where = np.unique(root, return_index=True)
+            new = where[roots != root[0]]
+            links += [(r, b) for b in every[new].tolist()]
+            left -= len(new)
+            top[roots] = top[every] = roots[0]
+            if left == 1:
+                break
+        if links:
+            a, b = np.array(links).T
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
 
 
 def connected_components(vertices: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> DataFrame:

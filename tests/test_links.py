@@ -45,6 +45,27 @@ def test_links_connect_what_the_threshold_connects(spark, t):
     assert components(sets, got) == components(sets, true)
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_pairs_of_frequent_words_are_counted_and_not_joined(spark, monkeypatch, blocks):
+    rng = random.Random(blocks)
+    sets = {i: {"hot", "warm", "mild", *rng.sample([f"w{x}" for x in range(40)], rng.randrange(0, 6))} for i in range(60)} | {60 + i: {f"own{i}", "few"} for i in range(4)}
+    sets = {i: s for i, s in sets.items() if s not in [sets[k] for k in range(i)]}
+    reps = spark.createDataFrame([(i, sorted(s), len(s)) for i, s in sets.items()], "id long, toks array<string>, n int")
+    monkeypatch.setattr(MI, "LEAST_TOKENS", 1)
+    monkeypatch.setattr(MI, "BLOCK_TOKENS", -(-sum(map(len, sets.values())) // blocks))
+    monkeypatch.setattr(MI.math, "ceil", lambda _: 1)
+    monkeypatch.setattr(MI, "BATCH_PAIRS", 100)
+    true = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+    for t in (0.2, 0.5):
+        want = {p: j for p, j in true.items() if j >= t}
+        pairs, links = MI._pairs(reps, t), [(r.a, r.b) for r in MI._links(reps, t).collect()]
+        got = [((r.a, r.b), r.jaccard) for r in pairs.collect()]
+        assert dict(got) == want and len(got) == len(want)
+        assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert components(sets, links) == components(sets, want) and {tuple(sorted(p)) for p in links} <= set(want)
+        assert len(links) < (blocks + 1) * len(sets) < len(want) or t > 0.2
+
+
 def test_values_are_replaced_at_their_matches_only(spark):
     text = "host 10.1.2.3 and 110.1.2.34 and 210.1.2.3, a@b.de a@b.de c@d.org Alpha-ECU Beta-ECU1 Alpha-ECU"
     r = spark.createDataFrame([(text,)], "t string").select(GD.redact(F.col("t"), F.lit("host")).alias("r")).first().r
