@@ -66,6 +66,12 @@ def test_pairs_of_frequent_words_are_counted_and_not_joined(spark, monkeypatch,
         assert len(links) < (blocks + 1) * len(sets) < len(want) or t > 0.2
 
 
+def test_a_row_that_comes_twice_keeps_its_links(spark):
+    words = lambda k: " ".join([f"own{k}{chr(97 + i)}" for i in range(16)] + ["bus", "frame", "signal", "timer"])
+    log = spark.createDataFrame([("a", words("x")), ("a", words("x")), ("b", words("y")), ("c", "other things")], "id string, query string")
+    assert {(r.id, r.cluster) for r in MI.similarity_clusters(log, 0.1).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
 def test_values_are_replaced_at_their_matches_only(spark):
     text = "host 10.1.2.3 and 110.1.2.34 and 210.1.2.3, a@b.de a@b.de c@d.org Alpha-ECU Beta-ECU1 Alpha-ECU"
     r = spark.createDataFrame([(text,)], "t string").select(GD.redact(F.col("t"), F.lit("host")).alias("r")).first().r
