@@ -33,7 +33,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corpuscle.operators.index import broadcast_if_small
 from corpuscle.session import written
 
 WIDTH = 8
@@ -44,6 +43,16 @@ SALTS = 16
 NODE = ["depth", "p1", "p2"]
 
 
+def sorted_side(side: DataFrame) -> DataFrame:
+    """A join side that is met by sorting, however small its files are.
+
+    Every side here grows with the conversations, and its size by files, of which a few columns are a share on paper, says
+    little about its rows: numbers are stored in a few bytes and salted sides have ``SALTS`` rows for one that is read.  A
+    broadcast of such a side goes through the driver and does not fit it.
+    """
+    return side.hint("merge")
+
+
 def turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, t): a turn's digest ``t.d`` of role and text and the bytes ``t.n`` of its text."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
@@ -64,7 +73,7 @@ def numbered(said: DataFrame) -> tuple[DataFrame, DataFrame]:
     pieces = rows.groupBy("conv_id", "piece").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("conv_id").orderBy("piece")) - F.col("n")
     pieces = written(pieces.select("conv_id", "piece", (F.col("first") - before).alias("zero"), "n"), "pieces")
-    placed = rows.join(pieces.drop("n"), ["conv_id", "piece"]).select("conv_id", (F.col("at") - F.col("zero")).alias("pos"), "t")
+    placed = rows.join(sorted_side(pieces.drop("n")), ["conv_id", "piece"]).select("conv_id", (F.col("at") - F.col("zero")).alias("pos"), "t")
     return placed, pieces.groupBy("conv_id").agg(F.sum("n").alias("n"))
 
 
@@ -78,13 +87,13 @@ def rebuilt(conversations: DataFrame, family: int = 5, most: int = 8) -> tuple[D
     c = F.col("conv_id")
     own = sizes.select(c, "n", (c - c % family).alias("base"), (F.crc32(c.cast("string").cast("binary")) % (most + 1)).alias("h"))
     has = F.least(F.col("h"), F.coalesce("base_n", F.lit(0)))
-    plan = written(own.join(sizes.select(c.alias("base"), F.col("n").alias("base_n")), "base", "left").select(
+    plan = written(own.join(sorted_side(sizes.select(c.alias("base"), F.col("n").alias("base_n"))), "base", "left").select(
         "conv_id", "base", "h", has.alias("has"), (has + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("len")), "plan")
     # A conversation of very many turns would make its key hot: turns meet their plan under salts.
     salt = F.array(*[F.lit(i) for i in range(SALTS)])
     salted = plan.select("conv_id", "h", "has", F.explode(salt).alias("salt"))
-    tail = placed.withColumn("salt", (F.col("pos") % SALTS).cast("int")).join(salted, ["conv_id", "salt"]).filter("pos >= h")
-    head = placed.filter((F.col("conv_id") % family == 0) & (F.col("pos") < most)).withColumnRenamed("conv_id", "base").join(plan, "base").filter("pos < h")
+    tail = placed.withColumn("salt", (F.col("pos") % SALTS).cast("int")).join(sorted_side(salted), ["conv_id", "salt"]).filter("pos >= h")
+    head = placed.filter((F.col("conv_id") % family == 0) & (F.col("pos") < most)).withColumnRenamed("conv_id", "base").join(sorted_side(plan), "base").filter("pos < h")
     both = tail.select("conv_id", (F.col("has") + F.col("pos") - F.col("h")).alias("pos"), "t").unionByName(head.select("conv_id", "pos", "t"))
     return both, plan.select("conv_id", "len")
 
@@ -105,16 +114,16 @@ def _blocks(both: DataFrame, lengths: DataFrame) -> DataFrame:
     fold = lambda side: F.aggregate("xs", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_mark(x["pos"], x["t"], side)))
     blocks = written(kept.select("conv_id", "block", fold(1).alias("x1"), fold(2).alias("x2"), *[F.get("xs", F.lit(j))["t"].alias(f"t{j}") for j in range(WIDTH)]), "blocks")
     later = blocks.filter("block > 0")
-    slim = blocks.join(later.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "block", "x1", "x2", F.floor(F.col("block") / CHAIN).alias("link"))
+    slim = blocks.join(sorted_side(later.select("conv_id").distinct()), "conv_id", "left_semi").select("conv_id", "block", "x1", "x2", F.floor(F.col("block") / CHAIN).alias("link"))
     links = slim.groupBy("conv_id", "link").agg(F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
     before = lambda by, order: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     upto = lambda c, w: F.coalesce(F.bit_xor(c).over(w), F.lit(0).cast("long"))
     chain, inner = before(["conv_id"], "link"), before(["conv_id", "link"], "block")
     links = links.select("conv_id", "link", upto("x1", chain).alias("l1"), upto("x2", chain).alias("l2"))
-    keys = slim.select("conv_id", "block", "link", upto("x1", inner).alias("i1"), upto("x2", inner).alias("i2")).join(links, ["conv_id", "link"]).select(
+    keys = slim.select("conv_id", "block", "link", upto("x1", inner).alias("i1"), upto("x2", inner).alias("i2")).join(sorted_side(links), ["conv_id", "link"]).select(
         "conv_id", "block", F.col("i1").bitwiseXOR(F.col("l1")).alias("k1"), F.col("i2").bitwiseXOR(F.col("l2")).alias("k2"))
     none = F.lit(0).cast("long")
-    return blocks.filter("block = 0").withColumns({"k1": none, "k2": none}).unionByName(later.join(keys, ["conv_id", "block"]))
+    return blocks.filter("block = 0").withColumns({"k1": none, "k2": none}).unionByName(later.join(sorted_side(keys), ["conv_id", "block"]))
 
 
 def _rolled(rows: DataFrame, sums: str) -> DataFrame:
@@ -163,9 +172,9 @@ def _hash_rows(rows: list[tuple]) -> pa.RecordBatch:
 def _ends(blocks: DataFrame, lengths: DataFrame, shared: DataFrame) -> DataFrame:
     """(depth, p1, p2, ends_sha256) of the shared nodes in which conversations end."""
     whole = blocks.groupBy("conv_id").agg(F.bit_xor("x1").alias("p1"), F.bit_xor("x2").alias("p2"))
-    at = whole.join(lengths.withColumnRenamed("len", "depth"), "conv_id")
+    at = whole.join(sorted_side(lengths.withColumnRenamed("len", "depth")), "conv_id")
     few = at.groupBy(*NODE, F.shiftright("conv_id", 8).alias("run")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("conv_id")), lambda c: c.cast("string")), ",").alias("ids"))
-    few = few.join(broadcast_if_small(shared.select(*NODE)), NODE, "left_semi")
+    few = few.join(sorted_side(shared.select(*NODE)), NODE, "left_semi")
     return few.repartition(*NODE).sortWithinPartitions(*NODE, "run").mapInArrow(_ends_hashed, "depth long, p1 long, p2 long, ends_sha256 string")
 
 
@@ -178,12 +187,12 @@ def _carried(shared: DataFrame) -> DataFrame | None:
                          F.struct("block", "k1", "k2").alias("up")).filter(shared["level"] == WIDTH)
     own = deeper.groupBy("block", "k1", "k2").agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
     here = F.struct("block", "k1", "k2").alias("id")
-    state = written(own.join(tops, ["block", "k1", "k2"]).select(here, F.when(F.col("up.block") > 0, F.col("up")).alias("up"), "leaves", "saved"), "carried")
+    state = written(own.join(sorted_side(tops), ["block", "k1", "k2"]).select(here, F.when(F.col("up.block") > 0, F.col("up")).alias("up"), "leaves", "saved"), "carried")
     while not state.filter("up IS NOT NULL").isEmpty():
         given = state.filter("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("leaves").alias("l"), F.sum("saved").alias("s"))
         jump = state.select(F.col("id").alias("up"), F.col("up").alias("next"))
         add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-        state = written(state.join(given, "id", "left").join(jump, "up", "left").select("id", F.col("next").alias("up"), add("leaves", "l"), add("saved", "s")), "carried")
+        state = written(state.join(sorted_side(given), "id", "left").join(sorted_side(jump), "up", "left").select("id", F.col("next").alias("up"), add("leaves", "l"), add("saved", "s")), "carried")
     return state.select((F.col("id.block") * WIDTH).alias("depth"), F.col("id.k1").alias("p1"), F.col("id.k2").alias("p2"),
                         F.col("leaves").alias("leaves_below"), F.col("saved").alias("saved_below"))
 
@@ -191,7 +200,7 @@ def _carried(shared: DataFrame) -> DataFrame | None:
 def nodes(both: DataFrame, lengths: DataFrame) -> DataFrame:
     """One row a node of the trie of (conv_id, pos, t); ``lengths`` (conv_id, len) names every conversation."""
     blocks = _blocks(both, lengths)
-    rows = blocks.join(lengths, "conv_id").drop("x1", "x2")
+    rows = blocks.join(sorted_side(lengths), "conv_id").drop("x1", "x2")
     found = _rolled(rows, "min(conv_id) AS conv_id, count(*) AS n_convs, max(len) AS longest")
     cols = [f"t{j}" for j in range(WIDTH)]
     path = [F.when(F.col("n_convs") > 1, F.col(c)).alias(c) for c in cols]  # only shared nodes are summed by their paths
@@ -202,18 +211,18 @@ def nodes(both: DataFrame, lengths: DataFrame) -> DataFrame:
     n_children = F.coalesce("n_children", F.lit(0).cast("long"))
     # Below a child with one member is one leaf; a shared node without children is a leaf itself.
     leaves = F.when(n_children == 0, F.lit(1).cast("long")).otherwise(F.col("single"))
-    shared = written(found.filter("n_convs > 1").join(kids, NODE, "left").withColumns(
+    shared = written(found.filter("n_convs > 1").join(sorted_side(kids), NODE, "left").withColumns(
         {"n_children": n_children, "leaves": leaves, "saved": (F.col("n_convs") - 1) * F.col("bytes")}).drop("single"), "shared")
 
     weighed = shared.select(*NODE, "block", "k1", "k2", *cols, "leaves", "saved")
     below = _carried(shared)
     if below is not None:
         more = lambda a: (F.col(a) + F.coalesce(f"{a}_below", F.lit(0))).alias(a)
-        weighed = weighed.join(below, NODE, "left").select(*NODE, "block", "k1", "k2", *cols, more("leaves"), more("saved"))
+        weighed = weighed.join(sorted_side(below), NODE, "left").select(*NODE, "block", "k1", "k2", *cols, more("leaves"), more("saved"))
     totals = _rolled(weighed.drop(*NODE), "sum(leaves) AS n_leaves, sum(saved) AS saved_tokens").select(*NODE, "n_leaves", "saved_tokens")
 
     none = hashlib.sha256(b"").hexdigest()
-    full = shared.join(totals, NODE).join(_ends(blocks, lengths, shared), NODE, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(none)))
+    full = shared.join(sorted_side(totals), NODE).join(sorted_side(_ends(blocks, lengths, shared)), NODE, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(none)))
     alone = found.filter("n_convs = 1").withColumns({
         "n_children": (F.col("longest") > F.col("depth")).cast("long"), "n_leaves": F.lit(1).cast("long"), "saved_tokens": F.lit(0).cast("long"),
         "ends_sha256": F.when(F.col("longest") == F.col("depth"), F.sha2(F.col("conv_id").cast("string").cast("binary"), 256)).otherwise(F.lit(none))})
@@ -224,7 +233,7 @@ def nodes(both: DataFrame, lengths: DataFrame) -> DataFrame:
         F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
     # A parent that is not shared has its child's only member.
     up = F.when(F.col("depth") > 0, F.coalesce("up", "conv_id"))
-    return every.join(parents, ["depth", "q1", "q2", "salt"], "left").select(
+    return every.join(sorted_side(parents), ["depth", "q1", "q2", "salt"], "left").select(
         "conv_id", "depth", up.alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
